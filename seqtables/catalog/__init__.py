@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("cleaning",)
+MODULES = ("cleaning", "properties", "scoring")
 
 
 def _collect(name: str) -> dict:

@@ -1,7 +1,7 @@
 """Numeric sequence properties as native expressions over residue counts.
 
-Every function takes a *cleaned* sequence column. Hydropathy sums are kept in whole tenths, so
-comparisons against the cut-offs are exact.
+The text is cleaned and counted once per row (:func:`with_residue_counts`); properties only read
+the counts. Hydropathy sums are kept in whole tenths, so comparisons against cut-offs are exact.
 """
 
 from __future__ import annotations
@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqtables import params as P
+from seqtables.functions.common import bind
 from seqtables.functions.sequences import clean_sequence
 
 NAN = float("nan")
@@ -23,34 +24,47 @@ def residue_count(col: Column, residue: str) -> Column:
     return F.length(col) - F.length(F.replace(col, F.lit(residue), F.lit("")))
 
 
-def residue_counts(col: Column, alphabet: str = P.RESIDUES) -> Column:
-    """Struct of counts, one field per residue; codegen shares it between properties."""
-    return F.struct(*[residue_count(col, a).alias(a) for a in alphabet])
+CLEAN = "_clean"
 
 
-def weighted_count(col: Column, weights: Mapping[str, float]) -> Column:
-    return reduce(lambda a, b: a + b, [residue_count(col, a) * F.lit(w) for a, w in weights.items()])
+def n_of(residue: str) -> Column:
+    """Count column of a residue, see :func:`with_residue_counts`."""
+    return F.col(f"_n_{residue}")
 
 
-def set_fraction(col: Column, residues: str) -> Column:
-    kept = F.length(F.translate(col, residues, ""))
-    return (F.length(col) - kept) / F.length(col)
+def with_residue_counts(df: DataFrame, sequence: str = "sequence") -> DataFrame:
+    """Add ``_clean`` and one count column per residue.
 
+    They are columns of their own, so every property reads them instead of the text.
+    """
+    cleaned = df.withColumn(CLEAN, clean_sequence(F.col(sequence)))
+    return cleaned.withColumns(
+        {f"_n_{a}": residue_count(F.col(CLEAN), a) for a in P.RESIDUES}
+    )
 
-def molecular_weight(col: Column) -> Column:
-    return weighted_count(col, P.RESIDUE_MASS) - (F.length(col) - 1) * F.lit(P.WATER_MASS)
 
+def _length() -> Column:
+    return F.length(CLEAN)
 
-def _tenths(scale: Mapping[str, float]) -> dict[str, int]:
-    return {a: round(v * 10) for a, v in scale.items()}
+
+def weighted_count(weights: Mapping[str, float]) -> Column:
+    return reduce(lambda a, b: a + b, [n_of(a) * F.lit(w) for a, w in weights.items()])
 
 
-def gravy(col: Column) -> Column:
-    return weighted_count(col, _tenths(P.HYDROPATHY)) / F.lit(10.0) / F.length(col)
+def set_fraction(residues: str) -> Column:
+    return reduce(lambda a, b: a + b, [n_of(a) for a in residues]) / _length()
+
+
+def molecular_weight() -> Column:
+    return weighted_count(P.RESIDUE_MASS) - (_length() - 1) * F.lit(P.WATER_MASS)
+
+
+def _tenths(scale: Mapping[str, float]) -> dict[str, int]:
+    return {a: round(v * 10) for a, v in scale.items()}
 
 
-def aromaticity(col: Column) -> Column:
-    return set_fraction(col, P.AROMATIC)
+def gravy() -> Column:
+    return weighted_count(_tenths(P.HYDROPATHY)) / F.lit(10.0) / _length()
 
 
 def _terminal_pk(residue: Column, table: Mapping[str, float], default: float) -> Column:
@@ -60,13 +74,16 @@ def _terminal_pk(residue: Column, table: Mapping[str, float], default: float) ->
     return case.otherwise(F.lit(default))
 
 
-def charge_groups(col: Column) -> Column:
+def charge_groups() -> Column:
     """Counts and terminal pK values the net charge depends on, as one struct."""
-    letters = "".join(P.PK_POSITIVE) + "".join(P.PK_NEGATIVE)
     return F.struct(
-        *[residue_count(col, a).alias(a) for a in letters],
-        _terminal_pk(F.substring(col, 1, 1), P.PK_N_TERM, P.PK_N_TERM_DEFAULT).alias("n_term"),
-        _terminal_pk(F.substring(col, -1, 1), P.PK_C_TERM, P.PK_C_TERM_DEFAULT).alias("c_term"),
+        *[n_of(a).alias(a) for a in (*P.PK_POSITIVE, *P.PK_NEGATIVE)],
+        _terminal_pk(F.left(F.col(CLEAN), F.lit(1)), P.PK_N_TERM, P.PK_N_TERM_DEFAULT).alias(
+            "n_term"
+        ),
+        _terminal_pk(F.right(F.col(CLEAN), F.lit(1)), P.PK_C_TERM, P.PK_C_TERM_DEFAULT).alias(
+            "c_term"
+        ),
     )
 
 
@@ -88,36 +105,36 @@ def net_charge(groups: Column, ph: Column) -> Column:
     return plus - minus
 
 
-def charge_at_ph7(col: Column) -> Column:
-    return net_charge(charge_groups(col), F.lit(7.0))
+def charge_at_ph7() -> Column:
+    return net_charge(charge_groups(), F.lit(7.0))
 
 
-def isoelectric_point(col: Column, halvings: int = 17) -> Column:
+def isoelectric_point(halvings: int = 17) -> Column:
     """pH of zero net charge; 17 halvings of the bracket leave less than 1e-4."""
     low, high = P.PH_BRACKET
 
-    def step(acc: Column, _: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2
-        positive = net_charge(acc["g"], mid) > 0
-        return F.struct(
-            acc["g"].alias("g"),
-            F.when(positive, mid).otherwise(acc["lo"]).alias("lo"),
-            F.when(positive, acc["hi"]).otherwise(mid).alias("hi"),
+    def step(acc: Column, groups: Column) -> Column:
+        return bind(
+            (acc["lo"] + acc["hi"]) / 2,
+            lambda mid: bind(
+                net_charge(groups, mid) > 0,
+                lambda positive: F.struct(
+                    F.when(positive, mid).otherwise(acc["lo"]).alias("lo"),
+                    F.when(positive, acc["hi"]).otherwise(mid).alias("hi"),
+                ),
+            ),
         )
 
-    start = F.struct(
-        charge_groups(col).alias("g"), F.lit(low).alias("lo"), F.lit(high).alias("hi")
-    )
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(halvings)),
-        start,
+        F.array_repeat(charge_groups(), halvings),
+        F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi")),
         step,
         lambda acc: (acc["lo"] + acc["hi"]) / 2,
     )
 
 
 def instability_index(
-    col: Column, dipeptide_weights: Mapping[str, float], default: float = 1.0
+    dipeptide_weights: Mapping[str, float], default: float = 1.0
 ) -> Column:
     """10/L times the summed weight of neighbouring residues.
 
@@ -131,7 +148,7 @@ def instability_index(
             for b in P.RESIDUES
         ]
     )
-    codes = F.transform(F.split(col, ""), lambda c: F.instr(F.lit(P.RESIDUES), c))
+    codes = F.transform(F.split(CLEAN, ""), lambda c: F.instr(F.lit(P.RESIDUES), c))
     total = F.aggregate(
         codes,
         F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("prev")),
@@ -147,52 +164,43 @@ def instability_index(
         ),
         lambda acc: acc["sum"],
     )
-    return F.lit(10.0) / F.length(col) * total
+    return F.lit(10.0) / _length() * total
 
 
-PROPERTIES: dict[str, Callable[[Column], Column]] = {
+PROPERTIES: dict[str, Callable[[], Column]] = {
     "molecular_weight": molecular_weight,
     "isoelectric_point": isoelectric_point,
     "gravy": gravy,
-    "aromaticity": aromaticity,
+    "aromaticity": lambda: set_fraction(P.AROMATIC),
     "charge_at_ph7": charge_at_ph7,
-    "helix_fraction": lambda c: set_fraction(c, P.HELIX),
-    "turn_fraction": lambda c: set_fraction(c, P.TURN),
-    "sheet_fraction": lambda c: set_fraction(c, P.SHEET),
-    "sequence_length": lambda c: F.length(c).cast("double"),
+    "helix_fraction": lambda: set_fraction(P.HELIX),
+    "turn_fraction": lambda: set_fraction(P.TURN),
+    "sheet_fraction": lambda: set_fraction(P.SHEET),
+    "sequence_length": lambda: _length().cast("double"),
 }
 
 
-def sequence_property(
-    raw: Column, name: str, dipeptide_weights: Mapping[str, float] | None = None
-) -> Column:
-    """One property of a raw sequence; NaN below five residues and for unknown names."""
-    clean = clean_sequence(raw)
-    if name == "instability_index":
-        if dipeptide_weights is None:
-            raise ValueError("instability_index needs the dipeptide weight table")
-        value = instability_index(clean, dipeptide_weights)
-    elif name in PROPERTIES:
-        value = PROPERTIES[name](clean)
-    else:
-        return F.lit(NAN)
-    return F.when(F.length(clean) >= SHORTEST, value).otherwise(F.lit(NAN))
-
-
 def sequence_properties(
-    raw: Column,
+    df: DataFrame,
+    sequence: str = "sequence",
     names: Sequence[str] = P.DEFAULT_PROPERTIES,
     dipeptide_weights: Mapping[str, float] | None = None,
-) -> list[Column]:
-    return [sequence_property(raw, n, dipeptide_weights).alias(n) for n in names]
+) -> DataFrame:
+    """Add one column per property; NaN below five residues and for unknown names."""
 
+    def value(name: str) -> Column:
+        if name == "instability_index":
+            if dipeptide_weights is None:
+                raise ValueError("instability_index needs the dipeptide weight table")
+            found = instability_index(dipeptide_weights)
+        elif name in PROPERTIES:
+            found = PROPERTIES[name]()
+        else:
+            return F.lit(NAN)
+        return F.when(_length() >= SHORTEST, found).otherwise(F.lit(NAN))
 
-def has_signal_peptide(raw: Column) -> Column:
-    """1 when residues 2 to 25 have a mean hydropathy above 1.0."""
-    head = F.substring(F.upper(raw), 2, 24)
-    total = weighted_count(head, _tenths(P.HYDROPATHY))
-    hit = (F.length(raw) >= 25) & (total > 240)
-    return F.coalesce(hit, F.lit(False)).cast("double")
+    counted = with_residue_counts(df, sequence)
+    return counted.select(*df.columns, *[value(n).alias(n) for n in names])
 
 
 def hydropathy_steps(raw: Column) -> Column:
@@ -203,32 +211,32 @@ def hydropathy_steps(raw: Column) -> Column:
     )
 
 
+def has_signal_peptide(raw: Column) -> Column:
+    """1 when residues 2 to 25 have a mean hydropathy above 1.0."""
+    head = hydropathy_steps(F.substring(raw, 2, 24))
+    total = F.aggregate(head, F.lit(0), lambda acc, x: acc + x)
+    hit = (F.length(raw) >= 25) & (total > 240)
+    return F.coalesce(hit, F.lit(False)).cast("double")
+
+
 def max_window_sum(steps: Column, window: int) -> Column:
     """Largest sum over ``window`` neighbours, one sliding pass over the array."""
-    slide = F.aggregate(
-        F.sequence(F.lit(0), F.size(steps) - 1),
-        F.struct(F.lit(0).alias("sum"), F.lit(-(2**30)).alias("best")),
-        lambda acc, i: F.struct(
-            (
-                acc["sum"]
-                + F.get(steps, i)
-                - F.when(i >= window, F.get(steps, i - window)).otherwise(F.lit(0))
-            ).alias("sum"),
-            F.when(
-                i >= window - 1,
-                F.greatest(
-                    acc["best"],
-                    acc["sum"]
-                    + F.get(steps, i)
-                    - F.when(i >= window, F.get(steps, i - window)).otherwise(F.lit(0)),
-                ),
-            )
-            .otherwise(acc["best"])
-            .alias("best"),
-        ),
-        lambda acc: acc["best"],
-    )
-    return F.when(F.size(steps) >= window, slide)
+
+    def slide(values: Column) -> Column:
+        leaving = F.concat(F.array_repeat(F.lit(0), window), values)
+        changes = F.zip_with(values, F.slice(leaving, 1, F.size(values)), lambda a, b: a - b)
+        return F.aggregate(
+            changes,
+            F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"), F.lit(None).cast("int").alias("best")),
+            lambda acc, d: F.struct(
+                (acc["n"] + 1).alias("n"),
+                (acc["sum"] + d).alias("sum"),
+                F.when(acc["n"] >= window - 1, F.greatest(acc["best"], acc["sum"] + d)).alias("best"),
+            ),
+            lambda acc: acc["best"],
+        )
+
+    return bind(steps, slide)
 
 
 def has_transmembrane(raw: Column, window: int = 19, cut: float = 1.6) -> Column:

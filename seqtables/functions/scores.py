@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from seqtables import params as P
+from seqtables.functions.common import bind
 
 
 def sigmoid(z: Column) -> Column:
@@ -54,11 +55,15 @@ def rank_predictions(
             (c["p"] >= c["t"]).alias("keep"),
         ),
     )
-    passing = F.slice(F.array_sort(F.filter(cells, lambda c: c["keep"])), 1, top_k)
     best = F.array_position(probs, F.array_max(probs)).cast("int")
-    chosen = F.when(F.size(passing) > 0, passing).otherwise(F.slice(cells, best, 1))
+
+    def choose(all_cells: Column) -> Column:
+        passing = F.slice(F.array_sort(F.filter(all_cells, lambda c: c["keep"])), 1, top_k)
+        return F.when(F.size(passing) > 0, passing).otherwise(F.slice(all_cells, best, 1))
+
     return F.transform(
-        chosen, lambda c: F.struct(c["location"].alias("location"), c["confidence"].alias("confidence"))
+        bind(cells, choose),
+        lambda c: F.struct(c["location"].alias("location"), c["confidence"].alias("confidence"))
     )
 
 

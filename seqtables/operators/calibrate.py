@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seqtables import params as P
 from seqtables.functions.scores import bce_cell, binarize, double_array, probabilities
 from seqtables.operators.losses import to_long
+from seqtables.session import materialize
 
 
 def threshold_candidates(n: int = 19, low: float = 0.05, high: float = 0.95) -> list[float]:
@@ -160,19 +161,21 @@ def apply_class_params(
         if thresholds is None
         else params_array(thresholds, "threshold", threshold, n_classes)
     )
-    return (
-        scored.withColumn("probs", probabilities(F.col("logits"), temps))
-        .withColumn("class_thresholds", cuts)
-        .withColumn("preds", binarize(F.col("probs"), F.col("class_thresholds")))
-    )
+    rows = scored.withColumn("class_thresholds", cuts)
+    if temps is None:
+        rows = rows.withColumn("probs", probabilities(F.col("logits")))
+    else:
+        # Subqueries may not stand inside a lambda, so the array is a column first.
+        rows = rows.withColumn("_temps", temps)
+        rows = rows.withColumn("probs", probabilities(F.col("logits"), F.col("_temps"))).drop(
+            "_temps"
+        )
+    return rows.withColumn("preds", binarize(F.col("probs"), F.col("class_thresholds")))
 
 
 def calibrate(val: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Temperatures on the validation logits, then thresholds on the calibrated scores."""
-    from seqtables.session import materialize
-
     temperatures = materialize(fit_temperatures(val))
     n_classes = temperatures.count()
-    temps = params_array(temperatures, "temperature", 1.0, n_classes)
-    thresholds = threshold_sweep(val.withColumn("probs", probabilities(F.col("logits"), temps)))
-    return temperatures, materialize(thresholds)
+    calibrated = apply_class_params(val, n_classes, temperatures=temperatures)
+    return temperatures, materialize(threshold_sweep(calibrated))
