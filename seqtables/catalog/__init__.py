@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("cleaning", "properties", "scoring")
+MODULES = ("cleaning", "properties", "scoring", "splitting")
 
 
 def _collect(name: str) -> dict:
