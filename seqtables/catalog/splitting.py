@@ -104,7 +104,7 @@ def cluster_numbers(spark, sf):
 
 
 K, SKETCH, IDENTITY = 9, 20, 0.3
-CODE_SQL = " + ".join(f"(ascii(s[i + {j}]) - 64) * {27 ** (K - 1 - j)}" for j in range(K))
+CODE_SQL = " + ".join(f"CAST(ascii(s[i + {j}]) - 64 AS BIGINT) * {27 ** (K - 1 - j)}" for j in range(K))
 
 
 def hash_sql(code: str) -> str:
@@ -125,11 +125,11 @@ def hash_sql(code: str) -> str:
      GROUP BY bucket),
     cand AS (SELECT DISTINCT id AS member, centre FROM sketch JOIN centres USING (bucket)
      WHERE id <> centre AND len >= clen * {P.COVERAGE}),
-    sized AS (SELECT member, centre, len(list_intersect(a.codes, b.codes)) AS both,
+    sized AS (SELECT member, centre, len(list_intersect(a.codes, b.codes)) AS common,
      len(a.codes) + len(b.codes) AS total FROM cand JOIN codes a ON a.id = member
      JOIN codes b ON b.id = centre),
-    edges AS (SELECT member AS u, centre AS v FROM sized WHERE both / (total - both) >= {IDENTITY}
-     UNION ALL SELECT centre, member FROM sized WHERE both / (total - both) >= {IDENTITY}),
+    edges AS (SELECT member AS u, centre AS v FROM sized WHERE common / (total - common)::DOUBLE >= {IDENTITY}
+     UNION ALL SELECT centre, member FROM sized WHERE common / (total - common)::DOUBLE >= {IDENTITY}),
     walk AS (SELECT id AS node, id AS reach FROM reps UNION
      SELECT node, v FROM walk JOIN edges ON u = reach),
     roots AS (SELECT node, min(reach) AS root FROM walk GROUP BY node)
