@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("cleaning", "properties", "scoring", "splitting")
+MODULES = ("cleaning", "properties", "scoring", "splitting", "files", "learning")
 
 
 def _collect(name: str) -> dict:
