@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqtables import params as P
+from seqtables.functions import kmers
 from seqtables.functions.scores import binarize, probabilities
 from seqtables.operators.clean import sequence_from_text
+from seqtables.sources.tables import spread_scan
 
 
 def registry():
@@ -53,11 +55,19 @@ DOCS = f"docs AS (SELECT doc_id, lang, source, {SEQ} AS sequence FROM documents)
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    return spread_scan(rows).select(
         "doc_id", "lang", "source", sequence_from_text(F.col("text")).alias("sequence")
     )
 
 
+def hash_sql(code: str) -> str:
+    """The k-mer hash as SQL."""
+    a = f"(({code}) % {kmers.PRIME_A} * {kmers.MULTIPLIER_A} + 1) % {kmers.PRIME_A}"
+    b = f"(({code}) % {kmers.PRIME_B} * {kmers.MULTIPLIER_B} + 1) % {kmers.PRIME_B}"
+    return f"(({a}) * {2**31} + ({b}))"
+
+
 # --- annotations from parts -------------------------------------------------------------------
 
 PART_GROUPS = {
@@ -122,7 +132,7 @@ RAW = f"""raw AS (SELECT concat('P', cast((doc_id * 9) // 10 AS varchar)) AS acc
 
 
 def raw_pages(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = spread_scan(table(spark, sf, "documents").select("doc_id", "source", "text"))
     p = table(spark, sf, "part")
     return d.join(p, d["doc_id"] == p["p_partkey"]).select(
         F.expr("concat('P', cast((doc_id * 9) div 10 as string))").alias("Entry"),

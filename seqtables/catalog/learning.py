@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqtables import params as P
-from seqtables.catalog.base import CLASS_NAMES, DOCS, N_CLASSES, docs, r6, registry, table
+from seqtables.catalog.base import (
+    CLASS_NAMES,
+    DOCS,
+    N_CLASSES,
+    docs,
+    hash_sql,
+    r6,
+    registry,
+    table,
+)
 from seqtables.functions.keys import order_key
 from seqtables.operators.clean import sequence_from_text
 from seqtables.plans import embed as E
@@ -141,14 +150,26 @@ def embed(spark, sf):
     )
 
 
+CODE_3 = " + ".join(
+    f"CAST(ascii(substr(sequence, i + {j}, 1)) - 64 AS BIGINT) * {27 ** (2 - j)}" for j in range(3)
+)
+
+
 @query(
-    f"""WITH {DOCS} SELECT doc_id, CASE WHEN length(sequence) < 3 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END
-    AS norm FROM docs"""
+    f"""WITH {DOCS}, kmers AS (SELECT doc_id, sequence, unnest(range(1, length(sequence) - 1)) AS i
+     FROM docs), counts AS (SELECT doc_id, {hash_sql(CODE_3)} % 64 AS d, count(*) AS n FROM kmers
+     GROUP BY 1, 2), unit AS (SELECT doc_id, d, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS v
+     FROM counts)
+    SELECT doc_id, CAST(d AS BIGINT) AS d, round(v, 4) AS value FROM unit"""
 )
 def kmer_embedding(spark, sf):
     out = E.kmer_embed(docs(spark, sf), "doc_id", "sequence")
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return out.select("doc_id", F.round(F.sqrt(norm), 3).alias("norm"))
+    cells = out.select("doc_id", F.posexplode("embedding").alias("d", "v")).filter("v > 0")
+    return cells.select(
+        "doc_id",
+        F.col("d").cast("bigint").alias("d"),
+        F.round(F.col("v").cast("double"), 4).alias("value"),
+    )
 
 
 @query()

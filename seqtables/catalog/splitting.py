@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqtables import params as P
-from seqtables.catalog.base import DOCS, docs, r6, registry, table
+from seqtables.catalog.base import DOCS, docs, hash_sql, r6, registry, table
 from seqtables.functions.keys import stable_key
 from seqtables.functions.sequences import chunk_sequence
 from seqtables.operators import batching as B
@@ -107,12 +107,6 @@ K, SKETCH, IDENTITY = 9, 20, 0.3
 CODE_SQL = " + ".join(f"CAST(ascii(s[i + {j}]) - 64 AS BIGINT) * {27 ** (K - 1 - j)}" for j in range(K))
 
 
-def hash_sql(code: str) -> str:
-    a = f"(({code}) % {M.PRIME_A} * {M.MULTIPLIER_A} + 1) % {M.PRIME_A}"
-    b = f"(({code}) % {M.PRIME_B} * {M.MULTIPLIER_B} + 1) % {M.PRIME_B}"
-    return f"(({a}) * {2**31} + ({b}))"
-
-
 @query(
     f"""WITH RECURSIVE {DOCS}, reps AS (SELECT sequence, min(doc_id) AS id, length(sequence) AS len
      FROM docs GROUP BY sequence),

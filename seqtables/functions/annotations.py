@@ -17,8 +17,8 @@ def no_labels() -> Column:
 
 
 def strip(col: Column) -> Column:
-    """Trim every kind of whitespace, not only blanks."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    """Trim every kind of ASCII whitespace, not only blanks."""
+    return F.btrim(col, F.lit(" \t\n\x0b\f\r"))
 
 
 def is_topology(col: Column, terms: Sequence[str] = P.TOPOLOGY_TERMS) -> Column:

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import HashingTF, NGram, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqtables.functions.kmers import kmer_counts
+
 
 def embed(
     df: DataFrame,
@@ -42,25 +41,17 @@ def embed(
     return df.select(key, text.alias("_text")).mapInPandas(run, schema)
 
 
+def kmer_encoder(k: int = 3, dim: int = 64) -> Callable[[], Callable[[list[str]], list]]:
+    """Built-in stand-in for a frozen encoder: hashed k-mer counts scaled to length 1."""
+
+    def factory() -> Callable[[list[str]], list]:
+        return lambda texts: [kmer_counts(t, k, dim) for t in texts]
+
+    return factory
+
+
 def kmer_embed(
     df: DataFrame, key: str = "id", sequence: str = "sequence", k: int = 3, dim: int = 64
 ) -> DataFrame:
-    """``(key, embedding)`` of hashed k-mer counts scaled to length 1, without Python.
-
-    Built-in stand-in for a frozen encoder.
-    """
-    pipeline = Pipeline(
-        stages=[
-            RegexTokenizer(
-                inputCol=sequence, outputCol="_letters", pattern=".", gaps=False, toLowercase=False
-            ),
-            NGram(n=k, inputCol="_letters", outputCol="_kmers"),
-            HashingTF(inputCol="_kmers", outputCol="_counts", numFeatures=dim),
-            Normalizer(inputCol="_counts", outputCol="_unit"),
-        ]
-    )
-    rows = df.select(key, sequence)
-    model = pipeline.fit(rows.limit(0))
-    return model.transform(rows).select(
-        key, vector_to_array("_unit", "float32").alias("embedding")
-    )
+    """``(key, embedding)`` from the built-in encoder."""
+    return embed(df, kmer_encoder(k, dim), key, sequence, batch_size=256)

@@ -22,6 +22,16 @@ RAW_SCHEMA = T.StructType(
 PAGE_COLUMNS = ("Entry", "Sequence", "Subcellular location [CC]", "Organism (ID)", "Organism")
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Rebalance a scan that has fewer tasks than the session has cores.
+
+    A small file may be one row group and would keep one core busy. Tables with enough splits,
+    which is every large one, are returned unchanged and never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_raw(spark: SparkSession, paths: str | list[str], sep: str = "\t") -> DataFrame:
     """Tab-separated result pages with a header; columns are matched by name per page set."""
     return (
