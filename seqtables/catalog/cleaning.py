@@ -18,6 +18,7 @@ from seqtables.catalog.base import (
     registry,
     table,
 )
+from seqtables.sources.tables import spread_scan
 from seqtables.functions import annotations as A
 from seqtables.functions import keys as K
 from seqtables.functions import sequences as S
@@ -156,7 +157,8 @@ def single_label(spark, sf):
 )
 def valid_sequences(spark, sf):
     plain = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-    return table(spark, sf, "documents").select(
+    rows = spread_scan(table(spark, sf, "documents").select("doc_id", "text"))
+    return rows.select(
         "doc_id",
         S.is_valid_sequence(C.sequence_from_text(F.col("text"))).cast("bigint").alias("valid_mapped"),
         S.is_valid_sequence(plain).cast("bigint").alias("valid_plain"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqtables import params as P
 from seqtables.functions.annotations import strip
+from seqtables.functions.common import bind
 
 
 def is_valid_sequence(
@@ -16,8 +17,10 @@ def is_valid_sequence(
     max_length: int = P.MAX_LENGTH,
 ) -> Column:
     """Length within the bounds and only residue letters (plus X and U), any case."""
-    ok = F.length(col).between(min_length, max_length) & F.upper(col).rlike(
-        f"^[{alphabet}{P.EXTRA_RESIDUES}]+$"
+    pattern = f"^[{alphabet}{P.EXTRA_RESIDUES}]+$"
+    # Bound once: a filter is pushed below the projection that derives the sequence.
+    ok = bind(
+        F.upper(col), lambda s: F.length(s).between(min_length, max_length) & s.rlike(pattern)
     )
     return F.coalesce(ok, F.lit(False))
 
@@ -47,17 +50,20 @@ def request_error(
 
     Lengths are those of the text as sent; letters are checked after strip and upper.
     """
-    case = (
-        F.when(col.isNull(), "missing")
-        .when(F.length(col) < min_length, "too_short")
-        .when(F.length(col) > max_length, "too_long")
-        .when(
-            ~F.upper(strip(col)).rlike(f"^[{alphabet}{P.EXTRA_RESIDUES}]+$"), "invalid_residues"
+    pattern = f"^[{alphabet}{P.EXTRA_RESIDUES}]+$"
+
+    def check(text: Column) -> Column:
+        case = (
+            F.when(text.isNull(), "missing")
+            .when(F.length(text) < min_length, "too_short")
+            .when(F.length(text) > max_length, "too_long")
+            .when(~F.upper(strip(text)).rlike(pattern), "invalid_residues")
         )
-    )
-    if batch_max is not None:
-        case = case.when(F.length(strip(col)) > batch_max, "too_long_for_batch")
-    return case
+        if batch_max is not None:
+            case = case.when(F.length(strip(text)) > batch_max, "too_long_for_batch")
+        return case
+
+    return bind(col, check)
 
 
 def normalize_request(col: Column) -> Column:

@@ -80,7 +80,7 @@ def _losses(z: Column, y: Column, temps: Sequence[Column]) -> Column:
 def fit_temperatures(
     scored: DataFrame,
     grid: Sequence[float] = P.TEMPERATURE_GRID,
-    rounds: int = 10,
+    rounds: int = 6,
     fallback: float = 1.0,
 ) -> DataFrame:
     """``(label_idx, temperature)`` that minimises the BCE per class.
