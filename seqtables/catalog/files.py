@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seqtables import params as P
 from seqtables.catalog.base import (
+    CELLS,
     CLASS_NAMES,
     DOCS,
     PART_GROUPS,
@@ -30,6 +31,7 @@ from seqtables.catalog.splitting import STRATIFIED, WORD_MAP
 from seqtables.functions.annotations import map_external_labels
 from seqtables.operators import metrics as M
 from seqtables.operators import similarity as C
+from seqtables.operators.calibrate import apply_class_params
 from seqtables.operators.clean import normalize_columns
 from seqtables.operators.splits import stratified_split
 from seqtables.plans import prepare
@@ -360,3 +362,32 @@ def embedding_store(spark, sf):
         F.count(F.lit(1)).alias("n_rows"),
         F.max(F.size("embedding")).cast("bigint").alias("dim"),
     )
+
+
+@query(
+    f"""WITH {CELLS}, t AS (SELECT unnest(range(0, 10)) AS label_idx),
+    d AS (SELECT cells.id, label_idx, CASE WHEN 1.0 / (1.0 + exp(-(z / CAST(1.0 + 0.1 * label_idx
+     AS DOUBLE)))) >= CAST(0.4 + 0.02 * label_idx AS DOUBLE) THEN 1 ELSE 0 END AS pred
+     FROM cells JOIN t USING (label_idx))
+    SELECT id, string_agg(CAST(pred AS VARCHAR), '' ORDER BY label_idx) AS preds FROM d GROUP BY id"""
+)
+def stored_class_params(spark, sf):
+    """Thresholds and temperatures saved, loaded and applied."""
+    path = scratch_path(spark, "params")
+    rows = scored(spark, sf)
+    classes = rows.select(F.posexplode("y").alias("label_idx", "_")).select("label_idx").distinct()
+    R.save_class_params(
+        classes.withColumn("threshold", F.expr("cast(0.4 + 0.02 * label_idx as double)")),
+        f"{path}/thresholds",
+    )
+    R.save_class_params(
+        classes.withColumn("temperature", F.expr("cast(1.0 + 0.1 * label_idx as double)")),
+        f"{path}/temperatures",
+    )
+    out = apply_class_params(
+        rows,
+        len(CLASS_NAMES),
+        R.load_class_params(spark, f"{path}/thresholds", "threshold"),
+        R.load_class_params(spark, f"{path}/temperatures", "temperature"),
+    )
+    return out.select("id", F.array_join(F.col("preds").cast("array<string>"), "").alias("preds"))

@@ -386,16 +386,28 @@ def join_reference(spark, sf):
 
 
 @query(
-    f"""WITH {REFERENCE}, u AS (SELECT words FROM looked WHERE full_id IS NOT NULL AND len(mapped) = 0)
-    SELECT count(*) AS n_source_rows,
+    f"""WITH {REFERENCE} SELECT count(*) AS n_source_rows,
      CAST(count_if(full_id IS NULL) AS BIGINT) AS n_skipped_missing_sequence,
-     CAST(count_if(full_id IS NOT NULL AND len(mapped) = 0) AS BIGINT) AS n_skipped_unmapped_labels,
-     (SELECT string_agg(DISTINCT w, ',' ORDER BY w) FROM (SELECT unnest(words) AS w FROM u))
-     AS unmapped_labels FROM looked"""
+     CAST(count_if(full_id IS NOT NULL AND len(mapped) = 0) AS BIGINT) AS n_skipped_unmapped_labels
+     FROM looked"""
 )
 def reference_skips(spark, sf):
-    out = R.reference_skips(*reference_inputs(spark, sf), WORD_MAP)
-    return out.withColumn("unmapped_labels", F.array_join("unmapped_labels", ","))
+    return R.reference_skips(*reference_inputs(spark, sf), WORD_MAP)
+
+
+@query(
+    f"""WITH {REFERENCE} SELECT DISTINCT unnest(words) AS name FROM looked
+    WHERE full_id IS NOT NULL AND len(mapped) = 0"""
+)
+def unmapped_labels(spark, sf):
+    return R.unmapped_labels(*reference_inputs(spark, sf), WORD_MAP)
+
+
+@query(f"WITH {STRATIFIED} SELECT doc_id, split FROM s")
+def split_data_fallback(spark, sf):
+    """Homology asked for without clusters: stratified by the first label."""
+    d = table(spark, sf, "documents").select("doc_id", F.array("lang", "source").alias("locations"))
+    return W.split_data(d, "homology", key="doc_id").select("doc_id", "split")
 
 
 @query(

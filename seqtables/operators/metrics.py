@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqtables import params as P
@@ -144,17 +144,17 @@ def grouped_metrics(
 def group_summary(scored: DataFrame, group: str, min_samples: int = 5) -> DataFrame:
     """Rows per kept group with the total rows and the number of kept groups on every row."""
     sizes = scored.groupBy(group).agg(F.count(F.lit(1)).alias("n_samples"))
-    every = Window.partitionBy()
-    return (
-        sizes.withColumn("total_samples", F.sum("n_samples").over(every))
-        .filter(F.col("n_samples") >= min_samples)
-        .withColumn("n_groups", F.count(F.lit(1)).over(every))
-        .select(
-            organism_name(F.col(group)).alias("group_name"),
-            "n_samples",
-            "total_samples",
-            "n_groups",
-        )
+    totals = sizes.agg(
+        F.struct(
+            F.sum("n_samples").alias("rows"),
+            F.count_if(F.col("n_samples") >= min_samples).alias("kept"),
+        ).alias("t")
+    ).scalar()
+    return sizes.filter(F.col("n_samples") >= min_samples).select(
+        organism_name(F.col(group)).alias("group_name"),
+        "n_samples",
+        totals["rows"].alias("total_samples"),
+        totals["kept"].alias("n_groups"),
     )
 
 

@@ -13,6 +13,7 @@ from seqtables.functions.annotations import (
     record_id_aliases,
 )
 from seqtables.operators.clean import dedup_keep_first
+from seqtables.operators.joins import keyed_lookup
 
 
 def alias_table(sequences: DataFrame, key: str, sequence: str, order: str) -> DataFrame:
@@ -30,8 +31,9 @@ def _looked_up(
     labels: DataFrame, aliases: DataFrame, label_map: Mapping[str, str] | None
 ) -> DataFrame:
     text = F.coalesce(F.col("raw_locations"), F.lit(""))
-    return labels.join(aliases, labels["id"] == aliases["alias"], "left").select(
-        labels["id"],
+    keyed = labels.withColumn("alias", F.col("id"))
+    return keyed_lookup(keyed, aliases, "alias", "left").select(
+        "id",
         "accession",
         "sequence",
         text.alias("raw_locations"),
@@ -56,21 +58,23 @@ def join_reference(
 def reference_skips(
     labels: DataFrame, aliases: DataFrame, label_map: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """One row: source rows, rows without sequence, rows without mapped label, unmapped names.
-
-    The set of names is that of a label vocabulary, far smaller than the rows.
-    """
+    """One row: source rows, rows without a sequence, rows without a mapped label."""
     found = _looked_up(labels, aliases, label_map)
     missing = F.col("accession").isNull()
-    unmapped = ~missing & (F.size("locations") == 0)
-    names = (
-        found.filter(unmapped)
-        .select(F.explode(external_tokens(F.col("raw_locations"))).alias("t"))
-        .distinct()
-        .agg(F.array_sort(F.collect_list("t")).alias("names"))
-    )
     return found.agg(
         F.count(F.lit(1)).alias("n_source_rows"),
         F.count_if(missing).alias("n_skipped_missing_sequence"),
-        F.count_if(unmapped).alias("n_skipped_unmapped_labels"),
-    ).withColumn("unmapped_labels", names.scalar())
+        F.count_if(~missing & (F.size("locations") == 0)).alias("n_skipped_unmapped_labels"),
+    )
+
+
+def unmapped_labels(
+    labels: DataFrame, aliases: DataFrame, label_map: Mapping[str, str] | None = None
+) -> DataFrame:
+    """``(name)``: distinct names in rows that have a sequence but no mapped label."""
+    found = _looked_up(labels, aliases, label_map)
+    return (
+        found.filter(F.col("accession").isNotNull() & (F.size("locations") == 0))
+        .select(F.explode(external_tokens(F.col("raw_locations"))).alias("name"))
+        .distinct()
+    )

@@ -9,7 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqtables.functions.annotations import map_external_labels, strip
-from seqtables.operators.reference import alias_table, join_reference, reference_skips
+from seqtables.operators.reference import (
+    alias_table,
+    join_reference,
+    reference_skips,
+    unmapped_labels,
+)
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -86,7 +91,7 @@ def load_reference_set(
     labels: str = "test_labels.tsv",
     predictions: str = "outputs/results_test.csv",
 ) -> tuple[DataFrame, dict]:
-    """Reference rows plus how they were obtained.
+    """Reference rows plus how they were obtained (``unmapped_labels`` is a frame of names).
 
     The label file wins when at least one of its rows maps to a known class; otherwise the
     prediction table is used; neither is an error.
@@ -113,7 +118,13 @@ def load_reference_set(
     if rows.isEmpty():
         raise RuntimeError("the reference set has no row with a known label")
     stats = reference_skips(chosen, aliases, label_map).first().asDict()
-    return rows, {"reference_type": kind, "reference_source": source, **stats}
+    names = unmapped_labels(chosen, aliases, label_map)
+    return rows, {
+        "reference_type": kind,
+        "reference_source": source,
+        **stats,
+        "unmapped_labels": names,
+    }
 
 
 def read_cluster_tsv(spark: SparkSession, path: str) -> DataFrame:
