@@ -34,9 +34,10 @@ Q, SQL, query = registry()
 @query(
     f"WITH {PROCESSED_LONG} SELECT label, count(*) AS n FROM kept GROUP BY label ORDER BY n DESC"
 )
-def labels_after_cleaning(spark, sf):
+def labels_after_cleaning(spark, sf, min_samples=P.MIN_SAMPLES):
     """Flagship: raw pages to label counts after every cleaning step."""
-    return label_report(prepare(raw_pages(spark, sf), ["ord"], PART_GROUPS))
+    pages = raw_pages(spark, sf)
+    return label_report(prepare(pages, ["ord"], PART_GROUPS, min_samples=min_samples))
 
 
 @query(

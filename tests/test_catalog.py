@@ -49,3 +49,10 @@ def test_query_matches_sql(spark, duck, sf, name):
 @pytest.mark.parametrize("name", sorted(catalog.queries().keys() - catalog.oracle_sql().keys()))
 def test_query_without_sql_gives_rows(spark, sf, name):
     assert catalog.queries()[name](spark, sf).count() > 0
+
+
+def test_entry_gives_rows(spark):
+    import __spark_entry__
+
+    rows = __spark_entry__.entry(spark).collect()
+    assert rows and rows[0]["n"] >= rows[-1]["n"] >= 5
