@@ -149,7 +149,7 @@ def instability_index(
     """10/L times the summed weight of neighbouring residues.
 
     The published dipeptide weights are passed in; pairs not given weigh ``default``. Neighbours
-    are looked up in Arrow batches, a native loop over an array is about fifty times slower.
+    are looked up in Arrow batches.
     """
     weights = np.array(
         [[float(dipeptide_weights.get(a + b, default)) for b in P.RESIDUES] for a in P.RESIDUES]
