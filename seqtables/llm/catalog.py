@@ -4,18 +4,67 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seqtables.llm.decontam import find_spans, hit_digests
 from seqtables.llm.secrets import scan_history, secret_digests
 from seqtables.llm.tables import table
 
 SQL: dict[str, str] = {}
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def sql_words(pattern: str) -> str:
+    """DuckDB list of the words of ``text``, ASCII letters lower-cased."""
+    return f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{pattern}')"
+
+
+
+
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = find_spans(docs, table(spark, folder, "benchmark"), "doc_id", "text")
+    return hit_digests(found).withColumnRenamed("row_id", "doc_id")
+
+
+ALNUM_WORDS = sql_words(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+SQL["op5_decontaminate"] = f"""
+WITH items AS (
+    SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {ALNUM_WORDS} AS w FROM benchmark
+), spots AS (
+    SELECT item, w, least(10, len(w)) AS size,
+        unnest(range(1, CAST(len(w) - least(10, len(w)) + 2 AS BIGINT))) AS i
+    FROM items WHERE len(w) > 0
+), windows AS (
+    SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS words FROM spots
+), docs AS (
+    SELECT row_number() OVER () AS row_id, doc_id, {ALNUM_WORDS} AS w FROM documents
+), places AS (
+    SELECT row_id, w, size, unnest(range(1, CAST(len(w) - size + 2 AS BIGINT))) AS i
+    FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size
+), found AS (
+    SELECT row_id, item, i, p.size FROM (
+        SELECT row_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS words FROM places
+    ) p JOIN windows v ON v.size = p.size AND v.words = p.words
+), hit AS (
+    SELECT row_id, count(DISTINCT spot) AS n_hit
+    FROM (SELECT row_id, unnest(range(i, i + size)) AS spot FROM found) GROUP BY row_id
+), named AS (
+    SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT row_id, item FROM found) GROUP BY row_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+    CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (row_id) LEFT JOIN named USING (row_id)
+"""
+
 
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_digests(scan_history(table(spark, folder, "documents"), "doc_id", "text"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op10_secret_scan,)}
+    return {f.__name__: f for f in (op5_decontaminate, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
