@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seqtables.llm.decontam import find_spans, hit_digests
 from seqtables.llm.secrets import scan_history, secret_digests
-from seqtables.llm.tables import table
+from seqtables.llm.quality import THRESHOLD as QUALITY_THRESHOLD
+from seqtables.llm.quality import quality_scores
+from seqtables.llm.tables import held_out, table
 
 SQL: dict[str, str] = {}
 
@@ -59,12 +62,27 @@ FROM docs LEFT JOIN hit USING (row_id) LEFT JOIN named USING (row_id)
 """
 
 
+def judged(scores: DataFrame, threshold: float) -> DataFrame:
+    return scores.select(
+        F.col("row_id").alias("doc_id"),
+        held_out(F.col("row_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    learn = ~held_out(F.col("row_id"))
+    return judged(quality_scores(docs, labels, "doc_id", "text", "quality", learn), QUALITY_THRESHOLD)
+
+
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_digests(scan_history(table(spark, folder, "documents"), "doc_id", "text"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_decontaminate, op10_secret_scan)}
+    return {f.__name__: f for f in (op5_decontaminate, op9_quality, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
