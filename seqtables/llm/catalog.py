@@ -10,6 +10,8 @@ from seqtables.llm.secrets import scan_history, secret_digests
 from seqtables.llm.quality import THRESHOLD as QUALITY_THRESHOLD
 from seqtables.llm.quality import quality_scores
 from seqtables.llm.tables import held_out, table
+from seqtables.llm.toxicity import THRESHOLD as TOXIC_THRESHOLD
+from seqtables.llm.toxicity import toxicity_scores
 
 SQL: dict[str, str] = {}
 
@@ -71,6 +73,12 @@ def judged(scores: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    learn = ~held_out(F.col("row_id"))
+    return judged(toxicity_scores(docs, labels, "doc_id", "text", "toxic", learn), TOXIC_THRESHOLD)
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     learn = ~held_out(F.col("row_id"))
@@ -82,7 +90,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_decontaminate, op9_quality, op10_secret_scan)}
+    return {f.__name__: f for f in (op5_decontaminate, op6_toxicity, op9_quality, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -40,8 +40,10 @@ def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
 class WordHasher:
     """Polynomial hashes (mod 2^64, then mixed) of the blank-separated words of some bytes."""
 
-    def __init__(self, table: bytes = SPACED):
+    def __init__(self, table: bytes = SPACED, heads: Sequence[int] = ()):
+        """With ``heads``, hashes have a row for the words and one for their first bytes."""
         self.table = table
+        self.heads = tuple(heads)
         self.up = powers(0)
         inverse = pow(int(BASE), -1, 2**64)
         self.inverse = np.uint64(inverse)
@@ -56,8 +58,18 @@ class WordHasher:
             self.up, self.down = powers(len(data)), powers(len(data), self.inverse)
         total = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(data.astype(np.uint64) * self.up[: len(data)], out=total[1:])
+        whole = self.spans(total, starts, ends)
+        if not self.heads:
+            return starts, whole
+        rows = [whole]
+        for size in self.heads:
+            stop = np.minimum(starts + size, ends)
+            rows.append(np.where(stop < ends, ~self.spans(total, starts, stop), whole))
+        return starts, np.stack(rows)
+
+    def spans(self, total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         sums = (total[ends] - total[starts]) * self.down[starts]
-        return starts, mix(sums + mix((ends - starts).astype(np.uint64)))
+        return mix(sums + mix((ends - starts).astype(np.uint64)))
 
     def words(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Like ``block`` for any length: blocks end at blanks, so no word is cut."""
@@ -75,7 +87,7 @@ class WordHasher:
             starts.append(s + lo)
             hashes.append(h)
             lo = hi
-        return np.concatenate(starts), np.concatenate(hashes)
+        return np.concatenate(starts), np.concatenate(hashes, axis=-1)
 
     def texts(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
         """Word hashes of each text in order; short texts share a block."""
@@ -96,7 +108,7 @@ class WordHasher:
         bounds = np.cumsum([len(r) + 1 for r in raws])
         at = 0
         for end in np.searchsorted(starts, bounds):
-            yield hashes[at:end]
+            yield hashes[..., at:end]
             at = end
 
 
