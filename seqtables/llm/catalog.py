@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqtables.llm.decontam import find_spans, hit_digests
 from seqtables.llm.secrets import scan_history, secret_digests
+from seqtables.llm.packing import pack_documents
 from seqtables.llm.quality import THRESHOLD as QUALITY_THRESHOLD
 from seqtables.llm.quality import quality_scores
 from seqtables.llm.tables import held_out, table
@@ -79,6 +80,17 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return judged(toxicity_scores(docs, labels, "doc_id", "text", "toxic", learn), TOXIC_THRESHOLD)
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_pack(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pack_documents(docs, "doc_id", "text", tokenizer_path()).withColumnRenamed("row_id", "doc_id")
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     learn = ~held_out(F.col("row_id"))
@@ -90,7 +102,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_decontaminate, op6_toxicity, op9_quality, op10_secret_scan)}
+    return {f.__name__: f for f in (op5_decontaminate, op6_toxicity, op7_pack, op9_quality, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
