@@ -10,6 +10,7 @@ from seqtables.llm.secrets import scan_history, secret_digests
 from seqtables.llm.packing import pack_documents
 from seqtables.llm.quality import THRESHOLD as QUALITY_THRESHOLD
 from seqtables.llm.quality import quality_scores
+from seqtables.llm.syncmers import fingerprint_edits
 from seqtables.llm.tables import held_out, table
 from seqtables.llm.toxicity import THRESHOLD as TOXIC_THRESHOLD
 from seqtables.llm.toxicity import toxicity_scores
@@ -91,6 +92,19 @@ def op7_pack(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(docs, "doc_id", "text", tokenizer_path()).withColumnRenamed("row_id", "doc_id")
 
 
+def op8_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    found = fingerprint_edits(table(spark, folder, "documents"), "doc_id", "text")
+    return found.select(
+        F.col("key").alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        F.col("fp_text").alias("fingerprint"),
+        F.col("fp_edited").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     learn = ~held_out(F.col("row_id"))
@@ -102,7 +116,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_decontaminate, op6_toxicity, op7_pack, op9_quality, op10_secret_scan)}
+    return {f.__name__: f for f in (op5_decontaminate, op6_toxicity, op7_pack, op8_fingerprint, op9_quality, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
