@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqtables.llm.decontam import find_spans, hit_digests
+from seqtables.llm import reputation
 from seqtables.llm.secrets import scan_history, secret_digests
 from seqtables.llm.packing import pack_documents
 from seqtables.llm.quality import THRESHOLD as QUALITY_THRESHOLD
@@ -33,6 +34,73 @@ def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return hit_digests(found).withColumnRenamed("row_id", "doc_id")
 
 
+def op1_host_reputation(spark: SparkSession, folder: str) -> DataFrame:
+    return reputation.judge_urls(table(spark, folder, "pages"), "page_id", "url")
+
+
+def sql_rules(column: int) -> str:
+    """CASE over the rules, the longest first, giving the rule or its verdict."""
+    ordered = sorted(reputation.RULES, key=lambda r: -len(r[1] + r[2]))
+    lines = [
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') "
+        f"THEN '{(h + p, v)[column]}'"
+        for v, h, p in ordered
+    ]
+    return f"CASE {' '.join(lines)} END"
+
+
+def sql_shrink(children: str, parents: str, parent: str) -> str:
+    return f"""
+    SELECT *, a / (a + b) AS mean FROM (
+        SELECT c.*, c.bad + strength * p.mean AS a, c.n - c.bad + strength * (1 - p.mean) AS b
+        FROM {children} c JOIN {parents} p USING ({parent}), (
+            SELECT 1 / greatest({reputation.LEAST_RHO}, least({reputation.MOST_RHO}, CASE
+                WHEN sum((n - 1) * v) FILTER (WHERE n > 0) > 0
+                THEN (sum(n * d * d) FILTER (WHERE n > 0) - sum(v) FILTER (WHERE n > 0))
+                    / sum((n - 1) * v) FILTER (WHERE n > 0)
+                ELSE {reputation.MOST_RHO} END)) - 1 AS strength
+            FROM (SELECT c.n, p.mean * (1 - p.mean) AS v,
+                    CASE WHEN c.n > 0 THEN c.bad / c.n - p.mean END AS d
+                FROM {children} c JOIN {parents} p USING ({parent}))))"""
+
+
+SQL["op1_host_reputation"] = f"""
+WITH cut AS (
+    SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0
+        THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), placed AS (
+    SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*', 0) AS raw FROM cut
+), sides AS (
+    SELECT page_id, translate(raw, '{UPPER}', '{LOWER}') AS host,
+        regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*', 0) AS path FROM placed
+), ruled AS (
+    SELECT *, {sql_rules(0)} AS rule, {sql_rules(1)} AS ruled FROM sides
+), hosts AS (
+    SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain,
+        CAST(count(*) FILTER (WHERE ruled = 'block') AS DOUBLE) AS bad, count(ruled) AS n
+    FROM ruled GROUP BY host
+), domains AS (
+    SELECT domain, string_split(domain, '.')[-1] AS suffix, sum(bad) AS bad, sum(n) AS n
+    FROM hosts GROUP BY domain
+), suffixes AS (
+    SELECT suffix, 0 AS root, sum(bad) AS bad, sum(n) AS n FROM domains GROUP BY suffix
+), roots AS (
+    SELECT 0 AS root, (sum(bad) + {reputation.START * reputation.WEIGHT})
+        / (sum(n) + {reputation.WEIGHT}) AS mean FROM suffixes
+), s AS ({sql_shrink("suffixes", "roots", "root")}
+), d AS ({sql_shrink("domains", "s", "suffix")}
+), h AS ({sql_shrink("hosts", "d", "domain")}
+), known AS (
+    SELECT host, n, mean, mean - {reputation.Z} * sqrt(mean * (1 - mean) / (a + b + 1)) AS low
+    FROM h
+)
+SELECT page_id, host, path, rule, coalesce(ruled,
+        CASE WHEN round(low, 9) > {reputation.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+    CAST(n AS BIGINT) AS host_outcomes, round(mean, 6) AS block_rate, round(low, 6) AS block_bound
+FROM ruled JOIN known USING (host)
+"""
+
+
 ALNUM_WORDS = sql_words(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SQL["op5_decontaminate"] = f"""
 WITH items AS (
@@ -116,7 +184,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_decontaminate, op6_toxicity, op7_pack, op8_fingerprint, op9_quality, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_host_reputation, op5_decontaminate, op6_toxicity, op7_pack, op8_fingerprint, op9_quality, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
