@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqtables.llm.decontam import find_spans, hit_digests
 from seqtables.llm import reputation
 from seqtables.llm.secrets import scan_history, secret_digests
+from seqtables.llm.jaccard import jaccard_components
 from seqtables.llm.packing import pack_documents
 from seqtables.llm.quality import THRESHOLD as QUALITY_THRESHOLD
 from seqtables.llm.quality import quality_scores
@@ -101,6 +102,55 @@ FROM ruled JOIN known USING (host)
 """
 
 
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard_components(table(spark, folder, "documents"), "doc_id", "text")
+    return found.withColumnRenamed("row_id", "doc_id")
+
+
+SPACED_WORDS = sql_words(r"[^\x20\x09-\x0D]+")
+
+
+def sql_links(source: str, width: int, percent: int) -> str:
+    """CTEs ``sized`` (doc_id, n) and ``component`` (doc_id, component_id) over ``source``."""
+    return f"""
+split AS (SELECT doc_id, {SPACED_WORDS} AS w FROM {source}
+), shingled AS (
+    SELECT doc_id, w, least({width}, len(w)) AS size,
+        unnest(range(1, CAST(len(w) - least({width}, len(w)) + 2 AS BIGINT))) AS i
+    FROM split WHERE len(w) > 0
+), sets AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + size - 1], ' ') AS g FROM shingled
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), prefix AS (
+    SELECT doc_id, g, n, row_number() OVER (PARTITION BY doc_id ORDER BY c, g) AS r
+    FROM sets JOIN sizes USING (doc_id) JOIN (SELECT g, count(*) AS c FROM sets GROUP BY g) USING (g)
+), kept AS (SELECT doc_id, g, n FROM prefix WHERE r <= n - ceil({percent} * n / 100.0) + 1
+), pairs AS (
+    SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM kept a JOIN kept b
+    ON a.g = b.g AND a.doc_id < b.doc_id
+    AND {percent} * a.n <= 100 * b.n AND {percent} * b.n <= 100 * a.n
+), links AS (
+    SELECT a, b FROM (
+        SELECT p.a, p.b, na, nb, count(*) AS shared FROM pairs p
+        JOIN sets x ON x.doc_id = p.a JOIN sets y ON y.doc_id = p.b AND x.g = y.g
+        GROUP BY ALL
+    ) WHERE 100 * shared >= {percent} * (na + nb - shared)
+), sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM {source}
+    UNION SELECT r.a, s.b FROM reach r JOIN sides s ON s.a = r.b
+), component AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+), sized AS (
+    SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n FROM split LEFT JOIN sizes USING (doc_id)
+)"""
+
+
+SQL["op3_jaccard_join"] = f"""
+WITH RECURSIVE {sql_links("documents", 3, 90)}
+SELECT doc_id, n AS n_shingles, component_id FROM sized JOIN component USING (doc_id)
+"""
+
+
 ALNUM_WORDS = sql_words(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SQL["op5_decontaminate"] = f"""
 WITH items AS (
@@ -184,7 +234,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_host_reputation, op5_decontaminate, op6_toxicity, op7_pack, op8_fingerprint, op9_quality, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_host_reputation, op3_jaccard_join, op5_decontaminate, op6_toxicity, op7_pack, op8_fingerprint, op9_quality, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
