@@ -10,8 +10,10 @@ from seqtables.llm import reputation
 from seqtables.llm.secrets import scan_history, secret_digests
 from seqtables.llm.jaccard import jaccard_components
 from seqtables.llm.packing import pack_documents
+from seqtables.llm.perspectives import rotate_perspectives
 from seqtables.llm.quality import THRESHOLD as QUALITY_THRESHOLD
 from seqtables.llm.quality import quality_scores
+from seqtables.llm.sharding import shard_documents
 from seqtables.llm.syncmers import fingerprint_edits
 from seqtables.llm.tables import held_out, table
 from seqtables.llm.toxicity import THRESHOLD as TOXIC_THRESHOLD
@@ -102,6 +104,49 @@ FROM ruled JOIN known USING (host)
 """
 
 
+def op2_perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    found = rotate_perspectives(turns, "conv_id", "turn", "role", "text")
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"]))
+    return found.select(
+        F.col("dialogue").alias("conv_id"),
+        "perspective",
+        "part",
+        "n_turns",
+        "text",
+        F.array_join(spans, ",").alias("train_spans"),
+    )
+
+
+SQL["op2_perspectives"] = """
+WITH turns AS (
+    SELECT conv_id, role, coalesce(text, '') AS content, row_number() OVER (PARTITION BY conv_id
+        ORDER BY turn NULLS FIRST, role NULLS FIRST, coalesce(text, '')) - 1 AS pos
+    FROM conversations
+), people AS (
+    SELECT DISTINCT conv_id, role AS perspective FROM turns
+    WHERE role IS NOT NULL AND role <> 'system'
+), lines AS (
+    SELECT t.conv_id, perspective, CAST(pos // 256 AS INTEGER) AS part, pos,
+        role IS NOT DISTINCT FROM perspective AS own,
+        '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system'
+            THEN 'system' ELSE 'user' || coalesce(' name=' || role, '') END || chr(10) AS head,
+        content || '<|im_end|>' AS body
+    FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), placed AS (
+    SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
+        PARTITION BY conv_id, perspective, part ORDER BY pos
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start
+    FROM lines
+)
+SELECT conv_id, perspective, part, count(*) AS n_turns,
+    string_agg(head || body || chr(10), '' ORDER BY pos) AS text,
+    coalesce(string_agg(CAST(start AS BIGINT) || ':' || CAST(start + length(body) AS BIGINT), ','
+        ORDER BY pos) FILTER (WHERE own), '') AS train_spans
+FROM placed GROUP BY conv_id, perspective, part
+"""
+
+
 def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     found = jaccard_components(table(spark, folder, "documents"), "doc_id", "text")
     return found.withColumnRenamed("row_id", "doc_id")
@@ -151,6 +196,19 @@ SELECT doc_id, n AS n_shingles, component_id FROM sized JOIN component USING (do
 """
 
 
+def op4_shards(spark: SparkSession, folder: str) -> DataFrame:
+    found = shard_documents(table(spark, folder, "documents"), "doc_id", "text")
+    return found.select(
+        F.col("row_id").alias("doc_id"),
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 ALNUM_WORDS = sql_words(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SQL["op5_decontaminate"] = f"""
 WITH items AS (
@@ -234,7 +292,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_host_reputation, op3_jaccard_join, op5_decontaminate, op6_toxicity, op7_pack, op8_fingerprint, op9_quality, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_host_reputation, op2_perspectives, op3_jaccard_join, op4_shards, op5_decontaminate, op6_toxicity, op7_pack, op8_fingerprint, op9_quality, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
