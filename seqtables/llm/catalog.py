@@ -291,8 +291,29 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_digests(scan_history(table(spark, folder, "documents"), "doc_id", "text"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
+QUERIES = (
+    op1_host_reputation,
+    op2_perspectives,
+    op3_jaccard_join,
+    op4_shards,
+    op5_decontaminate,
+    op6_toxicity,
+    op7_pack,
+    op8_fingerprint,
+    op9_quality,
+    op10_secret_scan,
+    pipeline,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_host_reputation, op2_perspectives, op3_jaccard_join, op4_shards, op5_decontaminate, op6_toxicity, op7_pack, op8_fingerprint, op9_quality, op10_secret_scan)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

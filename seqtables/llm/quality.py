@@ -252,3 +252,32 @@ def quality_scores(
     one = stats.dropDuplicates(["row_id"])
     model = fit(one, labels, row_id, label, learn)
     return scored_rows(stats, model)
+
+
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    row_id: str,
+    text: str,
+    label: str,
+    learn: Column,
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, with all their columns.
+
+    The texts are described once for the fit and once to be judged where they lie, so no text is
+    shuffled.
+    """
+    stats = stored(text_statistics(docs, row_id, text), "quality-stats")
+    model = fit(stats.dropDuplicates(["row_id"]), labels, row_id, label, learn)
+    place = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher(SPACED)
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            rows = [statistics(t, w) for t, w in zip(texts, hasher.texts(texts))]
+            stats = np.array(rows, dtype=float).reshape(len(rows), len(STATISTICS))
+            yield batch.filter(pa.array(model.score(stats) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -153,28 +153,42 @@ def spans_text(findings: Column) -> Column:
     )
 
 
-def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for start, end in sorted(spans):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([start, end])
-    return [tuple(x) for x in out]
-
-
-def redact(text: Column, findings: Column, mark: str = "[secret]") -> Column:
+def redacted(text: Column, findings: Column, mark: str = "[secret]") -> Column:
     """The text with every finding, overlapping ones as one, replaced by ``mark``."""
 
-    @F.udf("string")
-    def cover(value, spans):
-        at, out = 0, []
-        for start, end in merged_spans([(s["start"], s["end"]) for s in spans]):
-            out += [value[at:start], mark]
-            at = end
-        return "".join(out) + value[at:]
+    def step(state: Column, span: Column) -> Column:
+        apart = span["start"] >= state["at"]
+        upto = F.substr(text, state["at"] + 1, span["start"] - state["at"])
+        return F.struct(
+            F.greatest(state["at"], span["end"]).alias("at"),
+            F.when(apart, F.concat(state["out"], upto, F.lit(mark))).otherwise(state["out"]).alias("out"),
+        )
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # The rest of the text begins after the last finding; its length bounds it from above.
+    return F.when(
+        F.size(findings) > 0,
+        F.aggregate(
+            findings,
+            start,
+            step,
+            lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1, F.length(text))),
+        ),
+    ).otherwise(text)
+
 
-    return F.when(F.size(findings) > 0, cover(text, findings)).otherwise(text)
+def redact_texts(docs: DataFrame, found: DataFrame, text: str, mark: str = "[secret]") -> DataFrame:
+    """``docs`` with the findings of ``scan_history`` redacted; all columns and rows are kept."""
+    hits = (
+        found.filter(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
+    )
+    packed = docs.select(F.struct("*").alias("doc"), address(F.col(text)).alias("blob"))
+    joined = packed.join(hits, "blob", "left")
+    clean = redacted(F.col("doc")[text], F.col("findings"), mark)
+    # Without findings the size is null or -1, and the text stays.
+    return joined.select(
+        *[(clean if c == text else F.col("doc")[c]).alias(c) for c in docs.columns]
+    )
 
 
 def secret_digests(found: DataFrame) -> DataFrame:
