@@ -18,7 +18,6 @@ separate pieces; an empty table gives no pieces; a null id is kept; other column
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,48 +36,64 @@ MAX_STEPS = 6_000
 MAX_FILLINGS = 12
 MAX_ITEMS = 4
 # Pieces of text whose ids are remembered within a task.
-MEMORY = 300_000
+MEMORY = 500_000
 
 
 class ChunkEncoder:
-    """Ids of texts by a tokenizer file, with repeated chunks encoded once.
+    """Ids of texts by a byte-level tokenizer file, with repeated chunks encoded once.
 
-    A byte-level tokenizer without a normalizer never joins a character and a blank after it, so a
-    text is the concatenation of its chunks cut before single blanks. Texts where a blank follows
-    other white space, or that may hold a special token, are encoded whole.
+    Such a tokenizer, without a normalizer, never joins a character and a blank after it, so a text
+    is the concatenation of its chunks cut before single blanks. Texts where a blank follows other
+    white space, or that may hold a special token, are encoded whole.
     """
 
-    unsafe = re.compile(r"\s |<\||\s\Z")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.memory: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        encode = self.tokenizer.encode_batch_fast
-        found = encode(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        # A token of the vocabulary is written with one character for each byte.
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, number in vocabulary.items():
+            self.size[number] = len(token)
+        # Ids by chunk without its blank; False for a chunk that makes its text unsafe.
+        self.memory: dict[str, bytes | bool] = {}
+
+    def whole(self, text: str) -> bytes:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.array(found.ids, dtype="<u4").tobytes()
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for text in texts:
-            text = text or ""
-            if self.unsafe.search(text):
-                yield self.whole([text])[0]
-                continue
-            chunks = text.split(" ")
-            chunks[1:] = [" " + c for c in chunks[1:]]
-            memory = self.memory
-            new = list({c for c in chunks if c not in memory})
-            if new:
-                if len(memory) > MEMORY:
-                    memory.clear()
-                    new = list(set(chunks))
-                memory.update(zip(new, self.whole(new)))
-            yield b"".join([memory[c] for c in chunks])
+            first, *chunks = (text or "").split(" ")
+            found = list(map(self.memory.get, chunks))
+            if None in found:
+                if len(self.memory) > MEMORY:
+                    self.memory.clear()
+                    found = [None] * len(chunks)
+                self.learn(list({c for c, f in zip(chunks, found) if f is None}))
+                found = list(map(self.memory.get, chunks))
+            if False in found or first[-1:].isspace() or "<|" in first or not first:
+                yield self.whole(text or "")
+            else:
+                yield b"".join([self.whole(first), *found])
+
+    def learn(self, chunks: list[str]) -> None:
+        """Encodes new chunks side by side as one text and cuts the ids where a chunk begins."""
+        safe = [c for c in chunks if c and not c[-1].isspace() and "<|" not in c]
+        if len(safe) < len(chunks):
+            self.memory.update(dict.fromkeys(chunks, False))
+        if safe:
+            text = " " + " ".join(safe)
+            raw = self.whole(text)
+            ends = np.cumsum(self.size[np.frombuffer(raw, dtype="<u4")])
+            blanks = np.flatnonzero(np.frombuffer(text.encode(), dtype=np.uint8) == 32)
+            cuts = [*(4 * np.searchsorted(ends, blanks, side="right")).tolist(), len(raw)]
+            self.memory.update(
+                {c: raw[lo:hi] for c, lo, hi in zip(safe, cuts, cuts[1:])}
+            )
 
 
 def cut_pieces(
