@@ -282,15 +282,23 @@ def chunk_sequence(spark, sf):
     )
 
 
+def sized_text(col: str) -> str:
+    return f"coalesce(CAST(length(CAST({col} AS VARCHAR)) AS VARCHAR) || ':' || CAST({col} AS VARCHAR), '-')"
+
+
+DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+LANES = " || '-' || ".join(
+    f"CAST(sum(CAST(CAST('0x' || substr(h, {1 + 16 * i}, 16) AS UBIGINT) AS HUGEINT)) AS VARCHAR)"
+    for i in range(4)
+)
+
+
 @query(
-    """SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('|',
-    CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, o_orderpriority)), 1, 8)
-    AS BIGINT)) AS BIGINT) AS content_hash FROM orders"""
+    f"""SELECT count(*) AS n_rows, {LANES} AS content_hash
+    FROM (SELECT sha256({" || '|' || ".join(map(sized_text, DOC_COLUMNS))}) AS h FROM documents)"""
 )
 def content_fingerprint(spark, sf):
-    return K.content_fingerprint(
-        table(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
-    )
+    return K.content_fingerprint(table(spark, sf, "documents"))
 
 
 # --- labels and profiles ------------------------------------------------------------------------
@@ -315,7 +323,7 @@ def label_counts(spark, sf):
 def filter_rare_labels(spark, sf):
     rows = located_parts(spark, sf)
     bound = rows.agg(F.sum(F.size("locations"))).first()[0] // 8
-    return L.filter_rare_labels(rows, bound, key="p_partkey").select(
+    return L.filter_rare_labels(rows, bound).select(
         "p_partkey", A.labels_to_string(F.col("locations")).alias("locations_str")
     )
 

@@ -345,8 +345,7 @@ def class_markdown(spark, sf):
 
 
 @query(
-    f"""WITH {DOCS} SELECT substr(sha256(concat_ws('|', 'kmer3', 'mean', '1024', sequence)), 1, 16)
-    AS emb_key, count(*) AS n_rows, CAST(64 AS BIGINT) AS dim FROM docs GROUP BY 1"""
+    f"""WITH {DOCS} SELECT sha256(concat_ws('|', 'kmer3', 'mean', '1024', sequence)) AS emb_key, count(*) AS n_rows, CAST(64 AS BIGINT) AS dim FROM docs GROUP BY 1"""
 )
 def embedding_store(spark, sf):
     """Half of the sequences are stored first; the second call encodes the others only."""

@@ -41,12 +41,26 @@ def normal(key: Column) -> Column:
 
 
 def content_fingerprint(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Order-insensitive table hash ``(n_rows, content_hash)``: one pass, one row."""
+    """Order-insensitive table hash ``(n_rows, content_hash)``: one pass, one row.
+
+    Every value is written with its length and a null as a dash, so different rows have different
+    texts. The SHA-256 of a row is summed as four 64-bit numbers in decimals that do not overflow.
+    """
     names = cols or df.columns
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in names])
-    part = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+    def sized(name: str) -> Column:
+        text = F.col(name).cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    digest = F.sha2(F.concat_ws("|", *[sized(c) for c in names]), 256)
+
+    def lane(i: int) -> Column:
+        number = F.conv(F.substring(digest, 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)")
+        return F.coalesce(F.sum(number), F.lit(0)).cast("string")
+
     return df.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(part), F.lit(0)).alias("content_hash")
+        F.count(F.lit(1)).alias("n_rows"),
+        F.concat_ws("-", *[lane(i) for i in range(4)]).alias("content_hash"),
     )
 
 

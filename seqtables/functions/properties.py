@@ -184,10 +184,17 @@ PROPERTIES: dict[str, Callable[[], Column]] = {
 def sequence_properties(
     df: DataFrame,
     sequence: str = "sequence",
-    names: Sequence[str] = P.DEFAULT_PROPERTIES,
+    names: Sequence[str] | None = None,
     dipeptide_weights: Mapping[str, float] | None = None,
 ) -> DataFrame:
-    """Add one column per property; NaN below five residues and for unknown names."""
+    """Add one column per property; NaN below five residues and for unknown names.
+
+    Without ``names`` it is the default list, with the instability index only if the published
+    dipeptide weights are given: they are a parameter, not part of the library.
+    """
+    if names is None:
+        without = () if dipeptide_weights else ("instability_index",)
+        names = [n for n in P.DEFAULT_PROPERTIES if n not in without]
 
     def value(name: str) -> Column:
         if name == "instability_index":

@@ -29,11 +29,16 @@ def probabilities(logits: Column, temperatures: Column | None = None) -> Column:
     return F.zip_with(checked, temperatures, lambda z, t: sigmoid(z / t))
 
 
+def at_least(score: Column, bound: Column) -> Column:
+    """``score >= bound`` where NaN is below every bound, not above as in Spark's order."""
+    return F.nanvl(score.cast("double"), F.lit(float("-inf"))) >= bound
+
+
 def binarize(probs: Column, threshold: float | Column = P.THRESHOLD) -> Column:
-    """0/1 per class with >=; the threshold is one number or an array per class."""
+    """0/1 per class with >=; the threshold is one number or an array per class. NaN is 0."""
     if isinstance(threshold, Column):
-        return F.zip_with(probs, threshold, lambda p, t: (p >= t).cast("int"))
-    return F.transform(probs, lambda p: (p >= F.lit(float(threshold))).cast("int"))
+        return F.zip_with(probs, threshold, lambda p, t: at_least(p, t).cast("int"))
+    return F.transform(probs, lambda p: at_least(p, F.lit(float(threshold))).cast("int"))
 
 
 def rank_predictions(

@@ -17,10 +17,11 @@ def is_valid_sequence(
     max_length: int = P.MAX_LENGTH,
 ) -> Column:
     """Length within the bounds and only residue letters (plus X and U), any case."""
-    pattern = f"^[{alphabet}{P.EXTRA_RESIDUES}]+$"
+    foreign = f"[^{alphabet}{P.EXTRA_RESIDUES}]"
     # Bound once: a filter is pushed below the projection that derives the sequence.
     ok = bind(
-        F.upper(col), lambda s: F.length(s).between(min_length, max_length) & s.rlike(pattern)
+        F.upper(col),
+        lambda s: F.length(s).between(max(1, min_length), max_length) & ~s.rlike(foreign),
     )
     return F.coalesce(ok, F.lit(False))
 

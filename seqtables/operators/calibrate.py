@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqtables import params as P
-from seqtables.functions.scores import bce_cell, binarize, double_array, probabilities, sigmoid
+from seqtables.functions.scores import at_least, bce_cell, binarize, double_array, probabilities, sigmoid
 from seqtables.operators.losses import to_long
 from seqtables.session import materialize
 
@@ -34,7 +34,7 @@ def threshold_sweep(
     cells = scored.select(
         F.col(y).alias("_ys"), F.posexplode(probs).alias("label_idx", "p")
     ).withColumn("y", F.get(F.col("_ys"), F.col("label_idx")))
-    passed = sum((F.col("p") >= F.lit(c)).cast("int") for c in cuts)
+    passed = sum(at_least(F.col("p"), F.lit(c)).cast("int") for c in cuts)
     counts = (
         cells.withColumn("_bin", passed)
         .groupBy("label_idx", "_bin")

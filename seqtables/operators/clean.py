@@ -44,7 +44,10 @@ def normalize_columns(
 def cap_per_source(
     df: DataFrame, key: str, order: Sequence[str], n: int, **limits
 ) -> DataFrame:
-    """At most the first ``n`` rows of every source; ``order`` must be unique within a source."""
+    """At most the first ``n`` rows of every source; ``order`` must be unique within a source.
+
+    Rows without a source are one source of their own, whatever ``n`` is.
+    """
     if n < 1:
         raise ValueError("n must be positive")
     if n <= GROUP_LIMIT:
@@ -52,13 +55,19 @@ def cap_per_source(
         return df.withColumn("_rn", rank).filter(F.col("_rn") <= n).drop("_rn")
     # Large caps: find the order value of the n-th row per full source on narrow columns, then
     # filter the wide rows in place.
+    # The joins run on a text of the source that is never null.
+    source = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    named = df.withColumn("_source", source)
     full = materialize(
-        df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > n).select(key)
+        named.groupBy("_source")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > n)
+        .select("_source")
     )
-    narrow = keyed_lookup(df.select(key, *order), full, key, **limits)
-    ranked = grouped_row_number(narrow, [key], list(order), "_rn")
-    last = ranked.filter(F.col("_rn") == n - 1).select(key, F.struct(*order).alias("_last"))
-    marked = keyed_lookup(df, materialize(last), key, "left", **limits)
+    narrow = keyed_lookup(named.select("_source", *order), full, "_source", **limits)
+    ranked = grouped_row_number(narrow, ["_source"], list(order), "_rn")
+    last = ranked.filter(F.col("_rn") == n - 1).select("_source", F.struct(*order).alias("_last"))
+    marked = keyed_lookup(named, materialize(last), "_source", "left", **limits)
     keep = F.col("_last").isNull() | (F.struct(*order) <= F.col("_last"))
     return marked.filter(keep).select(*df.columns)
 

@@ -286,7 +286,7 @@ def run_matrix(
             metrics = {} if row is None else row.asDict()
             status = "ok" if metrics else "ok_no_metrics"
         except Exception as err:  # a failed variant is a result
-            status, error = "failed", f"{type(err).__name__}: {err}"[:500]
+            status, error = "failed", f"{type(err).__name__}: {err}"
         values = [metrics.get(m) for m in P.HEADLINE_METRICS]
         record = (tag, status, time.monotonic() - start, error, *values)
         spark.createDataFrame([record], schema).coalesce(1).write.mode("append").parquet(path)

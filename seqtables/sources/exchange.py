@@ -133,33 +133,46 @@ def read_cluster_tsv(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("ordinal", F.monotonically_increasing_id())
 
 
+def last_per_id(rows: DataFrame) -> DataFrame:
+    """One row per ``id``, that of the last line (``_line`` grows with the position)."""
+    cols = [c for c in rows.columns if c not in ("id", "_line")]
+    last = rows.groupBy("id").agg(F.max(F.struct("_line", *cols)).alias("_last"))
+    return last.select("id", *[F.col("_last")[c].alias(c) for c in cols])
+
+
 def read_signal_peptide_results(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, has_sp, sp_prob)``; comments, blank and short lines are skipped."""
+    """``(id, has_sp, sp_prob)``; comments, blank and short lines are skipped.
+
+    An id that is reported again keeps its last line.
+    """
     fields = F.split("value", "\t")
-    return (
+    return last_per_id(
         spark.read.text(path)
+        .withColumn("_line", F.monotonically_increasing_id())
         .filter(~F.col("value").startswith("#") & (F.length(strip(F.col("value"))) > 0))
-        .select(fields.alias("f"))
+        .select("_line", fields.alias("f"))
         .filter(F.size("f") >= 3)
         .select(
             F.col("f")[0].alias("id"),
             (F.col("f")[1] != "OTHER").cast("double").alias("has_sp"),
             F.coalesce(F.col("f")[2].try_cast("double"), F.lit(0.0)).alias("sp_prob"),
+            "_line",
         )
     )
 
 
 def read_tm_results(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, n_helices, has_tm, tm_fraction)`` from ``key=value`` result lines."""
+    """``(id, n_helices, has_tm, tm_fraction)`` from ``key=value`` result lines, the last per id."""
     value = F.col("value")
 
     def number(pattern: str) -> Column:
         return F.coalesce(F.regexp_extract(value, pattern, 1).try_cast("double"), F.lit(0.0))
 
     helices = number(r"PredHel=(\d+)")
-    return (
+    return last_per_id(
         spark.read.text(path)
         .select(
+            F.monotonically_increasing_id().alias("_line"),
             F.regexp_extract(value, r"(seq_\d+)", 1).alias("id"),
             helices.alias("n_helices"),
             (helices > 0).cast("double").alias("has_tm"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqtables import params as P
@@ -52,13 +52,11 @@ def report_lines(per_class: DataFrame, overall: DataFrame) -> DataFrame:
     row = "%-28s %10s %10s %10s %10s"
     num = "%-28s %10.3f %10.3f %10.3f %10d"
     rule = "-" * 70
-    n = F.count(F.lit(1)).over(Window.partitionBy())
     classes = per_class.select(
         (F.col("label_idx") + 2).cast("long").alias("line_no"),
         F.format_string(num, "label", "precision", "recall", "f1", F.col("support").cast("long")).alias(
             "line"
         ),
-        n.alias("_n"),
     )
     head = per_class.sparkSession.range(1).select(
         F.inline(
@@ -92,7 +90,7 @@ def report_lines(per_class: DataFrame, overall: DataFrame) -> DataFrame:
             )
         ).alias("i", "line")
     ).select((F.col("i") + 2 + size).cast("long").alias("line_no"), "line")
-    return head.unionByName(classes.drop("_n")).unionByName(tail)
+    return head.unionByName(classes).unionByName(tail)
 
 
 def write_metrics(per_class: DataFrame, overall: DataFrame, path: str) -> None:

@@ -13,8 +13,9 @@ from seqtables.operators.joins import keyed_lookup
 
 
 def embedding_key(sequence: Column, backbone: str, pooling: str, max_length: int) -> Column:
+    """Whole SHA-256: rows are joined by it, so a shortened one would mix up texts."""
     text = F.concat_ws("|", F.lit(backbone), F.lit(pooling), F.lit(str(max_length)), sequence)
-    return F.left(F.sha2(text, 256), F.lit(16))
+    return F.sha2(text, 256)
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -38,11 +39,14 @@ def embedding_store(
     """Rows with ``embedding`` attached and the number of sequences encoded in this call.
 
     Only sequences whose key is not stored yet are encoded, once each, and appended. ``encode``
-    takes ``(emb_key, sequence)`` rows and returns ``(emb_key, embedding)``.
+    takes ``(emb_key, sequence)`` rows, the sequences cut to ``max_length``, and returns
+    ``(emb_key, embedding)``.
     """
     spark = df.sparkSession
     keyed = df.withColumn("emb_key", embedding_key(F.col(sequence), backbone, pooling, max_length))
-    wanted = keyed.select("emb_key", F.col(sequence).alias("sequence"))
+    wanted = keyed.select(
+        "emb_key", F.substring(F.col(sequence), 1, max_length).alias("sequence")
+    )
     have = stored(spark, path)
     new = dedup_keep_first(wanted, "emb_key", ["emb_key"])
     if have is not None:

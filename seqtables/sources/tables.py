@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,10 +35,15 @@ def spread_scan(df: DataFrame) -> DataFrame:
 
 
 def read_raw(spark: SparkSession, paths: str | list[str], sep: str = "\t") -> DataFrame:
-    """Tab-separated result pages with a header; columns are matched by name per page set."""
-    return (
-        spark.read.option("sep", sep).option("header", True).option("multiLine", False).csv(paths)
-    )
+    """Tab-separated result pages with a header.
+
+    The paths of a list are matched by column name. Within one path (a folder or pattern) all
+    pages must have the same header; another one is an error, not a mix of columns.
+    """
+    reader = spark.read.option("sep", sep).option("header", True).option("multiLine", False)
+    reader = reader.option("enforceSchema", False)
+    pages = [reader.csv(p) for p in ([paths] if isinstance(paths, str) else paths)]
+    return reduce(lambda a, b: a.unionByName(b), pages)
 
 
 def write_raw(df: DataFrame, path: str, fmt: str = "parquet") -> None:

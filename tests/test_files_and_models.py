@@ -246,3 +246,36 @@ def test_stream_is_replay_safe_and_splits_rows(spark, tmp_path):
     assert {r["id"]: r["error"] for r in bad} == {
         "b": "too_short", "c": "invalid_residues", "d": "too_long_for_batch",
     }
+
+
+def test_stored_sequences_are_cut_and_keys_are_whole(spark, tmp_path):
+    seen = []
+
+    def encode(new):
+        seen.extend(r["sequence"] for r in new.collect())
+        return new.select("emb_key", F.array(F.lit(1.0)).alias("embedding"))
+
+    df = spark.createDataFrame([(1, "A" * 50)], "id int, sequence string")
+    out, _ = St.embedding_store(df, encode, str(tmp_path / "cut"), "k", max_length=8)
+    assert seen == ["A" * 8] and len(out.first()["emb_key"]) == 64
+
+
+def test_repeated_tool_lines_keep_the_last(spark, tmp_path):
+    path = tmp_path / "sp.txt"
+    path.write_text("# c\nseq_0\tOTHER\t0.1\nseq_1\tSP\t0.9\nseq_0\tSP\t0.8\n")
+    rows = {r["id"]: (r["has_sp"], r["sp_prob"]) for r in X.read_signal_peptide_results(spark, str(path)).collect()}
+    assert rows == {"seq_0": (1.0, 0.8), "seq_1": (1.0, 0.9)}
+    path = tmp_path / "tm.txt"
+    path.write_text("seq_0 len=10 ExpAA=5.0 PredHel=1\nseq_0 len=10 ExpAA=0.0 PredHel=0\n")
+    rows = X.read_tm_results(spark, str(path)).collect()
+    assert [(r["id"], r["n_helices"], r["tm_fraction"]) for r in rows] == [("seq_0", 0.0, 0.0)]
+
+
+def test_pages_are_matched_by_name(spark, tmp_path):
+    a, b = tmp_path / "a.tsv", tmp_path / "b.tsv"
+    a.write_text("Entry\tSequence\nP1\tMSK\n")
+    b.write_text("Sequence\tEntry\nAAA\tP2\n")
+    rows = T.read_raw(spark, [str(a), str(b)]).collect()
+    assert sorted((r["Entry"], r["Sequence"]) for r in rows) == [("P1", "MSK"), ("P2", "AAA")]
+    with pytest.raises(Exception, match="header"):
+        T.read_raw(spark, str(tmp_path / "*.tsv")).collect()

@@ -261,8 +261,27 @@ def test_fingerprints(spark):
     c = spark.createDataFrame([(2, None), (1, "y")], "i int, s string")
     marks = [K.content_fingerprint(d).first() for d in (a, b, c)]
     assert marks[0] == marks[1] != marks[2]
+    pair = [spark.createDataFrame([r], "a string, b string") for r in (("a|b", "c"), ("a", "b|c"), (None, ""), ("-", ""))]
+    assert len({K.content_fingerprint(d).first()["content_hash"] for d in pair}) == 4
+    many = spark.range(3).select(F.lit("x").alias("a"))
+    one = K.content_fingerprint(many.limit(1)).first()["content_hash"]
+    assert K.content_fingerprint(many).first()["content_hash"] == "-".join(str(3 * int(x)) for x in one.split("-"))
     same = [
         spark.range(1).select(K.params_fingerprint(p)).first()[0]
         for p in ({"a": 1, "b": 2, "root": "/x"}, {"b": 2, "a": 1, "root": "/y"})
     ]
     assert same[0] == same[1]
+
+
+def test_trailing_newline_is_no_residue(spark):
+    df = spark.createDataFrame([("M" * 30,), ("M" * 30 + "\n",), ("",), (None,)], "s string")
+    from seqtables.functions.sequences import is_valid_sequence
+
+    found = [r[0] for r in df.select(is_valid_sequence(F.col("s"))).collect()]
+    assert found == [True, False, False, False]
+
+
+def test_nan_scores_are_negative(spark):
+    df = spark.createDataFrame([([0.7, float("nan"), 0.5],)], "p array<double>")
+    assert df.select(S.binarize(F.col("p"))).first()[0] == [1, 0, 1]
+    assert df.select(S.binarize(F.col("p"), S.double_array([0.8, 0.1, 0.5]))).first()[0] == [0, 0, 1]
