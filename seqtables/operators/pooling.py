@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,12 @@ def _per_element(n: int, combine) -> Column:
     return F.array(*[combine(i) for i in range(n)])
 
 
+def _weighted_sum(vec: Column, weight: Column) -> Column:
+    """Sum of weighted vectors as one aggregate, whatever their width."""
+    scaled = F.transform(vec, lambda x: x.cast("double") * weight)
+    return vector_to_array(Summarizer.sum(array_to_vector(scaled)))
+
+
 def aggregate_chunks(
     chunks: DataFrame,
     n_classes: int,
@@ -70,21 +78,22 @@ def pool_tokens(
     """``(key, pooled)``: masked mean, position 0, or both side by side."""
     v, m = F.col(vec), F.col(mask).cast("double")
     count = F.greatest(F.sum(m), F.lit(1.0))
-    mean = _per_element(dim, lambda i: F.sum(F.get(v, F.lit(i)).cast("double") * m) / count)
-    first = _per_element(
-        dim, lambda i: F.max(F.when(F.col(pos) == 0, F.get(v, F.lit(i)).cast("double")))
-    )
+    first = F.max(F.when(F.col(pos) == 0, F.transform(v, lambda x: x.cast("double"))))
+    sums = {"_sum": _weighted_sum(v, m), "_count": count, "_first": first}
+    mean = F.transform("_sum", lambda x: x / F.col("_count"))
     if how == "mean":
         pooled = mean
+        del sums["_first"]
     elif how == "cls":
         return tokens.filter(F.col(pos) == 0).select(
             key, F.transform(v, lambda x: x.cast("double")).alias("pooled")
         )
     elif how == "mean_cls":
-        pooled = F.concat(first, mean)
+        pooled = F.concat("_first", mean)
     else:
         raise ValueError(f"unknown pooling: {how}")
-    return tokens.groupBy(key).agg(pooled.alias("pooled"))
+    summed = tokens.groupBy(key).agg(*[c.alias(n) for n, c in sums.items()])
+    return summed.select(key, pooled.alias("pooled"))
 
 
 def attention_pool(
@@ -100,7 +109,6 @@ def attention_pool(
     A fully masked sequence gets equal weights. A group is one sequence, so it is bounded by the
     sequence length, and the sum reuses the partitioning of the window.
     """
-    dim = len(weights)
     whole = Window.partitionBy(key)
     score = weighted_sum(F.col(vec), double_array(weights)) + F.lit(float(bias))
     scored = tokens.select(
@@ -109,8 +117,9 @@ def attention_pool(
     weight = F.when(F.col("_top").isNull(), F.lit(1.0)).otherwise(
         F.coalesce(F.exp(F.col("_s") - F.col("_top")), F.lit(0.0))
     )
-    w = F.col("_w")
-    pooled = _per_element(
-        dim, lambda i: F.sum(F.get(F.col(vec), F.lit(i)).cast("double") * w) / F.sum(w)
+    summed = (
+        scored.withColumn("_w", weight)
+        .groupBy(key)
+        .agg(_weighted_sum(F.col(vec), F.col("_w")).alias("_sum"), F.sum("_w").alias("_all"))
     )
-    return scored.withColumn("_w", weight).groupBy(key).agg(pooled.alias("pooled"))
+    return summed.select(key, F.transform("_sum", lambda x: x / F.col("_all")).alias("pooled"))

@@ -17,7 +17,10 @@ from seqtables.operators.joins import keyed_lookup
 
 
 def alias_table(sequences: DataFrame, key: str, sequence: str, order: str) -> DataFrame:
-    """``(alias, accession, sequence)``; the first record owning an alias keeps it."""
+    """``(alias, accession, sequence)``; the first record owning an alias keeps it.
+
+    Lookups resolve aliases on the two narrow columns; a sequence moves only to the row it joins.
+    """
     aliases = sequences.select(
         F.explode(record_id_aliases(F.col(key))).alias("alias"),
         F.col(key).alias("accession"),
@@ -32,10 +35,11 @@ def _looked_up(
 ) -> DataFrame:
     text = F.coalesce(F.col("raw_locations"), F.lit(""))
     keyed = labels.withColumn("alias", F.col("id"))
-    return keyed_lookup(keyed, aliases, "alias", "left").select(
+    narrow = aliases.select("alias", "accession")
+    return keyed_lookup(keyed, narrow, "alias", "left").select(
         "id",
+        "alias",
         "accession",
-        "sequence",
         text.alias("raw_locations"),
         map_external_labels(text, label_map).alias("locations"),
     )
@@ -45,8 +49,10 @@ def join_reference(
     labels: DataFrame, aliases: DataFrame, label_map: Mapping[str, str] | None = None
 ) -> DataFrame:
     """Rows with a sequence and at least one mapped label."""
-    found = _looked_up(labels, aliases, label_map)
-    return found.filter(F.col("accession").isNotNull() & (F.size("locations") > 0)).select(
+    found = _looked_up(labels, aliases, label_map).filter(
+        F.col("accession").isNotNull() & (F.size("locations") > 0)
+    )
+    return found.join(aliases.select("alias", "sequence"), "alias").select(
         "accession",
         "sequence",
         "locations",

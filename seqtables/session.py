@@ -60,6 +60,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, so that later reads can prune columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows are stored in the shared folder and lineage ends here."""
     checkpoint_dir(df.sparkSession)

@@ -15,6 +15,7 @@ from seqtables.operators.reference import (
     reference_skips,
     unmapped_labels,
 )
+from seqtables.session import stored_table
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -113,7 +114,7 @@ def load_reference_set(
         chosen, kind, source = guess, "tool_predictions", f"{root}/{predictions}"
     if chosen is None:
         raise FileNotFoundError(f"no reference labels below {root}")
-    aliases = alias_table(sequences, "id", "sequence", "ord")
+    aliases = stored_table(alias_table(sequences, "id", "sequence", "ord"), "aliases")
     rows = join_reference(chosen, aliases, label_map)
     if rows.isEmpty():
         raise RuntimeError("the reference set has no row with a known label")
