@@ -41,12 +41,24 @@ def cluster_split(spark, sf):
     return W.cluster_split(clustered(spark, sf)).select("doc_id", "cluster_id", "split")
 
 
-STRATIFIED = f"""r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang ORDER BY
-  {key_sql(42, 'doc_id')}) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents),
- q AS (SELECT *, round(n * 0.15::DOUBLE) AS t FROM r),
- s AS (SELECT doc_id, lang, source, CASE WHEN k <= t THEN 'test'
-  WHEN k <= t + round((n - t) * (0.15::DOUBLE / 0.85::DOUBLE)) THEN 'val' ELSE 'train' END AS split
-  FROM q)"""
+def stratified_sql(source: str, key: str, stratum: str) -> str:
+    """CTEs up to ``s``: the columns of ``source`` with ``split``; totals by largest remainder."""
+    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY {stratum} ORDER BY
+  {key_sql(42, key)}) AS k FROM {source}),
+ g AS (SELECT {stratum}, count(*)::HUGEINT AS n, sum(count(*)) OVER () AS total
+  FROM {source} GROUP BY {stratum}),
+ a AS (SELECT *, round(total * 0.15::DOUBLE)::HUGEINT AS nt FROM g),
+ b AS (SELECT *, n * nt // total + (row_number() OVER (ORDER BY n * nt % total DESC,
+  {key_sql("42|test", stratum)}) <= nt - sum(n * nt // total) OVER ())::INT AS t FROM a),
+ c AS (SELECT *, n - t AS m, total - nt AS rest,
+  round((total - nt) * (0.15::DOUBLE / 0.85::DOUBLE))::HUGEINT AS nv FROM b),
+ e AS (SELECT {stratum}, t, t + m * nv // rest + (row_number() OVER (ORDER BY m * nv % rest DESC,
+  {key_sql("42|val", stratum)}) <= nv - sum(m * nv // rest) OVER ())::INT AS tv FROM c),
+ s AS (SELECT r.*, CASE WHEN k <= t THEN 'test' WHEN k <= tv THEN 'val' ELSE 'train' END AS split
+  FROM r JOIN e USING ({stratum}))"""
+
+
+STRATIFIED = stratified_sql("documents", "doc_id", "lang")
 
 
 @query(f"WITH {STRATIFIED} SELECT doc_id, lang, split FROM s")
@@ -55,6 +67,13 @@ def stratified_split(spark, sf):
     return W.stratified_split(d, "lang", "doc_id")
 
 
+@query(f"WITH {stratified_sql('orders', 'o_orderkey', 'o_custkey')} SELECT o_orderkey, split FROM s")
+def small_strata_split(spark, sf):
+    """Thousands of strata of a few rows each."""
+    d = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("c"))
+    return W.stratified_split(d, "c", "o_orderkey").select("o_orderkey", "split")
+
+
 @query(
     f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {key_sql(7, 'doc_id')}) AS k,
      count(*) OVER () AS n FROM documents), q AS (SELECT *, round(n * 0.2::DOUBLE) AS t FROM r)

@@ -74,7 +74,7 @@ def grouped_row_number(
 
 def rank_cutoffs(
     keys: DataFrame,
-    quotas: Callable[[Column], Sequence[Column]],
+    quotas: Callable[[Column], Sequence[Column]] | DataFrame,
     groups: Sequence[str] = (),
     key: str = "key",
     digits: int = BUCKET_DIGITS,
@@ -82,7 +82,7 @@ def rank_cutoffs(
     """Key values at the wanted ranks of every group: ``(groups..., n, cut_0, cut_1, ...)``.
 
     ``key`` starts with uniform hex digits and is unique. ``quotas(n)`` gives the ranks for a
-    group of n rows; rank 0 gives a null cut. Only a histogram over the leading digits and the
+    group of n rows, or a frame gives them as columns beside the groups; rank 0 gives a null cut. Only a histogram over the leading digits and the
     few bins that hold a wanted rank are shuffled, never the rows themselves.
     """
     groups = list(groups)
@@ -97,7 +97,11 @@ def rank_cutoffs(
         F.sum("_c").over(upto).alias("_hi"),
         F.sum("_c").over(whole).alias("n"),
     )
-    wanted = quotas(F.col("n"))
+    if isinstance(quotas, DataFrame):
+        wanted = [F.col(c) for c in quotas.columns if c not in groups]
+        running = running.join(quotas, groups)
+    else:
+        wanted = quotas(F.col("n"))
     marks = F.array(
         *[
             F.struct(F.lit(i).alias("which"), r.cast("long").alias("rank"))

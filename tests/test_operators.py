@@ -176,6 +176,17 @@ def test_cluster_split_invariants(spark):
     assert sorted(map(tuple, other)) != sorted(map(tuple, out))
 
 
+def test_small_strata_reach_exact_totals(spark):
+    big = [(f"b{i}", "big") for i in range(1000)]
+    rows = big + [(f"s{i}", f"g{i // 3}") for i in range(120)]
+    df = spark.createDataFrame(rows, "accession string, g string")
+    n = {r["split"]: r["count"] for r in W.stratified_split(df, "g").groupBy("split").count().collect()}
+    assert n == {"test": 168, "val": 168, "train": 784}
+    small = df.filter("g != 'big'")
+    n = {r["split"]: r["count"] for r in W.stratified_split(small, "g").groupBy("split").count().collect()}
+    assert n == {"test": 18, "val": 18, "train": 84}
+
+
 def test_stratified_split_with_a_hot_stratum(spark):
     df = spark.range(1000).select(
         F.col("id").alias("accession"), F.when(F.col("id") < 900, "big").otherwise("small").alias("g")
