@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from seqtables import params as P
 from seqtables.functions.scores import at_least, bce_cell, binarize, double_array, probabilities, sigmoid
 from seqtables.operators.losses import to_long
-from seqtables.session import materialize
+from seqtables.session import materialize, stored_table
 
 
 def threshold_candidates(n: int = 19, low: float = 0.05, high: float = 0.95) -> list[float]:
@@ -80,17 +81,20 @@ def _losses(z: Column, y: Column, temps: Sequence[Column]) -> Column:
 def fit_temperatures(
     scored: DataFrame,
     grid: Sequence[float] = P.TEMPERATURE_GRID,
-    rounds: int = 6,
+    rounds: int = 30,
     fallback: float = 1.0,
+    tolerance: float = 1e-9,
 ) -> DataFrame:
     """``(label_idx, temperature)`` that minimises the BCE per class.
 
     A coarse grid picks a bracket. The loss is convex in b = 1/T, so every round is one safeguarded
     Newton step on b: a pass over the cells that sums two derivatives per class. Only one row per
-    class is shuffled; cells are never multiplied by candidates.
+    class is shuffled; cells are never multiplied by candidates. The input is computed once, its
+    logits and labels are stored for the passes. Rounds end when no class moves by more than
+    ``tolerance``; if ``rounds`` do not suffice, a warning says so.
     """
     grid = [float(t) for t in grid]
-    cells = to_long(scored)
+    cells = to_long(stored_table(scored.select("logits", "y"), "calibration"))
     z, y = F.col("z"), F.col("y")
     values = double_array(grid)
     best = F.array_min("_losses")["i"] + 1
@@ -107,12 +111,14 @@ def fit_temperatures(
         .select("*", F.col("_min").alias("_lo"), F.col("_max").alias("_hi"))
     )
     b, lo, hi = F.col("_b"), F.col("_lo"), F.col("_hi")
+    state = materialize(state)
+    names, moves = state.columns, None
     for _ in range(rounds):
         # One row per class on the right-hand side: the length of the logit array bounds it.
         p = sigmoid(b * z)
         sums = (
             cells.join(F.broadcast(state), "label_idx")
-            .groupBy(*state.columns)
+            .groupBy(*names)
             .agg(F.sum(z * (p - y)).alias("_g"), F.sum(z * z * p * (1 - p)).alias("_h"))
         )
         rising = F.col("_g") > 0
@@ -120,14 +126,22 @@ def fit_temperatures(
             {"_lo": F.when(rising, lo).otherwise(b), "_hi": F.when(rising, b).otherwise(hi)}
         ).withColumn("_next", b - F.col("_g") / F.nullif(F.col("_h"), F.lit(0.0)))
         step, middle = F.col("_next"), (lo + hi) / 2
-        state = moved.withColumn(
-            "_b",
+        found = (
             F.when(step.isNull(), b)
             .when(step <= F.col("_min"), F.col("_min"))
             .when(step >= F.col("_max"), F.col("_max"))
             .when((step < lo) | (step > hi), middle)
-            .otherwise(step),
-        ).select(*state.columns)
+            .otherwise(step)
+        )
+        after = materialize(
+            moved.withColumn("_move", F.abs(found - b)).withColumn("_b", found).select(*names, "_move")
+        )
+        moves = after.agg(F.coalesce(F.max("_move"), F.lit(0.0)).alias("m")).first()["m"]
+        state = after.select(*names)
+        if moves <= tolerance:
+            break
+    if moves is None or moves > tolerance:
+        warnings.warn(f"temperatures still move by {moves} after {rounds} rounds", stacklevel=2)
     return state.select(
         "label_idx",
         F.when(F.col("_has"), 1 / b).otherwise(F.lit(float(fallback))).alias("temperature"),
