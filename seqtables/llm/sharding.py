@@ -3,8 +3,8 @@
 Documents are linked through hubs: rows with the same hub key belong together (equal texts; for any
 other graph, each edge is a hub with two rows). Every row starts in a shard by its hash. In a round
 each hub sees how many of its rows sit in each shard and calls the others to the fullest one that
-still has room; a row follows if that leaves no fewer neighbours beside it. A shard accepts at
-most the rows its quota has room for: calls are counted in bins of the hub's hash, so a hub moves as
+still has room; a row follows if that leaves no fewer neighbours beside it. A shard's quota of linked
+rows is its even share, and it accepts at most the rows it has room for: calls are counted in bins of the hub's hash, so a hub moves as
 a whole, and the bin that no longer fits is taken in part. Only rows of hubs with two or more rows move,
 and only counts by hub, shard or bin are exchanged to decide.
 
@@ -26,8 +26,6 @@ from seqtables.operators.ranking import grouped_row_number
 
 SHARDS = 24
 ROUNDS = 4
-# Rows a shard may hold during the rounds, as a share of the even number.
-QUOTA = 1.1
 BINS = 512
 
 
@@ -112,16 +110,21 @@ def even_out(rows: DataFrame, shards: int, order: list[str]) -> DataFrame:
 def balanced_shards(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """``rows`` (with a ``hub`` and a ``row_hash``) with ``shard`` and ``slot``."""
     start = rows.withColumn("shard", F.pmod(F.xxhash64("row_hash"), F.lit(shards)).cast("int"))
-    hubs = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("hub_rows"))
-    marked = stored(start.join(hubs, "hub"), "shard-rows")
+    # Stored, so that the join shuffles plain rows and a partition with a hot hub can be split.
+    hubs = stored(
+        rows.groupBy("hub").agg(F.count(F.lit(1)).alias("hub_rows")).filter("hub_rows > 1"), "hubs"
+    )
+    marked = stored(
+        start.join(hubs, "hub", "left").withColumn("hub_rows", F.coalesce("hub_rows", F.lit(1))),
+        "shard-rows",
+    )
     linked = marked.filter("hub_rows > 1")
     loose = marked.filter("hub_rows = 1")
-    still = shard_counts(loose)
-    total = marked.count()
-    quota = -(-int(total * QUOTA) // shards)
+    # Rows without links make way at the end at no cost, so linked rows alone fill the quota.
+    quota = marked.count() // shards
     for number in range(rounds):
         now = shard_counts(linked)
-        room = {s: quota - now.get(s, 0) - still.get(s, 0) for s in range(shards)}
+        room = {s: quota - now.get(s, 0) for s in range(shards)}
         linked = stored(propagation_round(linked, room, number), "shard-round")
     settled = linked.unionByName(loose.select(*linked.columns)).select(
         "*", (F.col("hub_rows") == 1).alias("loose"), F.xxhash64("hub").alias("hub_order")
