@@ -18,6 +18,7 @@ separate pieces; an empty table gives no pieces; a null id is kept; other column
 from __future__ import annotations
 
 import os
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -35,8 +36,8 @@ MAX_STEPS = 6_000
 # Fillings kept at a branch, and items a filling may have beside the largest.
 MAX_FILLINGS = 12
 MAX_ITEMS = 4
-# Pieces of text whose ids are remembered within a task.
-MEMORY = 500_000
+# Chunks of text whose ids a worker process remembers, in each of two generations.
+MEMORY = 120_000
 
 
 class ChunkEncoder:
@@ -59,6 +60,18 @@ class ChunkEncoder:
             self.size[number] = len(token)
         # Ids by chunk without its blank; False for a chunk that makes its text unsafe.
         self.memory: dict[str, bytes | bool] = {}
+        self.older: dict[str, bytes | bool] = {}
+
+    @staticmethod
+    def shared(path: str) -> ChunkEncoder:
+        """One encoder for all tasks of a worker process, so the vocabulary is loaded once.
+
+        The class travels by value with each task, so what outlives a task hangs on ``sys``.
+        """
+        loaded = vars(sys).setdefault("_chunk_encoders", {})
+        if path not in loaded:
+            loaded[path] = ChunkEncoder(path)
+        return loaded[path]
 
     def whole(self, text: str) -> bytes:
         found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
@@ -70,16 +83,21 @@ class ChunkEncoder:
             first, *chunks = (text or "").split(" ")
             found = list(map(self.memory.get, chunks))
             if None in found:
-                if len(self.memory) > MEMORY:
-                    self.memory.clear()
-                    found = [None] * len(chunks)
-                self.learn(list({c for c, f in zip(chunks, found) if f is None}))
+                self.recall({c for c, f in zip(chunks, found) if f is None})
                 found = list(map(self.memory.get, chunks))
+                if len(self.memory) > MEMORY:
+                    self.older, self.memory = self.memory, {}
             if False in found or first[-1:].isspace() or "<|" in first or not first:
                 yield self.whole(text or "")
             else:
                 yield b"".join([self.whole(first), *found])
 
+    def recall(self, chunks: set[str]) -> None:
+        """Chunks of the older generation move on to the present one, others are encoded."""
+        known = chunks & self.older.keys()
+        self.memory.update((c, self.older[c]) for c in known)
+        self.learn(list(chunks - known))
+
     def learn(self, chunks: list[str]) -> None:
         """Encodes new chunks side by side as one text and cuts the ids where a chunk begins."""
         safe = [c for c in chunks if c and not c[-1].isspace() and "<|" not in c]
@@ -112,7 +130,7 @@ def cut_pieces(
     schema += ", ids array<int>" * keep_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer)
+        encoder = ChunkEncoder.shared(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []
