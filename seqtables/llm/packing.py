@@ -37,7 +37,7 @@ MAX_STEPS = 6_000
 MAX_FILLINGS = 12
 MAX_ITEMS = 4
 # Chunks of text whose ids a worker process remembers, in each of two generations.
-MEMORY = 120_000
+MEMORY = 350_000
 
 
 class ChunkEncoder:
