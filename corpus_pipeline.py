@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from seqtables.llm.catalog import tokenizer_path
 from seqtables.llm.decontam import clean_documents
-from seqtables.llm.jaccard import jaccard_components
+from seqtables.llm.jaccard import jaccard_components, small_or_shuffled
 from seqtables.llm.packing import pack_documents
 from seqtables.llm.quality import keep_good
 from seqtables.llm.secrets import redact_texts, scan_history
@@ -44,6 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document, that of the smallest id, of each group of near copies."""
     found = jaccard_components(docs, "doc_id", "text", WIDTH, PERCENT)
     copies = found.filter(F.col("row_id") != F.col("component_id")).select("row_id").distinct()
+    copies = small_or_shuffled(stored(copies, "near-copies"))
     kept = docs.join(copies, docs["doc_id"] == copies["row_id"], "left_anti")
     # Rows that repeat an id and its text are one document. Most tables have none.
     ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

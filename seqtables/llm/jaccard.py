@@ -8,19 +8,21 @@ first, and a pair is skipped once both sides are known to be connected.
    that ratio the smaller set's band or the next one holds the larger.
 2. Candidates. Within the pairs of a band, the symmetric difference has at most ``d`` elements. The
    hash space is cut into ``d + 1 + SPARE`` segments; at least ``1 + SPARE`` of them are equal in
-   both sets. Every set gives one signature for each segment, and sets that share one are
-   candidates. A segment with no element says little and is left out, unless more than ``SPARE`` of
-   a set's segments are empty: then one that is not empty might not be among the equal ones.
-3. Tiles. Candidate groups (components over shared signatures) are dealt into blocks of a bounded
-   number of rows. In a tile, sets are sorted by size; parity bitmaps bound the overlap from above,
-   because every differing bit is an element of the symmetric difference; what passes is
-   intersected exactly as sorted arrays.
+   both sets. Every set gives one signature for each segment. A segment with no element says little
+   and is left out, unless more than ``SPARE`` of a set's segments are empty: then one that is not
+   empty might not be among the equal ones. Parity bitmaps bound the overlap from above, because
+   every differing bit is an element of the symmetric difference; sets that share a signature and
+   pass the bound are candidates.
+3. Tiles. Candidate groups (components over candidates) are dealt into blocks of a bounded number
+   of rows. In a tile, sets are sorted by size and bounded again; what passes is intersected
+   exactly as sorted arrays.
 4. Large groups. After the blocks, one set of every component found so far is dealt again; then
    blocks of the sets outside the group's largest component are compared with all blocks. Sets of
    one component are never compared again, so a large group of mutual copies costs its size.
 
-Signatures are range-partitioned by signature and set, so one signature may span any number of
-tasks; a run that crosses a border is joined by the few rows at the borders.
+Signatures are combined before the shuffle, so one that very many sets share costs a row for each
+task. Texts are read twice: once for the sets, once for the candidates, whose narrow list is
+broadcast if it is small and joined by a shuffle if not.
 
 Defined results: null and empty texts, and texts without words, have an empty set and link with
 nothing; fewer words than ``width`` are one shingle; equal sets always link, however many there are;
@@ -30,6 +32,7 @@ columns are ignored. Component ids are the smallest id of the component.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,15 +41,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqtables.llm.components import components
 from seqtables.llm.tables import parts, stored
 from seqtables.llm.words import SPACED, WordHasher, mix, shingle_hashes
-from seqtables.operators.similarity import connected_components
+from seqtables.operators.joins import fits_broadcast
 
 SPARE = 2
 BITS = 1024
 # Rows and shingles of a block: bound the memory of a tile, not what is compared.
 BLOCK_ROWS = 512
 BLOCK_SHINGLES = 400_000
+# Texts for each bucket of signatures, and signatures a task holds before it sends them.
+BUCKET_ROWS = 4_096
+FLUSH_PAIRS = 2_000_000
 
 
 class Bands:
@@ -56,15 +63,19 @@ class Bands:
         self.percent = percent
         self.starts = [1]
 
+    def grow(self) -> None:
+        last = self.starts[-1]
+        self.starts.append(max(last + 1, -(-last * 100 // self.percent)))
+
     def of(self, n: int) -> int:
         while self.starts[-1] <= n:
-            last = self.starts[-1]
-            self.starts.append(max(last + 1, -(-last * 100 // self.percent)))
-        return int(np.searchsorted(self.starts, n, side="right")) - 1
+            self.grow()
+        return bisect_right(self.starts, n) - 1
 
     def segments(self, band: int) -> int:
         """Segments for pairs whose smaller set is in ``band``; 0 if only equal sets link."""
-        self.of(self.starts[-1])
+        while len(self.starts) < band + 2:
+            self.grow()
         small = self.starts[band + 1] - 1
         both = small + small * 100 // self.percent
         most = both * (100 - self.percent) // (100 + self.percent)
@@ -108,76 +119,183 @@ def set_key(members: np.ndarray) -> tuple[int, int]:
     return int(first.view(np.int64)[0]), int(second.view(np.int64)[0])
 
 
-def text_sets(docs: DataFrame, row_id: str, text: str, width: int, percent: int) -> DataFrame:
-    """``(row_id, n, k1, k2, sigs)``: set size, set key and signatures of every text."""
+def parity_bitmap(members: np.ndarray) -> np.ndarray:
+    odd = np.bincount((members & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def may_link(n: np.ndarray, maps: np.ndarray, i, others: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and the bound on the overlap of set ``i`` with ``others`` admit a link."""
+    both = n[others] + n[i]
+    differ = np.bitwise_count(maps[others] ^ maps[i]).sum(axis=-1, dtype=np.int64)
+    near = 100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])
+    return near & ((both - differ) // 2 >= -(-both * percent // (100 + percent)))
+
+
+def run_forest(keys: np.ndarray, n: np.ndarray, maps: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges that connect what may link among the sets of one signature: a breadth-first search
+    in which each set is compared once with those not reached yet."""
+    found = []
+    left = np.arange(len(keys))
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            near = may_link(n, maps, i, left, percent)
+            if near.any():
+                reached = left[near].tolist()
+                found += [(int(keys[i]), int(keys[j])) for j in reached]
+                queue += reached
+                left = left[~near]
+    return found
+
+
+def first_of_runs(marks: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct marks with their least keys, and ``(mark, key, least key)`` for the other keys."""
+    order = np.lexsort((keys, marks))
+    marks, keys = marks[order], keys[order]
+    new = np.concatenate(([True], marks[1:] != marks[:-1]))[: len(marks)]
+    head = keys[np.maximum.accumulate(np.where(new, np.arange(len(marks)), 0))]
+    other = keys != head
+    edges = np.stack((marks[other].view(np.int64), keys[other], head[other]))
+    return marks[new], keys[new], np.unique(edges, axis=1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, bands = WordHasher(SPACED), Bands(percent)
-        for batch in batches:
-            sizes, first, second, sigs = [], [], [], []
-            for words in hasher.texts(batch.column(1).to_pylist()):
-                members = shingle_set(words, width)
-                a, b = set_key(members)
-                sizes.append(len(members))
-                first.append(a)
-                second.append(b)
-                sigs.append(signatures(members, bands).view(np.int64))
-            columns = [pa.array(x, pa.int64()) for x in (sizes, first, second)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *columns, pa.array(sigs, pa.list_(pa.int64()))],
-                ["row_id", "n", "k1", "k2", "sigs"],
-            )
 
+def sets_and_stars(
+    docs: DataFrame, row_id: str, text: str, width: int, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(row_id, n, k1, k2, bits)`` with the size, key and bitmap of every set, and
+    ``(sig, a, b)``: keys of sets with the same signature, each with the first one of its run.
+
+    One pass over the texts and one shuffle. A task sends each signature once for some thousand
+    texts, with the least key that has it, and the edges from the other keys to that one; so a
+    signature held by very many sets makes no large group. Signatures, keys and edges travel as
+    packed numbers, dealt by the leading bits of the signature.
+    """
     rows = docs.select(F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "row_id long, n long, k1 long, k2 long, sigs array<long>")
+    buckets = max(parts(docs.sparkSession), -(-rows.count() // BUCKET_ROWS))
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, bands = WordHasher(SPACED), Bands(percent)
+        sigs: list[np.ndarray] = []
+        keys: list[int] = []
+        found: list[tuple] = []
+        maps: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            marks = np.concatenate(sigs) if sigs else np.empty(0, np.uint64)
+            owner = np.repeat(np.array(keys, dtype=np.int64), [len(x) for x in sigs])
+            marks, least, edges = first_of_runs(marks, owner)
+            home = ((marks >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            cuts = np.searchsorted(home, np.arange(buckets + 1, dtype=np.uint64))
+            table = np.array(found, dtype=np.int64).reshape(-1, 5)
+            bits = np.array(maps, dtype=np.uint64).reshape(-1, BITS // 64).view(np.int64)
+            table = np.hstack((table, bits))
+            out = []
+            for k, part in enumerate(zip(cuts[:-1], cuts[1:])):
+                pairs = np.stack((marks[slice(*part)].view(np.int64), least[slice(*part)]))
+                mine = (table[k::buckets], edges[:, k::buckets], pairs)
+                if any(x.size for x in mine):
+                    out.append((k, *[x.tobytes() for x in mine]))
+            columns = list(zip(*out)) or [[], [], [], []]
+            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            return pa.RecordBatch.from_arrays(arrays, ["bucket", "sets", "edges", "pairs"])
 
-def candidate_edges(sets: DataFrame) -> DataFrame:
-    """``(a, b)`` set keys whose components hold every pair that shares a signature."""
-    rows = sets.select(F.explode("sigs").alias("sig"), F.col("k1").alias("key"))
-    ranged = rows.repartitionByRange(parts(sets.sparkSession), "sig", "key")
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for row, words in zip(ids, hasher.texts(batch.column(1).to_pylist())):
+                members = shingle_set(words, width)
+                first, second = set_key(members)
+                found.append((row is None, row or 0, len(members), first, second))
+                maps.append(parity_bitmap(members))
+                sigs.append(signatures(members, bands))
+                keys.append(first)
+                size += len(sigs[-1])
+                if size > FLUSH_PAIRS:
+                    yield flush()
+                    sigs.clear(), keys.clear(), found.clear(), maps.clear()
+                    size = 0
+        yield flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = []
+        for batch in batches:
+            for part in batch.column(3):
+                pairs.append(np.frombuffer(part.as_py(), dtype=np.int64).reshape(2, -1))
+            for part in batch.column(1):
+                table = np.frombuffer(part.as_py(), dtype=np.int64).reshape(-1, 5 + BITS // 64)
+                ids = pa.array(table[:, 1], mask=table[:, 0] == 1)
+                none = pa.nulls(len(table), pa.int64())
+                sets = [pa.array(table[:, i]) for i in (2, 3, 4)]
+                bits = pa.array([r.tobytes() for r in table[:, 5:]], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, *sets, bits, none, none, none], names)
+            yield edge_batch([np.frombuffer(x.as_py(), dtype=np.int64).reshape(3, -1) for x in batch.column(2)])
+        if pairs:
+            marks, keys = np.concatenate(pairs, axis=1)
+            yield edge_batch([first_of_runs(marks.view(np.uint64), keys)[2]])
+
+    def edge_batch(edges: list[np.ndarray]) -> pa.RecordBatch:
+        three = np.concatenate(edges, axis=1) if edges else np.empty((3, 0), np.int64)
+        none = pa.nulls(three.shape[1], pa.int64())
+        bits = pa.nulls(three.shape[1], pa.binary())
+        columns = [none, none, none, none, bits, *map(pa.array, three)]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["row_id", "n", "k1", "k2", "bits", "sig", "a", "b"]
+    packed = rows.mapInArrow(deal, "bucket int, sets binary, edges binary, pairs binary")
+    schema = "row_id long, n long, k1 long, k2 long, bits binary, sig long, a long, b long"
+    met = stored(packed.repartition(buckets, "bucket").mapInArrow(meet, schema), "sets-and-stars")
+    sets = met.filter(F.col("n").isNotNull()).select("row_id", "n", "k1", "k2", "bits")
+    return sets, met.filter(F.col("n").isNull()).select("sig", "a", "b")
+
+
+def bounded_edges(sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: edges whose components hold every pair that shares a signature and passes the
+    bound of its bitmaps. Sets that share a passage only are told apart here, before any text moves.
+    """
+    runs = stars.select("sig", F.explode(F.array("a", "b")).alias("k1")).distinct()
+    held = sets.select("k1", "n", "bits").dropDuplicates(["k1"])
+    marked = runs.join(held, "k1")
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs are contiguous; the last one of a batch waits for the next."""
+        waiting = []
+
+        def edges(rows: pa.Table) -> pa.RecordBatch:
+            sig, n, keys = (np.asarray(rows.column(i).combine_chunks()) for i in (0, 1, 2))
+            raw = b"".join(rows.column(3).to_pylist())
+            maps = np.frombuffer(raw, dtype=np.uint64).reshape(len(sig), -1)
+            starts = np.concatenate(([0], np.flatnonzero(sig[1:] != sig[:-1]) + 1))
+            sizes = np.diff(np.concatenate((starts, [len(sig)])))
+            # Most runs are pairs; they are bounded all at once.
+            one = starts[sizes == 2]
+            one = one[may_link(n, maps, one, one + 1, percent)]
+            found = np.stack((keys[one], keys[one + 1]), axis=1).tolist()
+            for lo, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+                run = slice(lo, lo + m)
+                found += run_forest(keys[run], n[run], maps[run], percent)
+            both = np.unique(np.array(found, dtype=np.int64).reshape(-1, 2), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links each key of a run of one signature with the run's first key."""
-        sig = centre = None
-        names = ["sig", "a", "b"]
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            s, k = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            new = np.concatenate(([sig is None or s[0] != sig], s[1:] != s[:-1]))
-            at = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
-            head = np.where(at >= 0, k[np.maximum(at, 0)], k[0] if centre is None else centre)
-            pairs = np.unique(np.stack((k, head))[:, k != head], axis=1)
-            ends = [] if sig is not None else [(s[0], k[0])]
-            sig, centre = s[-1], head[-1]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(x) for x, _ in ends] + [None] * pairs.shape[1], pa.int64()),
-                    pa.array(np.concatenate((np.array([x for _, x in ends], np.int64), pairs[0]))),
-                    pa.array(np.concatenate((np.array([x for _, x in ends], np.int64), pairs[1]))),
-                ],
-                names,
-            )
-        if sig is not None:
-            one = [pa.array([int(x)], pa.int64()) for x in (sig, centre, centre)]
-            yield pa.RecordBatch.from_arrays(one, names)
-
-    found = stored(
-        ranged.sortWithinPartitions("sig", "key").mapInArrow(star, "sig long, a long, b long"),
-        "signature-stars",
+            sig = np.asarray(batch.column(0))
+            last = int(np.searchsorted(sig, sig[-1]))
+            if last or (waiting and np.asarray(waiting[0].column(0))[0] != sig[0]):
+                waiting.append(batch.slice(0, last))
+                yield edges(pa.Table.from_batches(waiting))
+                waiting = []
+            waiting.append(batch.slice(last))
+        if waiting:
+            yield edges(pa.Table.from_batches(waiting))
+
+    ordered = (
+        marked.select("sig", "n", "k1", "bits").repartition("sig").sortWithinPartitions("sig", "n", "k1")
     )
-    # A signature at a border has a row for each side: two rows for each partition at most.
-    borders = found.filter(F.col("sig").isNotNull())
-    least = borders.groupBy("sig").agg(F.min("a").alias("m"))
-    across = borders.join(least, "sig").select("a", F.col("m").alias("b"))
-    inside = found.filter(F.col("sig").isNull()).select("a", "b")
-    return inside.unionByName(across).filter("a != b").distinct()
-
-
-def parity_bitmap(members: np.ndarray) -> np.ndarray:
-    odd = np.bincount((members & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    return stored(ordered.mapInArrow(filtered, "a long, b long"), "bounded-edges").distinct()
 
 
 def tile_links(
@@ -196,16 +314,14 @@ def tile_links(
         other = lo + np.flatnonzero(comp[lo:i] != comp[i])
         if len(other) == 0:
             continue
-        both = sizes[other] + sizes[i]
-        differ = np.bitwise_count(maps[other] ^ maps[i]).sum(axis=1, dtype=np.int64)
-        need = -(-both * percent // (100 + percent))
-        passed = (both - differ) // 2 >= need
-        near = other[passed][np.argsort(differ[passed], kind="stable")]
-        need = dict(zip(other[passed].tolist(), need[passed].tolist()))
+        other = other[may_link(sizes, maps, i, other, percent)]
+        differ = np.bitwise_count(maps[other] ^ maps[i]).sum(axis=1)
+        near = other[np.argsort(differ, kind="stable")]
         for j in near.tolist():
             if comp[j] == comp[i]:
                 continue
-            if len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= need[j]:
+            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * shared >= percent * (sizes[i] + sizes[j] - shared):
                 found.append((ids[i], ids[j]))
                 comp[comp == comp[j]] = comp[i]
     return found
@@ -225,6 +341,11 @@ def tile_runner(width: int, percent: int):
     return run
 
 
+def small_or_shuffled(narrow: DataFrame) -> DataFrame:
+    """Marks a stored table of a few numbers a row for broadcasting if its row count allows."""
+    return F.broadcast(narrow) if fits_broadcast(narrow) else narrow
+
+
 def dealt(rows: DataFrame) -> DataFrame:
     """``rows`` with the number of blocks of their group, and a block by hash."""
     sums = rows.groupBy("group").agg(
@@ -232,20 +353,22 @@ def dealt(rows: DataFrame) -> DataFrame:
             F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)
         ).alias("blocks")
     )
-    return rows.join(sums, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    counted = small_or_shuffled(stored(sums, "group-blocks"))
+    return rows.join(counted, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
 
 
 def compare(rows: DataFrame, keys: list[str], width: int, percent: int, name: str) -> DataFrame:
-    tiles = rows.select(*keys, "id", "label", "text").groupBy(*keys)
+    # Dealt by all keys: left to the planner, rows would stay where a join by group had put them.
+    tiles = rows.select(*keys, "id", "label", "text").repartition(*keys).groupBy(*keys)
     return stored(tiles.applyInPandas(tile_runner(width, percent), "a long, b long"), name)
 
 
 def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     """``members`` with the label of their component over ``links``."""
-    comps = connected_components(links, "a", "b").select("id", F.col("root").alias("_root"))
+    comps = stored(components(links, "a", "b").select("id", F.col("root").alias("_root")), "labels")
     return (
         members.drop("label")
-        .join(comps, "id", "left")
+        .join(small_or_shuffled(comps), "id", "left")
         .withColumn("label", F.coalesce("_root", "id"))
         .drop("_root")
     )
@@ -264,7 +387,7 @@ def group_links(near: DataFrame, width: int, percent: int) -> DataFrame:
     heads = labelled(large, links).filter(F.col("label") == F.col("id"))
     again = compare(dealt(heads), ["group", "block"], width, percent, "links-of-heads")
     links = links.unionByName(again)
-    marked = stored(labelled(large, links), "labelled-members")
+    marked = labelled(large, links)
     sizes = marked.groupBy("group", "label").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("group").agg(
         F.max(F.struct("c", F.col("label").alias("l"))).alias("top"), F.count(F.lit(1)).alias("k")
@@ -311,10 +434,10 @@ def jaccard_components(
     docs: DataFrame, row_id: str, text: str, width: int = 3, percent: int = 90
 ) -> DataFrame:
     """``(row_id, n_shingles, component_id)`` for every row of ``docs``."""
-    sets = stored(text_sets(docs, row_id, text, width, percent), "shingle-sets")
+    sets, stars = sets_and_stars(docs, row_id, text, width, percent)
     filled = sets.filter("n > 0")
-    edges = stored(candidate_edges(filled), "candidate-edges")
-    comps = connected_components(edges, "a", "b")
+    edges = bounded_edges(filled, stars, percent)
+    comps = components(edges, "a", "b")
     roots = comps.select(F.col("root").alias("k1"), F.col("root").alias("group")).distinct()
     groups = comps.select(F.col("id").alias("k1"), F.col("root").alias("group")).unionByName(roots)
     classes = stored(
@@ -322,9 +445,9 @@ def jaccard_components(
     )
     members = classes.filter(F.col("id").isNotNull()).join(groups, "k1").select("id", "group", "n", "k1")
     rows = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
-    near = stored(rows.join(members, "id"), "candidate-texts")
+    near = stored(rows.join(small_or_shuffled(stored(members, "candidates")), "id"), "candidate-texts")
     links = group_links(near, width, percent)
-    found = connected_components(links, "a", "b").select("id", F.col("root").alias("component_id"))
+    found = components(links, "a", "b").select("id", F.col("root").alias("component_id"))
     named = classes.join(found, "id", "left").select(
         "k1", "k2", "n", F.coalesce("component_id", "id").alias("component_id")
     )

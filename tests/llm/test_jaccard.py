@@ -99,3 +99,27 @@ def test_bands_and_segments_lose_no_pair():
             assert len(shared) or not linked
             differ = int(np.bitwise_count(parity_bitmap(a) ^ parity_bitmap(b)).sum())
             assert both <= (len(a) + len(b) - differ) // 2
+
+
+def test_components_match_union_find(spark):
+    from seqtables.llm.components import components
+
+    draw = random.Random(8)
+    chain = [(i, i + 1) for i in range(40)]
+    star = [(100, 100 + i) for i in range(1, 60)]
+    loose = [(draw.randrange(200, 300), draw.randrange(200, 300)) for _ in range(60)]
+    pairs = chain + star + loose
+    draw.shuffle(pairs)
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    frame = spark.createDataFrame(pairs, "a long, b long")
+    found = {r["id"]: r["root"] for r in components(frame, "a", "b").collect()}
+    assert found == {x: find(x) for x in root if find(x) != x}
