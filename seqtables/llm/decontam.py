@@ -8,7 +8,9 @@ share of marked words exceeds a limit.
 
 The items are broadcast and each task builds the automaton. The size is proven before: items are
 dealt by hash into chunks, more of them until each holds at most ``MAX_BYTES`` or one item, and
-each chunk is one pass, so a larger benchmark takes more passes and never a larger broadcast.
+each chunk is one pass over the original texts, so a larger benchmark takes more passes and never a
+larger broadcast. Spans of all passes are joined per row before anything is cut or counted, so the
+number of chunks does not show in the result.
 
 Defined results: null and empty texts have no words and are never hit; equal rows get equal
 results, one output row for each input row; null item ids count under the empty string; a repeated
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqtables.llm.jaccard import small_or_shuffled
 from seqtables.llm.tables import stored
 from seqtables.llm.words import ALNUM, as_bytes
 
@@ -34,9 +37,8 @@ MAX_BYTES = 8_000_000
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 # A document with a larger share of hit words is dropped whole.
 MAX_COVERAGE = 0.5
-HITS = (
-    "row_id long, n_words long, hits array<struct<first:int,last:int>>, items array<string>"
-)
+SPANS = "array<struct<first:int,last:int>>"
+SPAN = pa.struct([("first", pa.int32()), ("last", pa.int32())])
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -198,6 +200,79 @@ def held_items(items: DataFrame, chunk: int) -> list[tuple[str, list[bytes]]]:
     return [(r["item"], item_words(r["text"])) for r in rows]
 
 
+def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, joined where they overlap or adjoin."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(spans):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], last))
+        else:
+            out.append((first, last))
+    return out
+
+
+def as_structs(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
+    return [{"first": a, "last": b} for a, b in spans]
+
+
+def one_pass(rows: DataFrame, items: DataFrame, chunk: int, window: int) -> DataFrame:
+    """``(row, n_words, hits, items)`` of one chunk of items for every row of ``(row, text)``."""
+    sent = rows.sparkSession.sparkContext.broadcast(held_items(items, chunk))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = SuffixAutomaton(sent.value, window)
+        for batch in batches:
+            counts, hits, names = [], [], []
+            for value in batch.column(1):
+                words = item_words(value.as_py())
+                spans, found = automaton.scan(words)
+                counts.append(len(words))
+                hits.append(as_structs(spans))
+                names.append(sorted(found))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(counts, pa.int64()),
+                    pa.array(hits, pa.list_(SPAN)),
+                    pa.array(names, pa.list_(pa.string())),
+                ],
+                ["row", "n_words", "hits", "items"],
+            )
+
+    return rows.mapInArrow(scan, f"row long, n_words long, hits {SPANS}, items array<string>")
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """The rows stored with a number ``_row`` of their own, the same in every pass."""
+    return stored(rows.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
+def all_passes(rows: DataFrame, items: DataFrame, chunks: list[int], window: int, hit: bool) -> DataFrame:
+    """The passes joined per row, with merged spans; only rows with a hit if ``hit``."""
+    found = None
+    for chunk in chunks:
+        more = one_pass(rows, items, chunk, window)
+        more = more.filter(F.size("hits") > 0) if hit else more
+        found = more if found is None else found.unionByName(more)
+    joined = found.groupBy("row").agg(
+        F.max("n_words").alias("n_words"),
+        F.flatten(F.collect_list("hits")).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index("hits")
+            spans = [
+                as_structs(merged_spans([(h["first"], h["last"]) for h in value.as_py()]))
+                for value in batch.column(place)
+            ]
+            kind = batch.schema.types[place]
+            yield batch.set_column(place, batch.schema.field(place), pa.array(spans, kind))
+
+    return joined.mapInArrow(merge, joined.schema)
+
+
 def find_spans(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -208,47 +283,17 @@ def find_spans(
     window: int = WINDOW,
     most: int = MAX_BYTES,
 ) -> DataFrame:
-    """``(row_id, n_words, hits, items)`` for every document row; ``row_id`` is unique."""
-    spark = docs.sparkSession
+    """``(row_id, n_words, hits, items)`` for every document row; hits are merged and in order."""
     items = chunked_items(benchmark, item, item_text, most)
-    chunks = [r["chunk"] for r in items.select("chunk").distinct().collect()] or [0]
-    passes = []
-    for chunk in sorted(chunks):
-        sent = spark.sparkContext.broadcast(held_items(items, chunk))
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            automaton = SuffixAutomaton(sent.value, window)
-            for batch in batches:
-                counts, hits, names = [], [], []
-                for value in batch.column(1):
-                    words = item_words(value.as_py())
-                    spans, found = automaton.scan(words)
-                    counts.append(len(words))
-                    hits.append([{"first": a, "last": b} for a, b in spans])
-                    names.append(sorted(found))
-                span = pa.struct([("first", pa.int32()), ("last", pa.int32())])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).cast(pa.int64()),
-                        pa.array(counts, pa.int64()),
-                        pa.array(hits, pa.list_(span)),
-                        pa.array(names, pa.list_(pa.string())),
-                    ],
-                    ["row_id", "n_words", "hits", "items"],
-                )
-
-        rows = docs.select(F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text"))
-        passes.append(rows.mapInArrow(scan, HITS))
-    if len(passes) == 1:
-        return passes[0]
-    found = passes[0]
-    for more in passes[1:]:
-        found = found.unionByName(more)
-    return found.groupBy("row_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_list("hits")).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
+    chunks = sorted(r["chunk"] for r in items.select("chunk").distinct().collect()) or [0]
+    rows = docs.select(F.col(row_id).cast("long").alias("row"), F.col(text).alias("text"))
+    if len(chunks) == 1:
+        return one_pass(rows, items, chunks[0], window).withColumnRenamed("row", "row_id")
+    rows = numbered(rows, "decontam-rows")
+    texts = rows.select(F.col("_row").alias("row"), "text")
+    found = all_passes(texts, items, chunks, window, hit=False).withColumnRenamed("row", "_row")
+    ids = rows.select("_row", F.col("row").alias("row_id"))
+    return ids.join(found, "_row").select("row_id", "n_words", "hits", "items")
 
 
 def hit_words(spans: list[tuple[int, int]]) -> int:
@@ -312,34 +357,55 @@ def clean_documents(
     item_text: str = "text",
     window: int = WINDOW,
     max_coverage: float = MAX_COVERAGE,
+    most: int = MAX_BYTES,
 ) -> DataFrame:
-    """The documents with hit spans cut out of their text, in one pass per chunk of items.
+    """The documents with hit spans cut out of their text.
 
     A document that lost more than ``max_coverage`` of its words is dropped. All columns are
-    kept; a null text stays null.
+    kept; a null text stays null. One chunk of items is cut while it is read; the spans of several
+    chunks are gathered on the original texts, and rows are cut once by all of them.
     """
-    spark = docs.sparkSession
-    items = chunked_items(benchmark, item, item_text, MAX_BYTES)
-    chunks = [r["chunk"] for r in items.select("chunk").distinct().collect()]
-    out = docs
-    for chunk in sorted(chunks):
-        sent = spark.sparkContext.broadcast(held_items(items, chunk))
-        place = out.columns.index(text)
-
-        def cut(batches: Iterator[pa.RecordBatch], sent=sent, place=place):
+    items = chunked_items(benchmark, item, item_text, most)
+    chunks = sorted(r["chunk"] for r in items.select("chunk").distinct().collect())
+    if not chunks:
+        return docs
+    place = docs.columns.index(text)
+
+    def cut_rows(batch: pa.RecordBatch, spans_of) -> pa.RecordBatch:
+        keep, texts = [], []
+        for n, value in enumerate(batch.column(place)):
+            value = value.as_py()
+            words = item_words(value)
+            spans = spans_of(n, words)
+            keep.append(hit_words(spans) <= max_coverage * len(words))
+            texts.append(cut_spans(value, spans) if spans else value)
+        cut_batch = batch.set_column(
+            place, batch.schema.field(place), pa.array(texts, batch.schema.types[place])
+        )
+        return cut_batch.filter(pa.array(keep, pa.bool_()))
+
+    if len(chunks) == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(held_items(items, chunks[0]))
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = SuffixAutomaton(sent.value, window)
             for batch in batches:
-                keep, texts = [], []
-                for value in batch.column(place):
-                    value = value.as_py()
-                    words = item_words(value)
-                    spans, _ = automaton.scan(words)
-                    keep.append(hit_words(spans) <= max_coverage * len(words))
-                    texts.append(cut_spans(value, spans) if spans else value)
-                cut_batch = batch.set_column(
-                    place, batch.schema.field(place), pa.array(texts, batch.schema.types[place])
-                )
-                yield cut_batch.filter(pa.array(keep, pa.bool_()))
-
-        out = out.mapInArrow(cut, out.schema)
-    return out
+                yield cut_rows(batch, lambda n, words: automaton.scan(words)[0])
+
+        return docs.mapInArrow(cut, docs.schema)
+
+    rows = numbered(docs, "decontam-rows")
+    texts = rows.select(F.col("_row").alias("row"), F.col(text).alias("text"))
+    found = all_passes(texts, items, chunks, window, hit=True)
+    found = found.select(F.col("row").alias("_row"), F.col("hits").alias("_hits"))
+    found = small_or_shuffled(stored(found, "decontam-spans"))
+
+    def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = batch.column(batch.num_columns - 1)
+            plain = batch.select(list(range(batch.num_columns - 1)))
+            yield cut_rows(
+                plain, lambda n, _: [(h["first"], h["last"]) for h in hits[n].as_py() or ()]
+            )
+
+    return rows.join(found, "_row", "left").select(*docs.columns, "_hits").mapInArrow(cut_all, docs.schema)

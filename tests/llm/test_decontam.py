@@ -92,6 +92,43 @@ def test_cleaning_cuts_spans_and_drops_covered_documents(spark, docs):
     assert out.filter(F.col("doc_id") == 3).count() == 1
 
 
+def test_chunks_do_not_change_the_result(spark, docs):
+    def run(letter, n, first=0):
+        return " ".join(f"{letter}{i}" for i in range(first, first + n))
+
+    # Item 3 overlaps the end of item 1 by four words; each item is a chunk of its own.
+    items = [(1, run("a", 12)), (2, run("b", 12)), (3, run("a", 14, first=8)), (4, "p q r s")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [
+        (1, f"{run('a', 12)} {run('x', 16)} {run('b', 12)}"),
+        (2, f"{run('x', 60)} {run('a', 22)} {run('y', 9)}"),
+        (3, f"{run('x', 30)} p q {run('a', 12)} r s {run('y', 9)}"),
+        (4, run("x", 20)),
+        (5, None),
+        (4, run("x", 20)),
+        (None, f"{run('x', 30)}, {run('b', 12)}!"),
+        (6, ""),
+    ]
+    rows = docs(texts)
+
+    def cleaned(most):
+        out = clean_documents(rows, bench, most=most)
+        assert out.schema == rows.schema
+        return sorted(repr(tuple(r)) for r in out.collect())
+
+    one = cleaned(10_000)
+    assert not any(r.startswith("(1,") for r in one) and len(one) == 7
+    assert any(f"{run('x', 60)}  {run('y', 9)}" in r for r in one)
+    assert any(f"p q  r s {run('y', 9)}" in r for r in one)
+    assert cleaned(1) == one
+
+    def spans(most):
+        return sorted(map(repr, find_spans(rows, bench, "doc_id", "text", most=most).collect()))
+
+    assert len(spans(1)) == len(texts)
+    assert spans(1) == spans(10_000)
+
+
 def test_words_are_those_of_the_contract():
     text = "Ab-c9 É x_Y\x7fz\u0080"
     assert [w.decode() for w in item_words(text)] == words(text)
