@@ -150,7 +150,7 @@ CODE_SQL = " + ".join(f"CAST(ascii(s[i + {j}]) - 64 AS BIGINT) * {27 ** (K - 1 -
 )
 def cluster_similar(spark, sf):
     return M.cluster_similar(
-        docs(spark, sf), "doc_id", "sequence", k=K, sketch=SKETCH, identity=IDENTITY
+        docs(spark, sf), "doc_id", "sequence", k=K, sketch=SKETCH, identity=IDENTITY, complete=True
     )
 
 

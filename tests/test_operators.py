@@ -282,6 +282,44 @@ def test_similar_clusters_equal_brute_force(spark, monkeypatch, hot_rows):
     assert found == brute_components(texts, 5, 10, 0.3, 0.8)
 
 
+@pytest.mark.parametrize("block", [1_000, 3])
+def test_similar_clusters_equal_all_pairs(spark, monkeypatch, block):
+    from itertools import combinations
+
+    monkeypatch.setattr(Sim, "BLOCK_ROWS", block)
+    rng = random.Random(5)
+    k, sketch, identity, coverage = 5, 10, 0.3, 0.8
+    one = "".join(rng.choice(P.RESIDUES) for _ in range(300))
+    near = one[:150] + "A" + one[151:]
+    # The doubled text is the longest of every bucket and covers neither near copy.
+    texts = {1: one, 2: near, 3: one + one}
+    shared = "".join(rng.choice(P.RESIDUES) for _ in range(60))
+    for i in range(10, 60):
+        tail = "".join(rng.choice(P.RESIDUES) for _ in range(rng.randint(20, 160)))
+        texts[i] = shared[: rng.choice([20, 40, 60])] + tail
+    texts[60], texts[61] = "A" * 80, "A" * 100
+    df = spark.createDataFrame(list(texts.items()), "accession bigint, sequence string")
+    sets = {i: Sim.kmer_set(t, k) for i, t in texts.items()}
+    marks = {i: set(sorted(Sim.kmer_hash(s).tolist())[:sketch]) for i, s in sets.items()}
+    parent = {i: i for i in texts}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in combinations(sorted(texts), 2):
+        short, long = sorted((len(texts[a]), len(texts[b])))
+        both, either = set(sets[a]) & set(sets[b]), set(sets[a]) | set(sets[b])
+        if marks[a] & marks[b] and short >= coverage * long and len(both) / len(either) >= identity:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    out = Sim.cluster_similar(df, k=k, sketch=sketch, identity=identity, coverage=coverage, complete=True)
+    found = {r["accession"]: r["cluster_id"] for r in out.collect()}
+    assert found[1] == found[2] != found[3] and found[60] == found[61]
+    assert found == {i: root(i) for i in texts}
+
+
 def test_connected_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + j) for j in range(1, 80)] + [(500, 400)]
     df = spark.createDataFrame(edges, "a int, b int")
