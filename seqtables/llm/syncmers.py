@@ -12,8 +12,9 @@ increasing run of positions), so shuffled passages do not pass for copies. Liken
 share, 0 to 1.
 
 Defined results: null and empty texts have the empty fingerprint; two empty fingerprints have
-likeness 1, an empty and another one 0; a text shorter than k is one anchor of its own; equal texts
-have equal fingerprints.
+likeness 1, an empty and another one 0; a text shorter than k is one anchor of its own, and so is a
+longer one without a closed syncmer, so only null and empty texts are empty; equal texts have equal
+fingerprints.
 """
 
 from __future__ import annotations
@@ -104,6 +105,9 @@ def anchors(text: str, k: int = K, s: int = S, size: int = SIZE) -> tuple[np.nda
         where = np.concatenate((place, at + lo))
         best, first = np.unique(both, return_index=True)
         best, place = best[:size], where[first[:size]]
+    if len(best) == 0:
+        # Closed syncmers are certain from 2k - s - 1 code points on, so this text is a short one.
+        return rolling(codes.astype(np.uint64), len(codes)), np.zeros(1, np.int64)
     return best, place
 
 

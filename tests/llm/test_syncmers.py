@@ -78,6 +78,23 @@ def test_likeness_and_chain():
     assert len(repeated[0]) == 64 and repeated[1].max() < 804_000
 
 
+def test_only_empty_texts_have_the_empty_fingerprint():
+    draw = np.random.default_rng(4)
+    bare = []
+    for n in [*range(1, 20)] * 40:
+        text = "".join(map(chr, draw.integers(97, 123, n)))
+        mark = anchors(text)
+        assert len(mark[0]) >= 1 and likeness(mark, mark) == 1.0
+        codes = np.array([ord(c) for c in text], np.uint64)
+        if n >= 12 and len(closed_syncmers(codes)[0]) == 0:
+            bare.append(text)
+    assert len(bare) > 20 and max(map(len, bare)) <= 16
+    marks = [anchors(t) for t in bare]
+    assert all(likeness(a, b) == 0.0 for a, b in zip(marks, marks[1:]))
+    assert len({int(m[0][0]) for m in marks}) == len(set(bare))
+    assert len(anchors("")[0]) == 0
+
+
 def test_edges(spark, docs):
     texts = [(5, "last text here"), (1, None), (2, ""), (3, "é\U0001f600漢 four"), (9, "x" * 200_000), (3, "é\U0001f600漢 four")]
     rows = fingerprint_edits(docs(texts), "doc_id", "text").collect()
