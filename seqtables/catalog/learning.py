@@ -67,10 +67,10 @@ def linear_probe_classes(spark, sf):
 
 @query()
 def boosted_trees(spark, sf):
-    """Per-class boosted trees with fewer, shallower trees than the default."""
+    """Per-class boosted trees with the operator's defaults on all training rows."""
     rows = examples(spark, sf)
     train = rows.filter("split = 'train'")
-    return M.evaluate_splits(rows, M.boosted_trees(train, CLASS_NAMES, n_trees=5, depth=3))
+    return M.evaluate_splits(rows, M.boosted_trees(train, CLASS_NAMES))
 
 
 @query()
@@ -128,9 +128,8 @@ def score_long(spark, sf):
     return out.select("id", F.transform("predictions", lambda p: p["location"]).alias("labels"))
 
 
-@query(f"WITH {DOCS} SELECT doc_id, CAST(64 AS BIGINT) AS dim FROM docs")
-def embed(spark, sf):
-    """Every sequence encoded by a plug-in encoder in Arrow batches."""
+def letter_shares(spark, sf):
+    """Every sequence encoded by a plug-in encoder of letter shares."""
 
     def factory():
         import numpy as np
@@ -145,11 +144,33 @@ def embed(spark, sf):
 
         return encode
 
-    return E.embed(docs(spark, sf), factory, "doc_id", "sequence").select(
+    return E.embed(docs(spark, sf), factory, "doc_id", "sequence")
+
+
+@query(f"WITH {DOCS} SELECT doc_id, CAST(64 AS BIGINT) AS dim FROM docs")
+def embed(spark, sf):
+    """Every sequence encoded by a plug-in encoder in Arrow batches."""
+    return letter_shares(spark, sf).select(
         "doc_id", F.size("embedding").cast("bigint").alias("dim")
     )
 
 
+@query(
+    f"""WITH {DOCS}, letters AS (SELECT doc_id, length(sequence) AS n,
+     unnest(string_split(sequence, '')) AS c FROM docs WHERE length(sequence) > 0)
+    SELECT doc_id, CAST(ascii(c) % 64 AS BIGINT) AS d, round(count(*) / any_value(n)::DOUBLE, 4) AS value
+    FROM letters GROUP BY 1, 2"""
+)
+def embed_values(spark, sf):
+    """The vectors of ``embed``: place and value of every cell that is not zero."""
+    cells = letter_shares(spark, sf).select("doc_id", F.posexplode("embedding").alias("d", "v"))
+    return cells.filter("v > 0").select(
+        "doc_id",
+        F.col("d").cast("bigint").alias("d"),
+        F.round(F.col("v").cast("double"), 4).alias("value"),
+    )
+
+
 CODE_3 = " + ".join(
     f"CAST(ascii(substr(sequence, i + {j}, 1)) - 64 AS BIGINT) * {27 ** (2 - j)}" for j in range(3)
 )

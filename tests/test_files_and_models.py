@@ -279,3 +279,21 @@ def test_pages_are_matched_by_name(spark, tmp_path):
     assert sorted((r["Entry"], r["Sequence"]) for r in rows) == [("P1", "MSK"), ("P2", "AAA")]
     with pytest.raises(Exception, match="header"):
         T.read_raw(spark, str(tmp_path / "*.tsv")).collect()
+
+
+def test_boosted_trees_query_fits_the_default_model(spark, sf, monkeypatch):
+    import inspect
+
+    from seqtables import catalog
+    from seqtables.catalog import learning
+
+    original, asked = learning.M.boosted_trees, []
+
+    def small(train, labels, **given):
+        asked.append(inspect.signature(original).bind(train, labels, **given))
+        return original(train, labels, n_trees=1, depth=1)
+
+    monkeypatch.setattr(learning.M, "boosted_trees", small)
+    assert catalog.queries()["boosted_trees"](spark, sf).count() == 3
+    asked[0].apply_defaults()
+    assert asked[0].arguments["n_trees"] == 300 and asked[0].arguments["depth"] == 6
