@@ -13,6 +13,7 @@ from seqtables.llm.packing import pack_documents
 from seqtables.llm.perspectives import rotate_perspectives
 from seqtables.llm.quality import THRESHOLD as QUALITY_THRESHOLD
 from seqtables.llm.quality import quality_scores
+from seqtables.llm import search_catalog
 from seqtables.llm.sharding import shard_documents
 from seqtables.llm.syncmers import fingerprint_edits
 from seqtables.llm.tables import held_out, table
@@ -308,6 +309,7 @@ QUERIES = (
     op8_fingerprint,
     op9_quality,
     op10_secret_scan,
+    *search_catalog.QUERIES,
     pipeline,
 )
 
@@ -317,4 +319,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | search_catalog.SQL
