@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seqtables.llm.runs import periodic_runs, planted_order
 from seqtables.llm.tables import table
+from seqtables.llm.vectors import near_vectors
 
 SQL: dict[str, str] = {}
 
@@ -65,4 +66,31 @@ LEFT JOIN kept USING (row_id)
 """
 
 
-QUERIES = (op12_periodic_runs,)
+def op13_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_vectors(table(spark, folder, "embeddings"), "vec_id", "embedding")
+    return found.withColumnRenamed("row_id", "vec_id")
+
+
+SQL["op13_embedding_near_dedup"] = """
+WITH RECURSIVE numbered AS (
+    SELECT row_number() OVER () AS row_id, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), sound AS (
+    SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM numbered
+    WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.row_id AS a, b.row_id AS b, a.vec_id AS va, b.vec_id AS vb
+    FROM sound a JOIN sound b ON a.row_id <> b.row_id AND len(a.v) = len(b.v)
+    WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.95
+), reach AS (
+    SELECT row_id AS a, row_id AS b, vec_id AS vb FROM numbered
+    UNION SELECT r.a, l.b, l.vb FROM reach r JOIN links l ON l.a = r.b
+), component AS (SELECT a AS row_id, min(vb) AS component_id FROM reach GROUP BY a
+), counted AS (SELECT a AS row_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id,
+    coalesce(vec_id = component_id, false) AS kept
+FROM numbered JOIN component USING (row_id) LEFT JOIN counted USING (row_id)
+"""
+
+
+QUERIES = (op12_periodic_runs, op13_embedding_near_dedup)
