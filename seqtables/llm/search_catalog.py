@@ -5,12 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seqtables.llm.runs import periodic_runs, planted_order
+from seqtables.llm.search import ranked_search
 from seqtables.llm.tables import table
 from seqtables.llm.vectors import near_vectors
 
 SQL: dict[str, str] = {}
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    found = ranked_search(docs, items, "doc_id", "text")
+    return found.withColumnsRenamed({"item": "item_id", "row_id": "doc_id"})
+
+
+SQL_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+SQL["op11_ranked_search"] = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row_id, doc_id, {SQL_TERMS} AS w FROM documents
+), filled AS (
+    SELECT row_id, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM docs WHERE len(w) > 0
+), totals AS (
+    SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM filled
+), counts AS (
+    SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(w) AS term FROM filled)
+    GROUP BY row_id, term
+), weighted AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight
+    FROM counts, totals GROUP BY term, docs
+), items AS (
+    SELECT row_number() OVER () AS item, item_id, {SQL_TERMS} AS w FROM benchmark
+), asked AS (
+    SELECT DISTINCT item, term FROM (SELECT item, unnest(w) AS term FROM items)
+), scores AS (
+    SELECT item, row_id, CAST(sum(weight * ((1000000000 * tf) //
+        (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+    FROM asked JOIN weighted USING (term) JOIN counts USING (term) JOIN filled USING (row_id), totals
+    GROUP BY item, row_id
+), ranked AS (
+    SELECT item, doc_id, score, row_number() OVER (
+        PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank
+    FROM scores JOIN filled USING (row_id) WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM ranked JOIN items USING (item) WHERE rank <= 10
+"""
+
+
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     found = periodic_runs(docs, "doc_id", "text", edit=planted_order)
@@ -93,4 +135,4 @@ FROM numbered JOIN component USING (row_id) LEFT JOIN counted USING (row_id)
 """
 
 
-QUERIES = (op12_periodic_runs, op13_embedding_near_dedup)
+QUERIES = (op11_ranked_search, op12_periodic_runs, op13_embedding_near_dedup)
