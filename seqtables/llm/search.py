@@ -319,8 +319,8 @@ def tree_search(rows: DataFrame, sent, n_docs: int, n_terms: int, k: int) -> Dat
     kind = rows.schema["row_id"].dataType.simpleString()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees, weight, n_items, start = sent.value
-        tree = DualTree(trees, weight, n_items, start, k)
+        parts, weight, n_items, start = sent.value
+        tree = DualTree([ItemTree(*part) for part in parts], weight, n_items, start, k)
         id_kind = None
         for batch in batches:
             id_kind = batch.schema.types[0]
@@ -377,7 +377,8 @@ def ranked_search(
         matched = rows.filter(F.size("terms") > 0)
         weight = weights(term_counts(matched, len(vocabulary)), sums["docs"])
         owner, term = np.array(pairs, np.int64).reshape(-1, 2).T
-        trees = item_trees(owner, term, weight)
+        # Plain arrays, so that executors need no package to read them.
+        trees = [(t.items, t.place, t.term) for t in item_trees(owner, term, weight)]
         context = spark.sparkContext
         start = np.zeros(len(held), np.int64)
         seed = matched.filter(F.pmod(F.xxhash64("row_id", "n"), F.lit(SEED_SHARE)) == 0)
