@@ -73,6 +73,52 @@ def boosted_trees(spark, sf):
     return M.evaluate_splits(rows, M.boosted_trees(train, CLASS_NAMES))
 
 
+FLAGS = ["A", "N", "R"]
+STUMP_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+
+
+@query(
+    f"""WITH cells AS (
+        SELECT flag, f, CAST(v AS DOUBLE) AS v, CAST(l_returnflag = flag AS INTEGER) AS y
+        FROM (SELECT l_returnflag, flag, unnest([{', '.join(STUMP_FEATURES)}]) AS v,
+            unnest([0, 1, 2]) AS f FROM lineitem, (SELECT unnest({FLAGS}) AS flag))
+    ), weights AS (
+        SELECT flag, greatest(1.0::DOUBLE, (count(*) - sum(y))::DOUBLE / sum(y)) AS w
+        FROM cells WHERE f = 0 GROUP BY flag
+    ), sums AS (
+        SELECT flag, f, v, sum(round((0.5 - y) * CASE y WHEN 1 THEN w ELSE 1 END * 1048576)) AS g,
+            sum(round(0.25 * CASE y WHEN 1 THEN w ELSE 1 END * 1048576)) AS h
+        FROM cells JOIN weights USING (flag) GROUP BY flag, f, v
+    ), running AS (
+        SELECT flag, f, v, sum(g) OVER up / 1048576 AS gl, sum(h) OVER up / 1048576 AS hl,
+            sum(g) OVER (PARTITION BY flag, f) / 1048576 AS g, sum(h) OVER (PARTITION BY flag, f) / 1048576 AS h
+        FROM sums WINDOW up AS (PARTITION BY flag, f ORDER BY v)
+    ), gains AS (
+        SELECT *, (gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1)) / 2 AS gain
+        FROM running WHERE hl >= 1 AND h - hl >= 1
+    )
+    SELECT flag, CAST(f AS INTEGER) AS feature, v AS cut, round(-0.1 * gl / (hl + 1), 6) AS left_value,
+        round(-0.1 * (g - gl) / (h - hl + 1), 6) AS right_value
+    FROM gains QUALIFY row_number() OVER (PARTITION BY flag ORDER BY gain DESC, f, v) = 1"""
+)
+def boosted_stumps(spark, sf):
+    """The first tree of depth one for each return flag of the line items."""
+    flag = F.col("l_returnflag")
+    rows = table(spark, sf, "lineitem").select(
+        F.array(*[F.col(c).cast("double") for c in STUMP_FEATURES]).alias("features"),
+        F.array(*[(flag == x).cast("int") for x in FLAGS]).alias("y"),
+    )
+    scorer = M.boosted_trees(rows, FLAGS, n_trees=1, depth=1, bins=128)
+    found = [
+        (x, int(m.feature[0, 0]), float(m.cut[0, 0]), *map(float, m.leaf[0]))
+        for x, m in zip(FLAGS, scorer.models)
+    ]
+    trees = spark.createDataFrame(
+        found, "flag string, feature int, cut double, left_value double, right_value double"
+    )
+    return trees.withColumns({c: r6(c) for c in ("left_value", "right_value")})
+
+
 @query()
 def calibrated_evaluation(spark, sf):
     """Temperatures and thresholds from the validation split, used on the test split."""

@@ -8,12 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.ml.classification import (
-    GBTClassificationModel,
-    GBTClassifier,
-    LogisticRegression,
-    LogisticRegressionModel,
-)
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +23,13 @@ from seqtables.operators.metrics import (
     per_class_metrics,
 )
 from seqtables.operators.pooling import aggregate_chunks, explode_chunks
+from seqtables.plans.boosting import (
+    BoostedTrees,
+    boosted_logits,
+    fit_boosted,
+    load_trees,
+    save_trees,
+)
 from seqtables.sources.reports import load_class_params, save_class_params
 
 # A class seen with one value only is predicted as that value, far from the decision border.
@@ -122,43 +124,50 @@ def boosted_trees(
     n_trees: int = 300,
     depth: int = 6,
     rate: float = 0.1,
-    seed: int = P.SEED,
-    **kwargs,
+    features: str = "features",
+    y: str = "y",
+    **limits,
 ) -> Scorer:
     """Gradient-boosted trees per class; positives weigh max(1, negatives / positives)."""
-
-    def fit(rows: DataFrame, positives: int, n: int) -> GBTClassificationModel:
-        heavier = max(1.0, (n - positives) / max(1, positives))
-        weight = F.when(F.col("label") == 1, heavier).otherwise(1.0)
-        return GBTClassifier(
-            featuresCol="_vec",
-            labelCol="label",
-            weightCol="_w",
-            maxIter=n_trees,
-            maxDepth=depth,
-            stepSize=rate,
-            seed=seed,
-        ).fit(rows.withColumn("_w", weight))
-
-    return fit_per_class(train, labels, fit, **kwargs)
+    sizes = _class_sizes(train, y)
+    models: list[object] = []
+    weights = {}
+    for c in range(len(labels)):
+        positives, n = sizes.get(c, (0, 0))
+        if positives in (0, n):
+            models.append(CONSTANT_LOGIT if positives else -CONSTANT_LOGIT)
+        else:
+            models.append(None)
+            weights[c] = max(1.0, (n - positives) / positives)
+    if weights:
+        found = fit_boosted(
+            train, weights, len(labels), n_trees, depth, rate, features=features, y=y, **limits
+        )
+        models = [found.get(c, model) for c, model in enumerate(models)]
+    return Scorer(list(labels), models)
 
 
 def add_logits(df: DataFrame, scorer: Scorer, features: str = "features") -> DataFrame:
     """Add the ``logits`` array, one entry per class."""
     rows = with_vector(df, features)
+    trees = [m for m in scorer.models if isinstance(m, BoostedTrees)]
+    if trees:
+        rows = rows.withColumn("_trees", boosted_logits(trees, F.col(features)))
     columns: list[Column] = []
+    grown = 0
     for i, model in enumerate(scorer.models):
         if isinstance(model, float):
             columns.append(F.lit(model))
-            continue
-        raw = f"_raw_{i}"
-        bare = model.copy()
-        bare.setFeaturesCol("_vec").setRawPredictionCol(raw)
-        bare.setProbabilityCol("").setPredictionCol("")
-        rows = bare.transform(rows)
-        margin = vector_to_array(raw)[1]
-        # The booster's raw value is half the log-odds.
-        columns.append(margin * 2 if isinstance(model, GBTClassificationModel) else margin)
+        elif isinstance(model, BoostedTrees):
+            columns.append(F.get("_trees", F.lit(grown)))
+            grown += 1
+        else:
+            raw = f"_raw_{i}"
+            bare = model.copy()
+            bare.setFeaturesCol("_vec").setRawPredictionCol(raw)
+            bare.setProbabilityCol("").setPredictionCol("")
+            rows = bare.transform(rows)
+            columns.append(vector_to_array(raw)[1])
     return rows.select(*df.columns, F.array(*columns).alias("logits"))
 
 
@@ -301,13 +310,17 @@ def save_scorer(spark: SparkSession, scorer: Scorer, root: str, name: str) -> st
     """Store a bundle below ``root`` and register it in the bundle table; returns its path."""
     path = f"{root.rstrip('/')}/bundles/{name}"
     rows = []
+    trees = {i: m for i, m in enumerate(scorer.models) if isinstance(m, BoostedTrees)}
+    if trees:
+        save_trees(spark, trees, f"{path}/trees")
     for i, (label, model) in enumerate(zip(scorer.labels, scorer.models)):
         if isinstance(model, float):
             rows.append((i, label, "constant", model))
-            continue
-        model.write().overwrite().save(f"{path}/models/{i}")
-        kind = "trees" if isinstance(model, GBTClassificationModel) else "linear"
-        rows.append((i, label, kind, None))
+        elif i in trees:
+            rows.append((i, label, "trees", None))
+        else:
+            model.write().overwrite().save(f"{path}/models/{i}")
+            rows.append((i, label, "linear", None))
     spark.createDataFrame(rows, "label_idx int, label string, kind string, constant double").coalesce(
         1
     ).write.mode("overwrite").parquet(f"{path}/labels")
@@ -336,11 +349,12 @@ def load_scorer(
     chosen = path or last or newest_bundle(spark, root)
     table = spark.read.parquet(f"{chosen}/labels").orderBy("label_idx").collect()
     models: list[object] = []
+    trees = load_trees(spark, f"{chosen}/trees") if any(r["kind"] == "trees" for r in table) else {}
     for row in table:
         if row["kind"] == "constant":
             models.append(float(row["constant"]))
         elif row["kind"] == "trees":
-            models.append(GBTClassificationModel.load(f"{chosen}/models/{row['label_idx']}"))
+            models.append(trees[row["label_idx"]])
         else:
             models.append(LogisticRegressionModel.load(f"{chosen}/models/{row['label_idx']}"))
     return Scorer(
