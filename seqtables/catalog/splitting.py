@@ -130,27 +130,24 @@ CODE_SQL = " + ".join(f"CAST(ascii(s[i + {j}]) - 64 AS BIGINT) * {27 ** (K - 1 -
     f"""WITH RECURSIVE {DOCS}, reps AS (SELECT sequence, min(doc_id) AS id, length(sequence) AS len
      FROM docs GROUP BY sequence),
     letters AS (SELECT id, len, string_split(sequence, '') AS s FROM reps WHERE len >= {K}),
-    codes AS (SELECT id, len, list_distinct(list_transform(range(1, len - {K} + 2),
-     lambda i: CAST({CODE_SQL} AS BIGINT))) AS codes FROM letters),
-    sketch AS (SELECT id, len, unnest(list_slice(list_sort(list_transform(codes,
-     lambda c: {hash_sql('c')})), 1, {SKETCH})) AS bucket FROM codes),
-    centres AS (SELECT bucket, arg_min(id, (-len, id)) AS centre, max(len) AS clen FROM sketch
-     GROUP BY bucket),
-    cand AS (SELECT DISTINCT id AS member, centre FROM sketch JOIN centres USING (bucket)
-     WHERE id <> centre AND len >= clen * {P.COVERAGE}),
-    sized AS (SELECT member, centre, len(list_intersect(a.codes, b.codes)) AS common,
-     len(a.codes) + len(b.codes) AS total FROM cand JOIN codes a ON a.id = member
-     JOIN codes b ON b.id = centre),
-    edges AS (SELECT member AS u, centre AS v FROM sized WHERE common / (total - common)::DOUBLE >= {IDENTITY}
-     UNION ALL SELECT centre, member FROM sized WHERE common / (total - common)::DOUBLE >= {IDENTITY}),
+    grams AS (SELECT DISTINCT id, len, unnest(list_transform(range(1, len - {K} + 2),
+     lambda i: CAST({CODE_SQL} AS BIGINT))) AS g FROM letters),
+    sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id),
+    common AS (SELECT a.id AS u, b.id AS v, count(*) AS c FROM grams a JOIN grams b
+     ON a.g = b.g AND a.id < b.id AND least(a.len, b.len) >= greatest(a.len, b.len) * {P.COVERAGE}
+     GROUP BY a.id, b.id),
+    links AS (SELECT u, v FROM common JOIN sizes x ON x.id = u JOIN sizes y ON y.id = v
+     WHERE c / (x.n + y.n - c)::DOUBLE >= {IDENTITY}),
+    edges AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
     walk AS (SELECT id AS node, id AS reach FROM reps UNION
      SELECT node, v FROM walk JOIN edges ON u = reach),
     roots AS (SELECT node, min(reach) AS root FROM walk GROUP BY node)
     SELECT doc_id, root AS cluster_id FROM docs JOIN reps USING (sequence) JOIN roots ON node = id"""
 )
 def cluster_similar(spark, sf):
+    """Clusters of similar texts; the SQL compares all pairs, so equal rows show a recall of one."""
     return M.cluster_similar(
-        docs(spark, sf), "doc_id", "sequence", k=K, sketch=SKETCH, identity=IDENTITY, complete=True
+        docs(spark, sf), "doc_id", "sequence", k=K, sketch=SKETCH, identity=IDENTITY
     )
 
 

@@ -1,6 +1,7 @@
 """Operators on small frames: hand-made results, invariants, and the paths for hot keys."""
 
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -246,13 +247,12 @@ def brute_components(texts, k, sketch, identity, coverage):
         return i
 
     for members in buckets.values():
-        centre = min(members, key=lambda i: (-len(reps[i]), i))
-        for m in members:
-            a, b = grams(reps[m]), grams(reps[centre])
-            if m != centre and len(reps[m]) >= coverage * len(reps[centre]):
-                if len(a & b) / len(a | b) >= identity:
-                    x, y = sorted((root(m), root(centre)))
-                    parent[y] = x
+        for x, y in combinations(members, 2):
+            a, b = grams(reps[x]), grams(reps[y])
+            short, long = sorted((len(reps[x]), len(reps[y])))
+            if short >= coverage * long and len(a & b) / len(a | b) >= identity:
+                low, high = sorted((root(x), root(y)))
+                parent[high] = low
     return {i: root(first[t]) for i, t in texts.items()}
 
 
@@ -269,7 +269,7 @@ def test_similar_clusters_equal_brute_force(spark, monkeypatch, hot_rows):
     texts[200], texts[201], texts[202] = "MSK", "MSK", "AAA"
     if hot_rows == 8:
         monkeypatch.setattr(J, "BROADCAST_ROWS", 3)
-        monkeypatch.setattr(Sim, "BROADCAST_SEQUENCES", 3)
+        monkeypatch.setattr(Sim, "fits_broadcast", lambda dim: False)
         original = J.keyed_lookup
         monkeypatch.setattr(
             Sim,
@@ -282,11 +282,8 @@ def test_similar_clusters_equal_brute_force(spark, monkeypatch, hot_rows):
     assert found == brute_components(texts, 5, 10, 0.3, 0.8)
 
 
-@pytest.mark.parametrize("block", [1_000, 3])
-def test_similar_clusters_equal_all_pairs(spark, monkeypatch, block):
-    from itertools import combinations
-
-    monkeypatch.setattr(Sim, "BLOCK_ROWS", block)
+@pytest.mark.parametrize("block", [1_000, 6])
+def test_similar_clusters_equal_all_pairs(spark, block):
     rng = random.Random(5)
     k, sketch, identity, coverage = 5, 10, 0.3, 0.8
     one = "".join(rng.choice(P.RESIDUES) for _ in range(300))
@@ -314,12 +311,52 @@ def test_similar_clusters_equal_all_pairs(spark, monkeypatch, block):
         if marks[a] & marks[b] and short >= coverage * long and len(both) / len(either) >= identity:
             x, y = sorted((root(a), root(b)))
             parent[y] = x
-    out = Sim.cluster_similar(df, k=k, sketch=sketch, identity=identity, coverage=coverage, complete=True)
+    out = Sim.cluster_similar(df, k=k, sketch=sketch, identity=identity, coverage=coverage, block_rows=block)
     found = {r["accession"]: r["cluster_id"] for r in out.collect()}
     assert found[1] == found[2] != found[3] and found[60] == found[61]
     assert found == {i: root(i) for i in texts}
 
 
+def test_doubled_texts_part_no_near_copies(spark):
+    """Each pair of near copies stands beside a text that is the longest of all its buckets."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(0, 36, 3):
+        one = "".join(rng.choice(P.RESIDUES) for _ in range(200))
+        rows += [(i, one), (i + 1, one[:100] + "AA" + one[102:]), (i + 2, one + one)]
+    found = dict(Sim.cluster_similar(spark.createDataFrame(rows, "accession int, sequence string")).collect())
+    assert found == {i: i - i % 3 if i % 3 < 2 else i for i in range(36)}
+
+
+def test_recall_of_similar_pairs(spark):
+    """Random pairs at similarities from 0.3: linked as all pairs say, with default parameters."""
+    rng = random.Random(11)
+    texts, linked = {}, []
+    for i in range(300):
+        one = [rng.choice(P.RESIDUES) for _ in range(rng.randint(150, 500))]
+        other = list(one)
+        for _ in range(rng.randint(1, len(one) // 5)):
+            other[rng.randrange(len(other))] = rng.choice(P.RESIDUES)
+        texts[2 * i], texts[2 * i + 1] = "".join(one), "".join(other)
+        a, b = (Sim.kmer_set(texts[j], 6) for j in (2 * i, 2 * i + 1))
+        linked.append(Sim.jaccard(a, b) >= P.IDENTITY)
+    df = spark.createDataFrame(list(texts.items()), "accession int, sequence string")
+    found = dict(Sim.cluster_similar(df).collect())
+    same = [found[2 * i] == found[2 * i + 1] for i in range(300)]
+    assert 100 < sum(linked) < 290 and all(not s or t for s, t in zip(same, linked))
+    assert sum(same) >= 0.99 * sum(linked)
+
+
+def test_similar_clusters_of_odd_rows(spark):
+    rows = [("b", None), ("a", None), ("d", ""), ("c", ""), ("e", "MSK"), (None, "M" * 30), ("f", "M" * 30), (None, None)]
+    df = spark.createDataFrame(rows, "accession string, sequence string")
+    found = sorted(map(tuple, Sim.cluster_similar(df).collect()), key=str)
+    assert found == sorted(
+        [("a", "a"), ("b", "b"), ("c", "c"), ("d", "c"), ("e", "e"), (None, "f"), ("f", "f"), (None, None)], key=str
+    )
+    assert Sim.cluster_similar(df.limit(0)).count() == 0
+
+
 def test_connected_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + j) for j in range(1, 80)] + [(500, 400)]
     df = spark.createDataFrame(edges, "a int, b int")
