@@ -205,19 +205,32 @@ def labelled(spark, sf):
     )
 
 
-def uniform_sql(key: str) -> str:
-    return f"((CAST('0x' || substr({key}, 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+def whole_sql(key: str, n: str) -> str:
+    return f"(CAST('0x' || substr({key}, 1, 15) AS BIGINT) % {n})"
 
 
 def pick_sql(c: int) -> str:
-    draw = uniform_sql(f"md5('42|0|pick|{c}|' || CAST(b AS VARCHAR))")
+    n = f"(SELECT count(*) FROM pos WHERE c = {c})"
+    draw = whole_sql(f"md5('42|0|pick|{c}|' || CAST(b AS VARCHAR))", f"greatest(1, {n})")
     return (
-        f"SELECT b, {c} AS c, row_idx FROM batches JOIN pos ON pos.c = {c} AND pos_idx = "
-        f"CAST(floor({draw} * (SELECT count(*) FROM pos WHERE c = {c})) AS BIGINT) "
-        f"WHERE (SELECT count(*) FROM pos WHERE c = {c}) < (SELECT count(*) FROM labels) / 3.0 * 0.5"
+        f"SELECT b, {c} AS c, row_idx FROM batches JOIN pos ON pos.c = {c} AND pos_idx = {draw} "
+        f"WHERE {n} < (SELECT count(*) FROM labels) / 3.0 * 0.5"
     )
 
 
+def permuted_sql(x: str) -> str:
+    """One pass of the keyed permutation of ``ka * kb`` cells for batch ``b``."""
+    left, right = f"({x} % ka)", f"({x} // ka)"
+    for i in range(4):
+        other, cells = (right, "ka") if i % 2 == 0 else (left, "kb")
+        moved = whole_sql(f"md5('42|0|fill|' || b || '|{i}|' || {other})", cells)
+        if i % 2 == 0:
+            left = f"(({left} + {moved}) % ka)"
+        else:
+            right = f"(({right} + {moved}) % kb)"
+    return f"({left} + ka * {right})"
+
+
 @query(
     f"""WITH idx AS (SELECT doc_id, quality, toxic, row_number() OVER (ORDER BY
      {key_sql('42|0', 'doc_id')}) - 1 AS row_idx FROM labels), n AS (SELECT count(*) AS n FROM idx),
@@ -230,10 +243,12 @@ def pick_sql(c: int) -> str:
     picks AS (SELECT b, row_idx, min(c) AS c FROM drawn GROUP BY b, row_idx),
     ordered AS (SELECT b, row_idx, row_number() OVER (PARTITION BY b ORDER BY c) - 1 AS slot FROM picks),
     np AS (SELECT b, count(row_idx) AS k FROM batches LEFT JOIN ordered USING (b) GROUP BY b),
-    starts AS (SELECT b, k, CAST(floor({uniform_sql("md5('42|0|start|' || CAST(b AS VARCHAR))")} * n)
-     AS BIGINT) AS s, n FROM np, n),
-    run AS (SELECT b, k, i, (s + i) % n AS row_idx FROM starts, (SELECT unnest(range(0, 19)) AS i)
-     WHERE i < n),
+    shape AS (SELECT n, ka, CAST(ceil(n / ka) AS BIGINT) AS kb FROM (SELECT n,
+     CAST(ceil(sqrt(n)) AS BIGINT) AS ka FROM n)),
+    drawn_places AS (SELECT b, k, n, ka, kb, i, {permuted_sql('i')} AS x FROM np, shape,
+     (SELECT unnest(range(0, 19)) AS i) WHERE i < n),
+    run AS (SELECT b, k, i, list_reduce(list_prepend(x, range(0, least(64, ka * kb - n))),
+     lambda x, j: CASE WHEN x < n THEN x ELSE {permuted_sql('x')} END) AS row_idx FROM drawn_places),
     free AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY i) AS f FROM run
      WHERE NOT EXISTS (SELECT 1 FROM ordered o WHERE o.b = run.b AND o.row_idx = run.row_idx)),
     filled AS (SELECT b, slot, row_idx FROM ordered UNION ALL

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,44 @@ def uniform(key: Column, slot: int = 0) -> Column:
     )
 
 
+def whole_below(key: Column, n: Column | int) -> Column:
+    """Whole number from 0 to ``n - 1`` from fifteen hex digits (60 bits) of a key."""
+    return F.conv(F.substring(key, 1, 15), 16, 10).cast("long") % n
+
+
+# Rounds of the permutation, and repeats after which a position beyond ``n`` is out of the question:
+# fewer than ``sqrt(n)`` positions lie beyond, so a repeat is needed with chance ``1 / sqrt(n)``.
+ROUNDS, WALK = 4, 64
+
+
+def permuted(position: Column, n: int, seed, *cols: Column) -> Column:
+    """Place of a position from 0 to ``n - 1`` in a permutation keyed by the seed and the columns.
+
+    A Feistel network on ``a * b`` cells, ``a`` and ``b`` about ``sqrt(n)``: each round moves one half by
+    a keyed number of the other, so every round is one to one. Positions beyond ``n`` walk on along
+    their cycle. Distinct positions give distinct places without any pool of rows.
+    """
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    b = -(-max(n, 1) // a)
+
+    def once(x: Column) -> Column:
+        def turn(s: Column, i: Column) -> Column:
+            left = F.when(i % 2 == 0, (s["l"] + whole_below(stable_key(seed, *cols, i, s["r"]), a)) % a)
+            right = F.when(i % 2 == 1, (s["r"] + whole_below(stable_key(seed, *cols, i, s["l"]), b)) % b)
+            return F.struct(F.coalesce(left, s["l"]).alias("l"), F.coalesce(right, s["r"]).alias("r"))
+
+        halves = F.struct((x % a).alias("l"), ((x - x % a) / a).cast("long").alias("r"))
+        rounds = F.array(*[F.lit(i) for i in range(ROUNDS)])
+        return F.aggregate(rounds, halves, turn, lambda s: s["l"] + s["r"] * a)
+
+    steps = min(a * b - n, WALK)
+    first = once(position.cast("long"))
+    if steps <= 0:
+        return first
+    again = F.array(*[F.lit(i) for i in range(steps)])
+    return F.aggregate(again, first, lambda x, _: F.when(x < n, x).otherwise(once(x)))
+
+
 def normal(key: Column) -> Column:
     """Standard normal number from two uniform slots of a key (Box-Muller)."""
     return F.sqrt(F.lit(-2.0) * F.log(uniform(key, 0))) * F.cos(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqtables import params as P
-from seqtables.functions.keys import normal, order_key, stable_key, uniform
+from seqtables.functions.keys import normal, order_key, permuted, stable_key, whole_below
 from seqtables.operators.joins import keyed_lookup
 from seqtables.operators.ranking import global_row_number, grouped_row_number
 
@@ -86,8 +86,8 @@ def balanced_batches(
     """``(batch_id, slot, key)``: one positive of every rare class, then a uniform fill.
 
     A class is rare when it has positives but fewer than ``rare * rows / classes``. The fill of
-    a batch is a run of a seeded permutation of all rows, so it has no repeats unless the pool
-    is smaller than the batch.
+    a batch is the beginning of a permutation of all rows keyed by the batch, so batches are drawn
+    independently and a batch has no repeats unless the pool is smaller than the batch.
     """
     if batch_size < 1:
         raise ValueError(f"batch_size must be >= 1, got {batch_size}")
@@ -125,9 +125,8 @@ def balanced_batches(
             *[
                 F.struct(
                     F.lit(c).alias("c"),
-                    F.floor(
-                        uniform(stable_key(f"{tag}|pick|{c}", F.col("batch_id")))
-                        * per_class[c][0]
+                    whole_below(
+                        stable_key(f"{tag}|pick|{c}", F.col("batch_id")), per_class[c][0]
                     ).alias("pos_idx"),
                 )
                 for c in rare_classes
@@ -147,19 +146,19 @@ def balanced_batches(
         )
     else:
         batches = batches.withColumn("_picks", none)
-    start = F.floor(uniform(stable_key(f"{tag}|start", F.col("batch_id"))) * n_rows)
     reach = min(batch_size + len(rare_classes), n_rows)
-    pool = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(reach - 1)), lambda i: (F.col("_start") + i) % n_rows),
-        lambda r: ~F.array_contains(F.col("_picks"), r),
+    places = F.transform(
+        F.sequence(F.lit(0), F.lit(reach - 1)),
+        lambda i: permuted(i, n_rows, f"{tag}|fill", F.col("batch_id")),
     )
+    pool = F.filter(places, lambda r: ~F.array_contains(F.col("_picks"), r))
     missing = F.lit(batch_size) - F.size("_picks")
     repeat = F.transform(
         F.sequence(F.lit(1), missing),
         lambda i: F.get(
             F.col("_pool"),
-            F.floor(
-                uniform(stable_key(f"{tag}|repeat", F.col("batch_id"), i)) * F.size("_pool")
+            whole_below(
+                stable_key(f"{tag}|repeat", F.col("batch_id"), i), F.size("_pool")
             ).cast("int"),
         ),
     )
@@ -169,8 +168,7 @@ def balanced_batches(
         .otherwise(repeat)
     )
     slots = (
-        batches.withColumn("_start", start)
-        .withColumn("_pool", pool)
+        batches.withColumn("_pool", pool)
         .select("batch_id", F.posexplode(F.concat("_picks", fill)).alias("slot", "row_idx"))
     )
     return keyed_lookup(slots, index.select("row_idx", key), "row_idx").select(

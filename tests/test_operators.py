@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqtables import params as P
+from seqtables.functions.keys import permuted
 from seqtables.operators import batching as B
 from seqtables.operators import calibrate as Cal
 from seqtables.operators import clean as C
@@ -421,6 +422,28 @@ def test_balanced_batches(spark):
     assert sorted(map(tuple, other)) != sorted(map(tuple, out))
 
 
+def test_batches_share_rows_as_independent_draws_do(spark):
+    df = spark.createDataFrame([(i, [i % 2, 1 - i % 2]) for i in range(400)], "idx int, y array<int>")
+    batches: dict = {}
+    for r in B.balanced_batches(df, "idx", "y", 8, n_batches=100).collect():
+        batches.setdefault(r["batch_id"], set()).add(r["idx"])
+    assert all(len(b) == 8 for b in batches.values())
+    shared = [len(a & b) for a, b in combinations(batches.values(), 2)]
+    # Expected: 8 * 8 / 400 rows a pair, and practically never four.
+    assert abs(np.mean(shared) - 0.16) < 0.04 and max(shared) < 4
+    assert len(set().union(*batches.values())) > 300
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 97, 1_000])
+def test_keyed_permutation(spark, n):
+    rows = spark.range(n).select(permuted(F.col("id"), n, "s", F.lit(1)).alias("a"), permuted(F.col("id"), n, "s", F.lit(2)).alias("b"))
+    found = rows.collect()
+    assert sorted(r["a"] for r in found) == sorted(r["b"] for r in found) == list(range(n))
+    if n > 90:
+        moved = [r["a"] for r in found]
+        assert moved != [r["b"] for r in found] and abs(np.corrcoef(moved, range(n))[0, 1]) < 0.3
+
+
 def test_balanced_batches_without_rare_class_or_with_a_small_pool(spark):
     full = spark.createDataFrame([(i, [1, 1, 1]) for i in range(40)], "idx int, y array<int>")
     assert B.balanced_batches(full, "idx", "y", 8).count() == 40
