@@ -151,7 +151,7 @@ def class_markdown(reports: DataFrame, model: str, field: str) -> DataFrame:
     """Per-class Markdown lines of one model's report; no report -> no lines."""
 
     def shown(v):
-        return F.coalesce(F.format_string("%.3f", v), F.lit("—"))
+        return F.when(v.isNull(), "—").otherwise(F.format_string("%.3f", v))
 
     found = reports.filter((F.col("model") == model) & F.col(f"report.{field}").isNotNull())
     rows = found.select(F.posexplode(F.map_entries(f"report.{field}")).alias("i", "e")).select(
