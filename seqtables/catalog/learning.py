@@ -463,39 +463,39 @@ def comparison_report(spark, sf):
 
 
 @query(
-    f"""WITH {DOCS} SELECT doc_id, coalesce(CASE WHEN length(sequence) < 10 THEN 'too_short'
+    f"""WITH {DOCS}, told AS (SELECT doc_id, sequence, coalesce(CASE WHEN length(sequence) < 10 THEN 'too_short'
     WHEN length(sequence) > 5000 THEN 'too_long'
     WHEN NOT regexp_matches(sequence, '^[{P.RESIDUES}XU]+$') THEN 'invalid_residues'
-    WHEN length(sequence) > 2048 THEN 'too_long_for_batch' END, 'scored') AS outcome,
-    CASE WHEN length(sequence) BETWEEN 10 AND 2048 AND regexp_matches(sequence,
-     '^[{P.RESIDUES}XU]+$') THEN length(sequence) END AS sequence_length FROM docs"""
+    WHEN length(sequence) > 2048 THEN 'too_long_for_batch' END, 'scored') AS outcome FROM docs),
+    usable AS (SELECT doc_id AS id, sequence AS s FROM told WHERE outcome = 'scored'),
+    {shares_sql('usable', 10)}, {ranked_sql(CLASS_NAMES)},
+    listed AS (SELECT id, {LISTED} AS predictions FROM ranked GROUP BY id)
+    SELECT doc_id, outcome, CASE WHEN outcome = 'scored' THEN length(sequence) END AS sequence_length,
+     predictions FROM told LEFT JOIN listed ON id = doc_id"""
 )
 def score_stream(spark, sf):
-    """Documents as a file stream: scored rows and refused rows in two sinks."""
+    """Documents as a file stream, scored with a stored bundle: ranked predictions and refusals."""
     root = scratch_path(spark, "stream")
+    M.save_scorer(spark, fixed_scorer(spark), f"{root}/bundles", "fixed")
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     requests = S.read_requests(spark, sf, schema, "documents.parquet").select(
         "doc_id", sequence_from_text(F.col("text")).alias("sequence")
     )
-
-    def score(df):
-        share = F.length("sequence") - F.length(F.translate("sequence", P.AROMATIC, ""))
-        return df.withColumn("logits", F.array(share / F.length("sequence") * 10 - 1))
-
-    stream = S.score_stream(
-        requests, score, f"{root}/accepted", f"{root}/rejected", f"{root}/checkpoint"
+    stream = S.serve_stream(
+        requests, f"{root}/bundles", letter_features, f"{root}/out", f"{root}/checkpoint"
     )
     stream.awaitTermination()
-    accepted = spark.read.parquet(f"{root}/accepted")
-    rejected = spark.read.parquet(f"{root}/rejected")
+    accepted, rejected, _ = S.served(spark, f"{root}/out")
     return accepted.select(
         "doc_id",
         F.lit("scored").alias("outcome"),
         F.col("sequence_length").cast("bigint").alias("sequence_length"),
+        listed().alias("predictions"),
     ).unionByName(
         rejected.select(
             "doc_id",
             F.col("error").alias("outcome"),
             F.lit(None).cast("bigint").alias("sequence_length"),
+            F.lit(None).cast("string").alias("predictions"),
         )
     )

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +249,51 @@ def test_stream_is_replay_safe_and_splits_rows(spark, tmp_path):
     }
 
 
+def test_served_batches_keep_their_bundle(spark, tmp_path):
+    import shutil
+
+    from seqtables.plans.linear import LinearModel
+
+    def scorer(label):
+        return M.Scorer([label, "b"], [LinearModel(np.array([1.0]), 5.0), -9.0])
+
+    def encode(df):
+        return df.withColumn("features", F.array(F.length("sequence") / 1000))
+
+    root, out, folder = (str(tmp_path / p) for p in ("bundles", "out", "in"))
+    schema = "id string, sequence string"
+
+    def send(i, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+
+    def serve(checkpoint="ckpt"):
+        requests = S.read_requests(spark, folder, schema)
+        S.serve_stream(requests, root, encode, out, str(tmp_path / checkpoint)).awaitTermination()
+        ok, bad, commits = S.served(spark, out)
+        found = {r["id"]: (r["predictions"][0]["location"], r["sequence_length"], r["threshold"]) for r in ok.collect()}
+        return found, {r["id"]: r["error"] for r in bad.collect()}, commits.orderBy("batch").collect()
+
+    first = M.save_scorer(spark, scorer("old"), root, "m")
+    send(0, [("a", "mskgeelftgv"), ("b", "MSK")])
+    assert serve()[0] == {"a": ("old", 11, 0.5)}
+    # A bundle saved in between serves the next batch only.
+    second = M.save_scorer(spark, scorer("new"), root, "m")
+    send(1, [("c", "MSKGEELFTGVV"), ("d", "M" * 2049)])
+    ok, bad, commits = serve()
+    assert ok == {"a": ("old", 11, 0.5), "c": ("new", 12, 0.5)}
+    assert bad == {"b": "too_short", "d": "too_long_for_batch"}
+    assert [(r["batch"], r["bundle"], r["accepted"], r["rejected"]) for r in commits] == [(0, first, 1, 1), (1, second, 1, 1)]
+    # A batch whose commit was lost is unseen, and replayed with the bundle it began with.
+    shutil.rmtree(f"{out}/commits/batch=1")
+    shutil.rmtree(f"{out}/rejected/batch=1")
+    (tmp_path / "ckpt" / "commits" / "1").unlink()
+    for crc in (tmp_path / "ckpt" / "commits").glob(".1.crc"):
+        crc.unlink()
+    M.save_scorer(spark, scorer("newest"), root, "m")
+    assert {r["id"] for r in S.served(spark, out)[0].collect()} == {"a"}
+    assert serve()[:2] == (ok, bad)
+
+
 def test_stored_sequences_are_cut_and_keys_are_whole(spark, tmp_path):
     seen = []
 
