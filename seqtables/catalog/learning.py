@@ -21,6 +21,7 @@ from seqtables.functions.keys import order_key
 from seqtables.operators.clean import sequence_from_text
 from seqtables.plans import embed as E
 from seqtables.plans import models as M
+from seqtables.plans.features import FeatureStage
 from seqtables.session import scratch_path
 from seqtables.sources import reports as R
 from seqtables.streaming import scoring as S
@@ -206,6 +207,35 @@ def score_batch(spark, sf):
     return scored.select("id", listed().alias("predictions"))
 
 
+@query(
+    f"""WITH {EXAMPLES}, joined AS (SELECT id, x, split, CASE WHEN id % 5 > 0 THEN n_chars END AS size,
+     CASE WHEN lang IS NOT NULL THEN CAST(lang = 'en' AS INT) END AS has_sp
+     FROM examples LEFT JOIN documents ON doc_id = id),
+    stats AS (SELECT avg(size) AS mean, sqrt(var_pop(size) * count(size) / count(*)) AS std FROM joined
+     WHERE split = 'train'),
+    wide AS (SELECT id, list_concat(list_transform(x, lambda v: v::DOUBLE), [coalesce((size - mean) / std, 0),
+     coalesce(has_sp, 0), 0]) AS x FROM joined, stats),
+    {logits_sql('wide', dim=67)}, {ranked_sql(CLASS_NAMES)}
+    SELECT id, {LISTED} AS predictions FROM ranked GROUP BY id"""
+)
+def score_with_features(spark, sf):
+    """A stored scorer with a fitted feature stage: vectors and external columns of the same rows."""
+    facts = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"),
+        F.when(F.col("doc_id") % 5 > 0, F.col("n_chars")).alias("size"),
+        (F.col("lang") == "en").cast("int").alias("has_sp"),
+    )
+    rows = examples(spark, sf).join(facts, "id", "left")
+    # The tool of the last column did not run.
+    stage = FeatureStage(["size"], ["has_sp", "sp_prob"]).fit(rows.filter("split = 'train'"))
+    scorer = fixed_scorer(spark, dim=64 + stage.width)
+    scorer.stage = stage
+    root = scratch_path(spark, "bundles")
+    M.save_scorer(spark, scorer, root, "features")
+    scored = M.score_batch(rows, M.load_scorer(spark, root))
+    return scored.select("id", listed().alias("predictions"))
+
+
 @query(
     f"""WITH {EXAMPLES}, {logits_sql('examples')}, cells AS (SELECT split, c, id,
      CAST(1 / (1 + exp(-z / (0.5 + c / 10.0::DOUBLE))) >= 0.4 + c / 50.0::DOUBLE AS INT) AS pred,

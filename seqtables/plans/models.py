@@ -31,6 +31,7 @@ from seqtables.plans.boosting import (
     load_trees,
     save_trees,
 )
+from seqtables.plans.features import FeatureModel
 from seqtables.plans.linear import (
     LinearModel,
     fit_linear,
@@ -48,13 +49,17 @@ CONSTANT_LOGIT = 20.0
 
 @dataclass
 class Scorer:
-    """One model (or constant) per class with optional per-class parameters."""
+    """One model (or constant) per class with optional per-class parameters.
+
+    With a fitted ``stage``, its array of external features follows the vector of every row.
+    """
 
     labels: list[str]
     models: list[object]
     thresholds: DataFrame | None = None
     temperatures: DataFrame | None = None
     meta: dict = field(default_factory=dict)
+    stage: FeatureModel | None = None
 
 
 def _class_sizes(df: DataFrame, y: str) -> dict[int, tuple[int, int]]:
@@ -143,7 +148,10 @@ def boosted_trees(
 
 def add_logits(df: DataFrame, scorer: Scorer, features: str = "features") -> DataFrame:
     """Add the ``logits`` array, one entry per class."""
-    rows = df
+    rows, inputs = df, F.col(features)
+    if scorer.stage is not None:
+        rows = scorer.stage.transform(df)
+        inputs = F.concat(inputs.cast("array<double>"), F.col(scorer.stage.getOrDefault("outputCol")))
     place: dict[int, Column] = {}
     for kind, column, score in (
         (LinearModel, "_linear", linear_logits),
@@ -151,7 +159,7 @@ def add_logits(df: DataFrame, scorer: Scorer, features: str = "features") -> Dat
     ):
         own = [i for i, m in enumerate(scorer.models) if isinstance(m, kind)]
         if own:
-            rows = rows.withColumn(column, score([scorer.models[i] for i in own], F.col(features)))
+            rows = rows.withColumn(column, score([scorer.models[i] for i in own], inputs))
             place.update({c: F.get(column, F.lit(i)) for i, c in enumerate(own)})
     cells = [place.get(c, F.lit(m) if isinstance(m, float) else None) for c, m in enumerate(scorer.models)]
     return rows.select(*df.columns, F.array(*cells).alias("logits"))
@@ -216,7 +224,7 @@ def score_long(
 def calibrated_scorer(scorer: Scorer, val: DataFrame, features: str = "features") -> Scorer:
     """The scorer with temperatures and thresholds fitted on validation rows."""
     temperatures, thresholds = calibrate(add_logits(val, scorer, features))
-    return Scorer(scorer.labels, scorer.models, thresholds, temperatures, scorer.meta)
+    return Scorer(scorer.labels, scorer.models, thresholds, temperatures, scorer.meta, scorer.stage)
 
 
 def evaluate(
@@ -395,6 +403,9 @@ def save_scorer(spark: SparkSession, scorer: Scorer, root: str, name: str) -> st
         save_class_params(scorer.thresholds, f"{path}/thresholds")
     if scorer.temperatures is not None:
         save_class_params(scorer.temperatures, f"{path}/temperatures")
+    if scorer.stage is not None:
+        scorer.stage.write().save(f"{path}/stage")
+        rows.append((len(rows), None, "stage", None))
     # The table of labels makes the folder a bundle.
     spark.createDataFrame(rows, "label_idx int, label string, kind string, constant double").coalesce(
         1
@@ -433,6 +444,7 @@ def load_scorer(
     except AnalysisException as err:
         raise FileNotFoundError(f"no whole bundle at {chosen}") from err
     held = {r["kind"] for r in table}
+    table = [r for r in table if r["kind"] != "stage"]
     known: dict[int, object] = {
         r["label_idx"]: float(r["constant"]) for r in table if r["kind"] == "constant"
     }
@@ -445,4 +457,5 @@ def load_scorer(
         load_class_params(spark, f"{chosen}/thresholds", "threshold"),
         load_class_params(spark, f"{chosen}/temperatures", "temperature"),
         {"path": chosen},
+        FeatureModel.load(f"{chosen}/stage") if "stage" in held else None,
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from seqtables.plans import embed as E
 from seqtables.plans import models as M
+from seqtables.plans.features import FeatureModel, FeatureStage
 from seqtables.plans.linear import LinearModel
 
 
@@ -158,3 +159,31 @@ def test_encoder_batches_by_letters_and_keeps_columns(spark):
         key=str,
     )
     assert E.embed_rows(df.limit(0), factory).count() == 0
+
+
+def test_feature_stage_scales_with_training_values(spark, tmp_path):
+    nan = float("nan")
+    train = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0), (None, 5.0), (nan, 5.0)], "size double, flat double")
+    model = FeatureStage(["size", "flat", "gone"], ["has_sp", "sp_prob"], "ext").fit(
+        train.withColumn("gone", F.lit(None).cast("double"))
+    )
+    model.write().save(str(tmp_path / "stage"))
+    again = FeatureModel.load(str(tmp_path / "stage"))
+    assert again.width == 5 and again.getOrDefault("means") == [2.0, 5.0, 0.0]
+    rows = spark.createDataFrame(
+        [(1, 4.0, 6.0, 1), (2, None, 5.0, None), (3, nan, None, 0)], "id int, size double, flat double, has_sp int"
+    )
+    found = {r["id"]: r["ext"] for r in again.transform(rows).collect()}
+    # Two of four values are imputed, so the deviation is the square root of one half.
+    assert found[1] == [pytest.approx(2 / 0.5**0.5), 1.0, 0.0, 1.0, 0.0]
+    assert found[2] == [0.0, 0.0, 0.0, 0.0, 0.0] and found[3] == [0.0, 0.0, 0.0, 0.0, 0.0]
+    # A table without the columns scores as if every value were missing.
+    assert again.transform(rows.select("id")).first()["ext"] == [0.0] * 5
+
+
+def test_bundle_with_a_stage(spark, tmp_path):
+    frame = spark.createDataFrame([(1, [1.0], 2.0), (2, [1.0], 4.0)], "id int, features array<double>, size double")
+    scorer = M.Scorer(["a"], [LinearModel(np.array([0.5, 3.0]), 0.0)], stage=FeatureStage(["size"]).fit(frame))
+    M.save_scorer(spark, scorer, str(tmp_path), "m")
+    got = M.add_logits(frame, M.load_scorer(spark, str(tmp_path))).orderBy("id").collect()
+    assert [r["logits"] for r in got] == [[-2.5], [3.5]]
