@@ -35,7 +35,8 @@ from seqtables.operators.calibrate import apply_class_params
 from seqtables.operators.clean import normalize_columns
 from seqtables.operators.splits import stratified_split
 from seqtables.plans import prepare
-from seqtables.plans.embed import kmer_embed
+from seqtables.catalog.learning import letter_encoder
+from seqtables.plans.embed import embed_rows
 from seqtables.session import scratch_path
 from seqtables.sources import exchange as X
 from seqtables.sources import reports as R
@@ -345,21 +346,33 @@ def class_markdown(spark, sf):
 
 
 @query(
-    f"""WITH {DOCS} SELECT sha256(concat_ws('|', 'kmer3', 'mean', '1024', sequence)) AS emb_key, count(*) AS n_rows, CAST(64 AS BIGINT) AS dim FROM docs GROUP BY 1"""
+    f"""WITH {DOCS}, keyed AS (SELECT sequence, sha256(concat_ws('|', 'letters', 'mean', '1024', sequence)) AS emb_key,
+     count(*) AS n_rows FROM docs GROUP BY sequence),
+    letters AS (SELECT emb_key, ascii(unnest(string_split(substr(sequence, 1, 1024), ''))) % 64 AS d FROM keyed
+     WHERE sequence <> ''),
+    cells AS (SELECT emb_key, d, count(*) AS n FROM letters GROUP BY 1, 2)
+    SELECT emb_key, n_rows, CAST(64 AS BIGINT) AS dim, coalesce(string_agg(d || ':' || n, ',' ORDER BY d), '') AS counts
+    FROM keyed LEFT JOIN cells USING (emb_key) GROUP BY emb_key, n_rows"""
 )
 def embedding_store(spark, sf):
-    """Half of the sequences are stored first; the second call encodes the others only."""
+    """Half of the sequences are stored first; the second call encodes the others only. Vectors as counts."""
     path = scratch_path(spark, "embeddings")
     rows = docs(spark, sf)
 
     def encode(new):
-        return kmer_embed(new, "emb_key", "sequence")
+        return embed_rows(new, letter_encoder)
 
-    E.embedding_store(rows.filter(F.col("lang") == "en"), encode, path, "kmer3")
-    out, _ = E.embedding_store(rows, encode, path, "kmer3")
+    E.embedding_store(rows.filter(F.col("lang") == "en"), encode, path, "letters")
+    out, _ = E.embedding_store(rows, encode, path, "letters")
+    size = F.least(F.length("sequence"), F.lit(1024))
+    whole = F.transform(
+        "embedding", lambda v, i: F.struct(i.alias("d"), F.round(v * size).cast("bigint").alias("n"))
+    )
+    shown = F.transform(F.filter(whole, lambda c: c["n"] > 0), lambda c: F.concat_ws(":", c["d"], c["n"]))
     return out.groupBy("emb_key").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.max(F.size("embedding")).cast("bigint").alias("dim"),
+        F.max(F.array_join(shown, ",")).alias("counts"),
     )
 
 

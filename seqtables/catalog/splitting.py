@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqtables import params as P
-from seqtables.catalog.base import DOCS, docs, hash_sql, r6, registry, table
+from seqtables.catalog.base import (
+    DOCS,
+    PART_GROUPS,
+    PROCESSED_LONG,
+    docs,
+    hash_sql,
+    r6,
+    raw_pages,
+    registry,
+    table,
+)
 from seqtables.functions.keys import stable_key
 from seqtables.functions.sequences import chunk_sequence
 from seqtables.operators import batching as B
@@ -14,6 +24,7 @@ from seqtables.operators import pooling as T
 from seqtables.operators import reference as R
 from seqtables.operators import similarity as M
 from seqtables.operators import splits as W
+from seqtables.plans.prepare import prepare, prepare_splits
 
 Q, SQL, query = registry()
 
@@ -123,15 +134,16 @@ def cluster_numbers(spark, sf):
 
 
 K, SKETCH, IDENTITY = 9, 20, 0.3
-CODE_SQL = " + ".join(f"CAST(ascii(s[i + {j}]) - 64 AS BIGINT) * {27 ** (K - 1 - j)}" for j in range(K))
 
 
-@query(
-    f"""WITH RECURSIVE {DOCS}, reps AS (SELECT sequence, min(doc_id) AS id, length(sequence) AS len
-     FROM docs GROUP BY sequence),
-    letters AS (SELECT id, len, string_split(sequence, '') AS s FROM reps WHERE len >= {K}),
-    grams AS (SELECT DISTINCT id, len, unnest(list_transform(range(1, len - {K} + 2),
-     lambda i: CAST({CODE_SQL} AS BIGINT))) AS g FROM letters),
+def similar_sql(source: str, key: str, k: int) -> str:
+    """CTE ``clustered (key, cluster_id)`` of ``(key, sequence)`` rows, from a comparison of all pairs."""
+    code = " + ".join(f"CAST(ascii(s[i + {j}]) - 64 AS BIGINT) * {27 ** (k - 1 - j)}" for j in range(k))
+    return f"""reps AS (SELECT sequence, min({key}) AS id, length(sequence) AS len
+     FROM {source} GROUP BY sequence),
+    letters AS (SELECT id, len, string_split(sequence, '') AS s FROM reps WHERE len >= {k}),
+    grams AS (SELECT DISTINCT id, len, unnest(list_transform(range(1, len - {k} + 2),
+     lambda i: CAST({code} AS BIGINT))) AS g FROM letters),
     sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id),
     common AS (SELECT a.id AS u, b.id AS v, count(*) AS c FROM grams a JOIN grams b
      ON a.g = b.g AND a.id < b.id AND least(a.len, b.len) >= greatest(a.len, b.len) * {P.COVERAGE}
@@ -141,8 +153,29 @@ CODE_SQL = " + ".join(f"CAST(ascii(s[i + {j}]) - 64 AS BIGINT) * {27 ** (K - 1 -
     edges AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
     walk AS (SELECT id AS node, id AS reach FROM reps UNION
      SELECT node, v FROM walk JOIN edges ON u = reach),
-    roots AS (SELECT node, min(reach) AS root FROM walk GROUP BY node)
-    SELECT doc_id, root AS cluster_id FROM docs JOIN reps USING (sequence) JOIN roots ON node = id"""
+    roots AS (SELECT node, min(reach) AS root FROM walk GROUP BY node),
+    clustered AS (SELECT {key}, root AS cluster_id FROM {source} JOIN reps USING (sequence)
+     JOIN roots ON node = id)"""
+
+
+@query(
+    f"""WITH RECURSIVE {PROCESSED_LONG}, source AS (SELECT accession, sequence FROM usable
+     WHERE accession IN (SELECT accession FROM kept)), {similar_sql('source', 'accession', 6)},
+    c AS (SELECT cluster_id, row_number() OVER (ORDER BY {key_sql(42, 'cluster_id')}) AS k,
+     count(*) OVER () AS n FROM (SELECT DISTINCT cluster_id FROM clustered))
+    SELECT accession, CASE WHEN k <= greatest(1, floor(n * 0.15)) THEN 'test'
+     WHEN k <= greatest(1, floor(n * 0.15)) + greatest(1, floor(n * 0.15)) THEN 'val'
+     ELSE 'train' END AS split FROM clustered JOIN c USING (cluster_id)"""
+)
+def homology_split(spark, sf):
+    """Raw pages cleaned, clustered by similarity and split by whole clusters, all by default."""
+    processed = prepare(raw_pages(spark, sf), ["ord"], PART_GROUPS)
+    return prepare_splits(processed).select("accession", "split")
+
+
+@query(
+    f"""WITH RECURSIVE {DOCS}, {similar_sql('docs', 'doc_id', K)}
+    SELECT doc_id, cluster_id FROM clustered"""
 )
 def cluster_similar(spark, sf):
     """Clusters of similar texts; the SQL compares all pairs, so equal rows show a recall of one."""

@@ -163,7 +163,8 @@ def comparison_table(
 ) -> DataFrame:
     """One row per listed model x headline metric, as shown: three decimals or a placeholder.
 
-    ``reports`` are wide metric rows with ``model`` and ``split``.
+    ``reports`` are wide metric rows with ``model`` and ``split``; a model without the split asked for
+    is shown by its ``overall`` row.
     """
     if not reports:
         raise ValueError("no metric tables given")
@@ -176,7 +177,11 @@ def comparison_table(
         F.col("id").cast("int").alias("model_ord"),
         F.element_at(label_array(models), F.col("id").cast("int") + 1).alias("model"),
     )
-    found = rows.filter(F.col("split") == split).select("model", F.lit(1).alias("_found"), *metrics)
+    asked = F.col("split") == split
+    named = ["model", F.lit(1).alias("_found"), *metrics]
+    exact = rows.filter(asked).select(*named)
+    spare = rows.filter((F.col("split") == "overall") & ~asked).select(*named)
+    found = exact.unionByName(spare.join(exact.select("model").distinct(), "model", "left_anti"))
     shown = [
         F.when(F.col("_found").isNull(), "not available")
         .when(F.col(m).isNull(), "—")

@@ -262,12 +262,13 @@ def external_benchmark(
     missing = F.length(sequence) == 0
     unmapped = ~F.coalesce(F.arrays_overlap("locations", label_array(scorer.labels)), F.lit(False))
     counts = Observation("external benchmark")
-    seen = reference.withColumn("_missing", missing).withColumn("_unmapped", unmapped).observe(
-        counts,
+    told = [
         F.count(F.lit(1)).alias("n_source_rows"),
         F.count_if("_missing").alias("n_skipped_missing_sequence"),
         F.count_if(~F.col("_missing") & F.col("_unmapped")).alias("n_skipped_unmapped_labels"),
-    )
+    ]
+    marked = reference.withColumn("_missing", missing).withColumn("_unmapped", unmapped)
+    seen = marked.observe(counts, *told)
     usable = seen.filter(~F.col("_missing") & ~F.col("_unmapped")).drop("_missing", "_unmapped")
     ranked = score_batch(encode(usable), scorer)
     names = F.transform("predictions", lambda p: p["location"])
@@ -276,12 +277,13 @@ def external_benchmark(
         multi_hot(F.col("locations"), scorer.labels).alias("y"),
     )
     confused = stored_table(confusion(scored), "benchmark-counts")
-    told = counts.get
+    # Nothing is observed where adaptive execution finds no rows to score.
+    skipped = marked.agg(*told).first().asDict() if confused.isEmpty() else counts.get
     overall = overall_metrics(confused).withColumns(
         {
             "n_samples": F.col("total_samples"),
             "reference_type": F.lit(reference_type),
-            **{name: F.lit(value).cast("bigint") for name, value in told.items()},
+            **{name: F.lit(value).cast("bigint") for name, value in skipped.items()},
         }
     )
     return overall, per_class_metrics(confused, scorer.labels)

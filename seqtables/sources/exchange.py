@@ -21,21 +21,28 @@ from seqtables.session import stored_table
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(id, description, sequence, ord)``; ``ord`` grows with the position in the files.
 
-    Records are split on a newline followed by ``>``, so large files are read in parallel.
+    Records are split on a newline followed by ``>``, so large files are read in parallel. Text
+    before the first ``>`` of a file belongs to no record.
     """
     records = spark.read.option("lineSep", "\n>").text(path)
+    pieces = records.select(
+        "value",
+        F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("row"),
+        ).alias("ord"),
+    )
+    # The separator takes the mark of every piece but a file's first; a first one without is no record.
+    first = F.min_by(F.struct("ord", F.col("value").startswith(">").alias("marked")), "ord.row")
+    loose = pieces.filter("ord.start = 0").groupBy("ord.file").agg(first.alias("f"))
+    loose = loose.filter("NOT f.marked").select("f.ord")
     text = F.regexp_replace(F.regexp_replace("value", "^>", ""), "\r", "")
     header = F.substring_index(F.col("_text"), "\n", 1)
     body = F.substring(F.col("_text"), F.length(header) + 2, F.length("_text"))
     return (
-        records.select(
-            text.alias("_text"),
-            F.struct(
-                F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("start"),
-                F.monotonically_increasing_id().alias("row"),
-            ).alias("ord"),
-        )
+        pieces.join(loose, "ord", "left_anti")
+        .select(text.alias("_text"), "ord")
         .filter(F.length(strip(F.col("_text"))) > 0)
         .select(
             F.split(strip(header), r"\s+")[0].alias("id"),

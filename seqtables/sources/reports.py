@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqtables import params as P
@@ -223,3 +223,60 @@ def files_consumed(reports: DataFrame) -> DataFrame:
             F.when(F.col("status") == "missing", "missing").otherwise("found"),
         ).alias("line")
     )
+
+
+def report_rows(reports: DataFrame) -> DataFrame:
+    """Wide metric rows ``(model, split, metrics...)`` of the blocks that the reports hold."""
+    blocks = F.array(
+        *[
+            F.struct(F.lit(name).alias("split"), F.col(f"report.{name}").alias("block"))
+            for name in ("train", "val", "test", "overall")
+        ]
+    )
+    cells = reports.select("model", F.explode(blocks).alias("b")).filter(F.size("b.block") > 0)
+    values = [F.try_element_at("b.block", F.lit(m)).alias(m) for m in P.HEADLINE_METRICS]
+    return cells.select("model", "b.split", *values)
+
+
+def assembled_report(
+    reports: DataFrame, models: list[str], external: str, classes: dict[str, str]
+) -> DataFrame:
+    """The whole comparison as Markdown ``(line_no, line)``: a title, the test metrics of ``models``, the
+    external benchmark, a table of classes for each ``model: field`` of ``classes`` that has one, and
+    the files read. ``reports`` comes from ``read_metrics_json``; the tables are class-sized.
+    """
+    from seqtables.operators.metrics import comparison_table
+
+    spark = reports.sparkSession
+    rows = report_rows(reports)
+    parts: list[DataFrame] = []
+
+    def text(*lines: str) -> DataFrame:
+        return spark.createDataFrame(list(enumerate(lines)), "line_no int, line string")
+
+    def add(lines: DataFrame) -> None:
+        parts.append(lines.select(F.lit(len(parts)).alias("part"), F.col("line_no").cast("long"), "line"))
+
+    add(text("# Comparison report", "", "## Test metrics", ""))
+    add(comparison_markdown(comparison_table([rows], models)))
+    add(text("", "## External benchmark", ""))
+    add(benchmark_wording(reports, external).select(F.lit(0).alias("line_no"), "line"))
+    held = rows.filter(F.col("model") == external)
+    shown = comparison_markdown(comparison_table([held], [external], "overall"))
+    benchmark = shown.unionByName(text("").select(F.lit(-1).alias("line_no"), "line"))
+    known = reports.filter((F.col("model") == external) & F.col("report").isNotNull()).select("model")
+    add(benchmark.join(known.limit(1)).select("line_no", "line"))
+    for model, field in classes.items():
+        table = class_markdown(reports, model, field)
+        title = text("", f"## {model}, by class", "").select((F.col("line_no") - 3).alias("line_no"), "line")
+        present = table.select(F.lit(1).alias("one")).limit(1)
+        add(title.join(present).select("line_no", "line").unionByName(table))
+    add(text("", "## Files read", ""))
+    add(files_consumed(reports).select(F.row_number().over(Window.orderBy("line")).alias("line_no"), "line"))
+    whole = reduce(lambda a, b: a.unionByName(b), parts)
+    order = F.row_number().over(Window.orderBy("part", "line_no"))
+    return whole.select((order - 1).cast("long").alias("line_no"), "line")
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    lines.orderBy("line_no").select("line").coalesce(1).write.mode("overwrite").text(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -18,13 +19,24 @@ def embedding_key(sequence: Column, backbone: str, pooling: str, max_length: int
     return F.sha2(text, 256)
 
 
-def stored(spark: SparkSession, path: str) -> DataFrame | None:
+# Leading hex digits of a key that name its range: a folder of the store.
+RANGE_DIGITS = 2
+
+
+def stored(spark: SparkSession, path: str, ranges: list[str] | None = None) -> DataFrame | None:
+    """``(emb_key, embedding)`` of the store, or of the given key ranges only; None before the first call.
+
+    Two writers may both have stored a key, so a key is read once.
+    """
     try:
-        return spark.read.schema("emb_key string, embedding array<float>").parquet(path)
+        table = spark.read.schema("emb_key string, embedding array<float>, key_range string").parquet(path)
     except AnalysisException as err:
         if "PATH_NOT_FOUND" in (err.getCondition() or ""):
             return None
         raise
+    if ranges is not None:
+        table = table.filter(F.col("key_range").isin(ranges))
+    return table.select("emb_key", "embedding").dropDuplicates(["emb_key"])
 
 
 def embedding_store(
@@ -40,20 +52,27 @@ def embedding_store(
 
     Only sequences whose key is not stored yet are encoded, once each, and appended. ``encode``
     takes ``(emb_key, sequence)`` rows, the sequences cut to ``max_length``, and returns
-    ``(emb_key, embedding)``.
+    ``(emb_key, embedding)``. The store is a folder for each range of keys; a call reads the ranges its
+    keys fall into (at most 256 names reach the driver), of the known ones the key column only.
     """
     spark = df.sparkSession
     keyed = df.withColumn("emb_key", embedding_key(F.col(sequence), backbone, pooling, max_length))
     wanted = keyed.select(
         "emb_key", F.substring(F.col(sequence), 1, max_length).alias("sequence")
     )
-    have = stored(spark, path)
+    key_range = F.left("emb_key", F.lit(RANGE_DIGITS))
+    touched = [r["r"] for r in wanted.select(key_range.alias("r")).distinct().collect() if r["r"]]
+    have = stored(spark, path, touched)
     new = dedup_keep_first(wanted, "emb_key", ["emb_key"])
     if have is not None:
         new = new.join(have.select("emb_key"), "emb_key", "left_anti")
-    before = 0 if have is None else have.count()
-    encode(new).select("emb_key", F.col("embedding").cast("array<float>")).write.mode(
-        "append"
+    # Rows of this call are told by its mark, which a count reads alone.
+    call = uuid.uuid4().hex
+    encoded = encode(new).select("emb_key", F.col("embedding").cast("array<float>"), F.lit(call).alias("call"))
+    encoded.withColumn("key_range", key_range).repartition("key_range").write.mode("append").partitionBy(
+        "key_range"
     ).parquet(path)
-    table = stored(spark, path)
-    return keyed_lookup(keyed, table, "emb_key", broadcast_rows=5_000), table.count() - before
+    marks = spark.read.schema("call string, key_range string").parquet(path)
+    added = marks.filter(F.col("key_range").isin(touched) & (F.col("call") == call)).count()
+    table = stored(spark, path, touched)
+    return keyed_lookup(keyed, table, "emb_key", broadcast_rows=5_000), added

@@ -164,6 +164,82 @@ def test_reports(spark, tmp_path):
     assert "| m | 0.420 |" in lines[2] and "not available" in lines[3]
 
 
+def test_text_before_the_first_mark_is_no_record(spark, tmp_path):
+    put(tmp_path / "a.fasta", "a note\nof two lines\n>p1 first\nMSK\nGEE\n>p2\nAAA\n")
+    put(tmp_path / "b.fasta", ">p3\nCCC\n")
+    put(tmp_path / "c.fasta", "no record at all\n")
+    put(tmp_path / "d.fasta", "")
+    put(tmp_path / "e.fasta", "\n>p4 x\nDD\n")
+    rows = X.read_fasta(spark, str(tmp_path / "*.fasta")).collect()
+    assert sorted((r["id"], r["sequence"]) for r in rows) == [("p1", "MSKGEE"), ("p2", "AAA"), ("p3", "CCC"), ("p4", "DD")]
+
+
+def test_comparison_falls_back_to_the_overall_block(spark):
+    rows = spark.createDataFrame(
+        [("a", "overall", 0.5), ("a", "val", 0.9), ("b", "test", 0.25), ("b", "overall", 0.75)],
+        "model string, split string, f1_macro double",
+    )
+    table = {r["model"]: r["f1_macro"] for r in comparison_table([rows], ["a", "b", "c"]).collect()}
+    assert table == {"a": "0.500", "b": "0.250", "c": "not available"}
+
+
+def test_assembled_report(spark, tmp_path):
+    metrics = '{"f1_macro": 0.4, "f1_micro": 0.5}'
+    per_class = '{"Nucleus": {"precision": 0.1, "recall": 0.2, "f1": 0.3, "support": 4}, "Golgi": {"precision": null, "recall": 1, "f1": 0, "support": 1}}'
+    paths = {
+        "probe": put(tmp_path / "p.json", '{"test": %s, "test_per_class": %s}' % (metrics, per_class)),
+        "trained": put(tmp_path / "t.json", '{"overall": %s, "per_class": %s}' % (metrics, per_class)),
+        "external": put(tmp_path / "e.json", '{"overall": %s, "n_samples": 2, "n_source_rows": 3, "n_skipped_unmapped_labels": 1, "reference_type": "tool_predictions"}' % metrics),
+        "trees": str(tmp_path / "gone.json"),
+    }
+    found = R.read_metrics_json(spark, paths)
+    classes = {"trained": "per_class", "probe": "test_per_class", "trees": "test_per_class"}
+    report = R.assembled_report(found, ["probe", "trees", "trained"], "external", classes)
+    lines = [r["line"] for r in report.orderBy("line_no").collect()]
+    assert lines[0] == "# Comparison report" and lines[4].startswith("| Model | f1_macro")
+    assert lines[6].startswith("| probe | 0.400 | 0.500 | — |")
+    assert lines[7] == "| trees | " + " | ".join(["not available"] * 6) + " |"
+    assert lines[8].startswith("| trained | 0.400 |")
+    start = lines.index("## External benchmark")
+    assert lines[start + 2].startswith("Evaluated on 2 of 3 demo") and lines[start + 6].startswith("| external | 0.400 |")
+    by_class = lines.index("## trained, by class")
+    assert lines[by_class + 2].startswith("| Class |") and "| Golgi | — | 1.000 | 0.000 | 1 |" in lines[by_class:by_class + 7]
+    assert "## probe, by class" in lines and "## trees, by class" not in lines
+    assert lines[-5] == "## Files read" or "## Files read" in lines[-6:]
+    R.write_report(report, str(tmp_path / "out"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()] == lines
+    # Without the benchmark a sentence says so, and no table follows.
+    bare = [r["line"] for r in R.assembled_report(found, ["probe"], "trees", {}).orderBy("line_no").collect()]
+    at = bare.index("## External benchmark")
+    assert "not run yet" in bare[at + 2] and bare[at + 4] == "## Files read"
+
+
+def test_embedding_store_reads_touched_ranges_and_survives_two_writers(spark, tmp_path):
+    path, reads = str(tmp_path / "ranges"), []
+    df = spark.createDataFrame([(i, "MSK" + "A" * i) for i in range(40)], "id int, sequence string")
+
+    def encode(new):
+        reads.append(new.count())
+        return new.select("emb_key", F.array(F.length("sequence").cast("float")).alias("embedding"))
+
+    out, n = St.embedding_store(df, encode, path, "k")
+    assert n == 40 and {r["id"]: r["embedding"] for r in out.collect()} == {i: [3.0 + i] for i in range(40)}
+    folders = {p.name for p in (tmp_path / "ranges").iterdir() if p.is_dir()}
+    assert folders == {f"key_range={r['emb_key'][:2]}" for r in out.collect()}
+    one = df.filter("id = 7")
+    out, n = St.embedding_store(one, encode, path, "k")
+    assert n == 0 and out.first()["embedding"] == [10.0] and reads == [40, 0]
+    touched = out.first()["emb_key"][:2]
+    plan = St.stored(spark, path, [touched])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [key_range" in plan or "PartitionFilters: [isnotnull(key_range" in plan
+    # A second writer that stored the same key leaves one row a key.
+    again = spark.read.parquet(path).filter(F.col("key_range") == touched).select("emb_key", "embedding", "key_range")
+    again.cache().count()
+    again.write.mode("append").partitionBy("key_range").parquet(path)
+    out, n = St.embedding_store(one, encode, path, "k")
+    assert (out.count(), n) == (1, 0)
+
+
 def test_embedding_store_encodes_new_sequences_once(spark, tmp_path):
     path = str(tmp_path / "store")
     df = spark.createDataFrame([(1, "MSKM"), (2, "MSKM"), (3, "AAAA")], "id int, sequence string")

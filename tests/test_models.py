@@ -141,6 +141,9 @@ def test_benchmark_counts_what_it_skips(spark):
     assert (row["n_source_rows"], row["n_samples"], row["reference_type"]) == (8, 2, "tool_predictions")
     assert (row["n_skipped_missing_sequence"], row["n_skipped_unmapped_labels"]) == (3, 3)
     assert {r["label"]: r["support"] for r in per_class.collect()} == {"a": 1, "b": 1}
+    for part, n in ((reference.filter("accession IN ('2', '4')"), 2), (reference.limit(0), 0)):
+        none = M.external_benchmark(part, fixed(1.0), encode)[0].first()
+        assert none["n_source_rows"] == n and not none["n_samples"]
 
 
 def test_encoder_batches_by_letters_and_keeps_columns(spark):
