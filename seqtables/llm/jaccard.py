@@ -10,7 +10,10 @@ first, and a pair is skipped once both sides are known to be connected.
    hash space is cut into ``d + 1 + SPARE`` segments; at least ``1 + SPARE`` of them are equal in
    both sets. Every set gives one signature for each segment. A segment with no element says little
    and is left out, unless more than ``SPARE`` of a set's segments are empty: then one that is not
-   empty might not be among the equal ones. Parity bitmaps bound the overlap from above, because
+   empty might not be among the equal ones. With more than ``SURE_SEGMENTS`` segments, of which an
+   eighth at most are empty, they are left out as well: differing elements fall on segments by their
+   hashes and leave a third of them alone, so that all equal ones are empty has a chance below
+   ``1e-12`` (as rare as a collision of hashes). Parity bitmaps bound the overlap from above, because
    every differing bit is an element of the symmetric difference; sets that share a signature and
    pass the bound are candidates.
 3. Tiles. Candidate groups (components over candidates) are dealt into blocks of a bounded number
@@ -47,6 +50,7 @@ from seqtables.llm.words import SPACED, WordHasher, mix, shingle_hashes
 from seqtables.operators.joins import fits_broadcast
 
 SPARE = 2
+SURE_SEGMENTS = 64
 BITS = 1024
 # Rows and shingles of a block: bound the memory of a tile, not what is compared.
 BLOCK_ROWS = 512
@@ -104,7 +108,9 @@ def signatures(members: np.ndarray, bands: Bands) -> np.ndarray:
         tag = np.arange(count, dtype=np.uint64) + np.uint64((band + 1) << 32)
         marks = mix(sums + mix(tag))
         filled = cuts[1:] > cuts[:-1]
-        out.append(marks if (~filled).sum() > SPARE else marks[filled])
+        empty = count - int(filled.sum())
+        few = count > SURE_SEGMENTS and empty * 8 <= count
+        out.append(marks[filled] if empty <= SPARE or few else marks)
     return np.concatenate(out) if out else members[:0]
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqtables.llm.components import components
+from seqtables.llm.components import components, stars
 from seqtables.llm.jaccard import small_or_shuffled
 from seqtables.llm.tables import stored
 from seqtables.llm.words import mix
@@ -98,20 +98,6 @@ def cosines(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return dots / (np.sqrt(np.einsum("ij,ij->i", u, u)) * np.sqrt(np.einsum("ij,ij->i", v, v)))
 
 
-def stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The least row of the group of each of ``n`` rows under the links ``a, b``."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def linked_rows(
     vectors: np.ndarray, sketch: np.ndarray, bucket: np.ndarray, block: np.ndarray, table: np.ndarray,
     cross: np.ndarray, threshold: float,

@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from seqtables.llm.vectors import near_vectors, sketches, stars, table_shape
+from seqtables.llm.components import components, stars
+from seqtables.llm.vectors import near_vectors, sketches, table_shape
 
 SCHEMA = "vec_id long, embedding array<double>, cid long, links long, bucket string"
 
@@ -110,3 +111,16 @@ def test_sketches_share_signs_as_angles_do():
 def test_stars():
     label = stars(np.array([0, 3, 4, 6]), np.array([3, 4, 2, 5]), 8)
     assert label.tolist() == [0, 1, 0, 0, 0, 5, 5, 7]
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_components_in_one_task_and_in_steps(spark, limit):
+    draw = np.random.default_rng(8)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + int(j)) for j in range(1, 60)] + [(7, 7), (500, 400), (500, 400)]
+    edges += [(int(a), int(b)) for a, b in draw.integers(1_000, 1_200, (120, 2))]
+    found = dict(components(spark.createDataFrame(edges, "a long, b long"), "a", "b", limit).collect())
+    ids = np.unique(edges)
+    place = np.searchsorted(ids, np.array(edges))
+    root = ids[stars(place[:, 0], place[:, 1], len(ids))]
+    assert found == {i: r for i, r in zip(ids.tolist(), root.tolist()) if i != r}
+    assert components(spark.createDataFrame([], "a long, b long"), "a", "b", limit).count() == 0
