@@ -57,7 +57,7 @@ BLOCK_ROWS = 512
 BLOCK_SHINGLES = 400_000
 # Texts for each bucket of signatures, and signatures a task holds before it sends them.
 BUCKET_ROWS = 4_096
-FLUSH_PAIRS = 2_000_000
+FLUSH_PAIRS = 1_000_000
 
 
 class Bands:
@@ -211,7 +211,7 @@ def sets_and_stars(
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for row, words in zip(ids, hasher.texts(batch.column(1).to_pylist())):
+            for row, words in zip(ids, hasher.texts(x.as_py() for x in batch.column(1))):
                 members = shingle_set(words, width)
                 first, second = set_key(members)
                 found.append((row is None, row or 0, len(members), first, second))

@@ -18,7 +18,7 @@ separate pieces; an empty table gives no pieces; a null id is kept; other column
 from __future__ import annotations
 
 import os
-import sys
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,8 +36,17 @@ MAX_STEPS = 6_000
 # Fillings kept at a branch, and items a filling may have beside the largest.
 MAX_FILLINGS = 12
 MAX_ITEMS = 4
-# Chunks of text whose ids a worker process remembers, in each of two generations.
+# Chunks of text whose ids a task remembers, in each of two generations.
 MEMORY = 350_000
+# Texts whose new chunks are encoded together.
+TOGETHER = 64
+WIDE_BLANK = re.compile(r"(?<=\s) ")
+
+
+def unsafe(text: str) -> bool:
+    """Whether chunks between blanks may not be encoded apart: blanks after white space or at an end,
+    or what may begin a special token."""
+    return not text or text[0] == " " or text[-1].isspace() or "<|" in text or bool(WIDE_BLANK.search(text))
 
 
 class ChunkEncoder:
@@ -48,49 +57,44 @@ class ChunkEncoder:
     white space, or that may hold a special token, are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, tokenizer: bytes):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_buffer(tokenizer)
         # A token of the vocabulary is written with one character for each byte.
         vocabulary = self.tokenizer.get_vocab()
         self.size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, number in vocabulary.items():
             self.size[number] = len(token)
-        # Ids by chunk without its blank; False for a chunk that makes its text unsafe.
-        self.memory: dict[str, bytes | bool] = {}
-        self.older: dict[str, bytes | bool] = {}
-
-    @staticmethod
-    def shared(path: str) -> ChunkEncoder:
-        """One encoder for all tasks of a worker process, so the vocabulary is loaded once.
-
-        The class travels by value with each task, so what outlives a task hangs on ``sys``.
-        """
-        loaded = vars(sys).setdefault("_chunk_encoders", {})
-        if path not in loaded:
-            loaded[path] = ChunkEncoder(path)
-        return loaded[path]
+        # Ids by chunk without its blank.
+        self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
         return np.array(found.ids, dtype="<u4").tobytes()
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        for text in texts:
-            first, *chunks = (text or "").split(" ")
-            found = list(map(self.memory.get, chunks))
-            if None in found:
-                self.recall({c for c, f in zip(chunks, found) if f is None})
-                found = list(map(self.memory.get, chunks))
-                if len(self.memory) > MEMORY:
-                    self.older, self.memory = self.memory, {}
-            if False in found or first[-1:].isspace() or "<|" in first or not first:
-                yield self.whole(text or "")
-            else:
-                yield b"".join([self.whole(first), *found])
+        """Little-endian unsigned 32-bit ids of each text; new chunks of some texts are learnt at once."""
+        for lo in range(0, len(texts), TOGETHER):
+            part = [text or "" for text in texts[lo : lo + TOGETHER]]
+            cut = [None if unsafe(t) else t.split(" ") for t in part]
+            new: set[str] = set()
+            for chunks in cut:
+                if chunks:
+                    new.update(chunks[1:])
+            new = new.difference(self.memory)
+            if new:
+                self.recall(new)
+            known = self.memory.__getitem__
+            for text, chunks in zip(part, cut):
+                if chunks is None:
+                    yield self.whole(text)
+                else:
+                    yield b"".join([self.whole(chunks[0]), *map(known, chunks[1:])])
+            if len(self.memory) > MEMORY:
+                self.older, self.memory = self.memory, {}
 
     def recall(self, chunks: set[str]) -> None:
         """Chunks of the older generation move on to the present one, others are encoded."""
@@ -100,17 +104,14 @@ class ChunkEncoder:
 
     def learn(self, chunks: list[str]) -> None:
         """Encodes new chunks side by side as one text and cuts the ids where a chunk begins."""
-        safe = [c for c in chunks if c and not c[-1].isspace() and "<|" not in c]
-        if len(safe) < len(chunks):
-            self.memory.update(dict.fromkeys(chunks, False))
-        if safe:
-            text = " " + " ".join(safe)
+        if chunks:
+            text = " " + " ".join(chunks)
             raw = self.whole(text)
             ends = np.cumsum(self.size[np.frombuffer(raw, dtype="<u4")])
             blanks = np.flatnonzero(np.frombuffer(text.encode(), dtype=np.uint8) == 32)
             cuts = [*(4 * np.searchsorted(ends, blanks, side="right")).tolist(), len(raw)]
             self.memory.update(
-                {c: raw[lo:hi] for c, lo, hi in zip(safe, cuts, cuts[1:])}
+                {c: raw[lo:hi] for c, lo, hi in zip(chunks, cuts, cuts[1:])}
             )
 
 
@@ -129,8 +130,12 @@ def cut_pieces(
     schema = f"row_id {kind}, piece int, start long, length long, ids_crc32 long"
     schema += ", ids array<int>" * keep_ids
 
+    # The file travels with the tasks; executors need not have it.
+    with open(tokenizer, "rb") as file:
+        sent = docs.sparkSession.sparkContext.broadcast(file.read())
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder.shared(tokenizer)
+        encoder = ChunkEncoder(sent.value)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []

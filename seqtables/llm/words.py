@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 
@@ -89,7 +89,7 @@ class WordHasher:
             lo = hi
         return np.concatenate(starts), np.concatenate(hashes, axis=-1)
 
-    def texts(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
+    def texts(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Word hashes of each text in order; short texts share a block."""
         waiting: list[bytes] = []
         size = 0
