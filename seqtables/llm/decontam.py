@@ -28,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqtables.llm.jaccard import small_or_shuffled
-from seqtables.llm.tables import stored
+from seqtables.llm.tables import short_lists, stored
 from seqtables.llm.words import ALNUM, as_bytes
 
 WINDOW = 10
@@ -239,12 +238,8 @@ def one_pass(rows: DataFrame, items: DataFrame, chunk: int, window: int) -> Data
                 ["row", "n_words", "hits", "items"],
             )
 
-    return rows.mapInArrow(scan, f"row long, n_words long, hits {SPANS}, items array<string>")
-
-
-def numbered(rows: DataFrame, name: str) -> DataFrame:
-    """The rows stored with a number ``_row`` of their own, the same in every pass."""
-    return stored(rows.withColumn("_row", F.monotonically_increasing_id()), name)
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(scan, f"row {kind}, n_words long, hits {SPANS}, items array<string>")
 
 
 def all_passes(rows: DataFrame, items: DataFrame, chunks: list[int], window: int, hit: bool) -> DataFrame:
@@ -283,13 +278,17 @@ def find_spans(
     window: int = WINDOW,
     most: int = MAX_BYTES,
 ) -> DataFrame:
-    """``(row_id, n_words, hits, items)`` for every document row; hits are merged and in order."""
+    """``(row_id, n_words, hits, items)`` for every document row; hits are merged and in order.
+
+    Ids keep their type. With several chunks of items each row gets a number of its own, stored with
+    it, by which the passes are joined.
+    """
     items = chunked_items(benchmark, item, item_text, most)
     chunks = sorted(r["chunk"] for r in items.select("chunk").distinct().collect()) or [0]
-    rows = docs.select(F.col(row_id).cast("long").alias("row"), F.col(text).alias("text"))
+    rows = docs.select(F.col(row_id).alias("row"), F.col(text).alias("text"))
     if len(chunks) == 1:
         return one_pass(rows, items, chunks[0], window).withColumnRenamed("row", "row_id")
-    rows = numbered(rows, "decontam-rows")
+    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "decontam-rows")
     texts = rows.select(F.col("_row").alias("row"), "text")
     found = all_passes(texts, items, chunks, window, hit=False).withColumnRenamed("row", "_row")
     ids = rows.select("_row", F.col("row").alias("row_id"))
@@ -394,18 +393,19 @@ def clean_documents(
 
         return docs.mapInArrow(cut, docs.schema)
 
-    rows = numbered(docs, "decontam-rows")
-    texts = rows.select(F.col("_row").alias("row"), F.col(text).alias("text"))
-    found = all_passes(texts, items, chunks, window, hit=True)
-    found = found.select(F.col("row").alias("_row"), F.col("hits").alias("_hits"))
-    found = small_or_shuffled(stored(found, "decontam-spans"))
+    # The row travels as one struct, so no column of the input can clash with a helper.
+    packed = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"))
+    rows = stored(packed, "decontam-rows")
+    found = all_passes(rows.select("row", F.col("doc")[text].alias("text")), items, chunks, window, hit=True)
+    found = short_lists(stored(found.select("row", "hits"), "decontam-spans"), "hits")
 
     def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = batch.column(batch.num_columns - 1)
-            plain = batch.select(list(range(batch.num_columns - 1)))
+            hits = batch.column(1)
+            plain = pa.RecordBatch.from_arrays(batch.column(0).flatten(), names=names)
             yield cut_rows(
                 plain, lambda n, _: [(h["first"], h["last"]) for h in hits[n].as_py() or ()]
             )
 
-    return rows.join(found, "_row", "left").select(*docs.columns, "_hits").mapInArrow(cut_all, docs.schema)
+    names = docs.columns
+    return rows.join(found, "row", "left").select("doc", "hits").mapInArrow(cut_all, docs.schema)

@@ -6,8 +6,8 @@ ledger lacks, each distinct blob once however many paths and versions hold it, a
 joins the findings back to every path.
 
 Defined results: a null text is the empty text; an empty text has no finding; equal rows get equal
-findings, one output row for each input row; an empty table gives an empty result; columns of the
-input that are not named are ignored. Offsets are code points, the end exclusive.
+findings, one output row for each input row; ledger rows that repeat a pair count once; an empty
+table gives an empty result; columns of the input that are not named are ignored. Offsets are code points, the end exclusive.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqtables.llm.tables import stored
+from seqtables.llm.tables import short_lists, stored
 from seqtables.session import scratch_path
 
 # Kind, pattern, whether letters match in either case, group to measure, its least
@@ -99,6 +99,12 @@ def scan_blobs(blobs: DataFrame, rules=RULES) -> DataFrame:
     return blobs.select("blob", "text").mapInArrow(scan, LEDGER)
 
 
+def known_blobs(spark: SparkSession, folder: str, rules=RULES) -> DataFrame:
+    """The ledger's rows of these rules."""
+    rows = spark.read.schema(LEDGER).parquet(folder)
+    return rows.filter(F.col("rules") == rules_version(rules))
+
+
 def scan_history(
     versions: DataFrame, path: str, text: str, ledger: str | None = None, rules=RULES
 ) -> DataFrame:
@@ -115,11 +121,7 @@ def scan_history(
         "path", "text", address(F.col("text")).alias("blob"), F.xxhash64("path").alias("carrier")
     )
     paths = stored(addressed.select("path", "blob", "carrier"), "blob-paths")
-    seen = (
-        spark.read.schema(LEDGER)
-        .parquet(folder)
-        .filter(F.col("rules") == rules_version(rules))
-    )
+    seen = known_blobs(spark, folder, rules).select("blob")
     unseen = (
         paths.groupBy("blob").agg(F.min("carrier").alias("carrier")).join(seen, "blob", "left_anti")
     )
@@ -128,13 +130,9 @@ def scan_history(
     )
     # The same path may hold the same text twice, so the narrow ledger rows are made distinct.
     scan_blobs(carried, rules).dropDuplicates(["blob"]).write.mode("append").parquet(folder)
-    hits = (
-        spark.read.schema(LEDGER)
-        .parquet(folder)
-        .filter(F.col("rules") == rules_version(rules))
-        .filter(F.size("findings") > 0)
-        .select("blob", "findings")
-    )
+    # Two writers, or a retried append, may leave a pair twice; its findings are the same.
+    known = known_blobs(spark, folder, rules)
+    hits = known.filter(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
     return paths.join(hits, "blob", "left").select(
         "path", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings")
     )
@@ -178,10 +176,14 @@ def redacted(text: Column, findings: Column, mark: str = "[secret]") -> Column:
 
 
 def redact_texts(docs: DataFrame, found: DataFrame, text: str, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with the findings of ``scan_history`` redacted; all columns and rows are kept."""
+    """``docs`` with the findings of ``scan_history`` redacted; all columns and rows are kept.
+
+    Findings of few blobs go to the texts; only beyond the checked limit are the texts shuffled.
+    """
     hits = (
         found.filter(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"])
     )
+    hits = short_lists(stored(hits, "blob-hits"), "findings")
     packed = docs.select(F.struct("*").alias("doc"), address(F.col(text)).alias("blob"))
     joined = packed.join(hits, "blob", "left")
     clean = redacted(F.col("doc")[text], F.col("findings"), mark)

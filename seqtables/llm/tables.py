@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from seqtables.session import scratch_path
 
 FOLDS = 5
+# List entries that a broadcast table may hold in all its rows together.
+BROADCAST_ENTRIES = 200_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +24,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def integer_ids(df: DataFrame, row_id: str) -> Column:
+    """The ids as 64-bit numbers. Ids of another type are refused before any work begins."""
+    kind = df.schema[row_id].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"ids in {row_id!r} must be integers, not {kind.simpleString()}")
+    return F.col(row_id).cast("long")
+
+
+def short_lists(rows: DataFrame, lists: str, most: int = BROADCAST_ENTRIES) -> DataFrame:
+    """Marks a stored table for broadcasting if its rows and the entries of its lists are few."""
+    total = rows.agg(F.sum(F.size(lists) + 1).alias("n")).first()["n"] or 0
+    return F.broadcast(rows) if total <= most else rows
+
+
 def held_out(doc_id: Column) -> Column:
     """One fold of five by crc32 of the id as text; a null id is held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(True))

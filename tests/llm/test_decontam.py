@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from seqtables.llm import catalog
@@ -132,3 +133,25 @@ def test_chunks_do_not_change_the_result(spark, docs):
 def test_words_are_those_of_the_contract():
     text = "Ab-c9 É x_Y\x7fz\u0080"
     assert [w.decode() for w in item_words(text)] == words(text)
+
+
+@pytest.mark.parametrize("most", [1, 10_000])
+def test_columns_named_like_helpers_are_kept(spark, most):
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "p q r")], "item_id long, text string")
+    rows = spark.createDataFrame(
+        [(777, "h", "z " * 30 + "p q r", 4, "d"), (5, None, "plain text", None, "e")],
+        "_row long, _hits string, text string, row int, hits string",
+    )
+    out = clean_documents(rows, bench, most=most)
+    assert out.schema == rows.schema
+    kept = sorted(out.collect(), key=lambda r: r["_row"])
+    assert [(r["_row"], r["_hits"], r["row"], r["hits"]) for r in kept] == [(5, None, None, "e"), (777, "h", 4, "d")]
+    assert kept[1]["text"].strip() == ("z " * 30).strip()
+
+
+@pytest.mark.parametrize("most", [1, 10_000])
+def test_ids_keep_their_type(spark, most):
+    bench = spark.createDataFrame([(1, "p q r"), (2, "u v w")], "item_id long, text string")
+    rows = spark.createDataFrame([("k-1", "x p q r"), ("k-2", "y")], "id string, text string")
+    out = hit_digests(find_spans(rows, bench, "id", "text", most=most)).collect()
+    assert sorted((r["row_id"], r["n_hit"]) for r in out) == [("k-1", 3), ("k-2", 0)]

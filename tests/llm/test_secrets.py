@@ -5,8 +5,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from seqtables.llm import catalog
-from seqtables.llm.secrets import RULES, redact_texts, rules_version, scan_history, secret_digests
+from seqtables.llm import catalog, secrets
+from seqtables.llm.secrets import LEDGER, RULES, redact_texts, rules_version, scan_history, secret_digests
 from seqtables.session import scratch_path
 
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -91,3 +91,21 @@ def test_redaction_keeps_rows_and_columns(spark, docs):
         3: "plain",
         4: "[secret]!",
     }
+
+
+def test_ledger_written_twice_gives_each_row_once(spark, docs):
+    ledger = scratch_path(spark, "test-ledger-twice")
+    rows = docs([(1, KEY), (2, "x")])
+    scan_history(rows, "doc_id", "text", ledger).count()
+    again = spark.read.parquet(ledger).collect()
+    spark.createDataFrame(again, LEDGER).write.mode("append").parquet(ledger)
+    found = scan_history(rows, "doc_id", "text", ledger).collect()
+    assert sorted((r["path"], len(r["findings"])) for r in found) == [(1, 1), (2, 0)]
+
+
+def test_redaction_by_a_shuffle_gives_equal_rows(spark, docs, monkeypatch):
+    rows = docs([(i, f"a token=abcdefgh{i % 3} b" if i % 2 else "plain") for i in range(40)])
+    found = scan_history(rows, "doc_id", "text")
+    small = sorted(map(repr, redact_texts(rows, found, "text").collect()))
+    monkeypatch.setattr(secrets, "short_lists", lambda hits, lists: hits)
+    assert sorted(map(repr, redact_texts(rows, found, "text").collect())) == small
