@@ -29,8 +29,8 @@ broadcast if it is small and joined by a shuffle if not.
 
 Defined results: null and empty texts, and texts without words, have an empty set and link with
 nothing; fewer words than ``width`` are one shingle; equal sets always link, however many there are;
-repeated rows stay separate rows; a row with a null id takes part through equal sets only; other
-columns are ignored. Component ids are the smallest id of the component.
+repeated rows stay separate rows; a row with a null id takes part through equal sets only; ids of
+another type than integers are refused with a ``TypeError``; other columns are ignored. Component ids are the smallest id of the component.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqtables.llm.components import components
-from seqtables.llm.tables import parts, stored
+from seqtables.llm.tables import integer_ids, parts, stored
 from seqtables.llm.words import SPACED, WordHasher, mix, shingle_hashes
 from seqtables.operators.joins import fits_broadcast
 
@@ -178,7 +178,7 @@ def sets_and_stars(
     signature held by very many sets makes no large group. Signatures, keys and edges travel as
     packed numbers, dealt by the leading bits of the signature.
     """
-    rows = docs.select(F.col(row_id).cast("long").alias("row_id"), F.col(text).alias("text"))
+    rows = docs.select(integer_ids(docs, row_id).alias("row_id"), F.col(text).alias("text"))
     buckets = max(parts(docs.sparkSession), -(-rows.count() // BUCKET_ROWS))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,7 +450,7 @@ def jaccard_components(
         filled.groupBy("k1", "k2", "n").agg(F.min("row_id").alias("id")), "equal-sets"
     )
     members = classes.filter(F.col("id").isNotNull()).join(groups, "k1").select("id", "group", "n", "k1")
-    rows = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(integer_ids(docs, row_id).alias("id"), F.col(text).alias("text"))
     near = stored(rows.join(small_or_shuffled(stored(members, "candidates")), "id"), "candidate-texts")
     links = group_links(near, width, percent)
     found = components(links, "a", "b").select("id", F.col("root").alias("component_id"))

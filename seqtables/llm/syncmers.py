@@ -14,7 +14,7 @@ share, 0 to 1.
 Defined results: null and empty texts have the empty fingerprint; two empty fingerprints have
 likeness 1, an empty and another one 0; a text shorter than k is one anchor of its own, and so is a
 longer one without a closed syncmer, so only null and empty texts are empty; equal texts have equal
-fingerprints.
+fingerprints; keys of another type than integers are refused with a ``TypeError``.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqtables.llm.tables import parts
+from seqtables.llm.tables import integer_ids, parts
 from seqtables.llm.words import mix
 
 K, S = 12, 6
@@ -196,7 +196,7 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows, no total sort. Null keys come first, ties are ordered by text.
     """
     spark = docs.sparkSession
-    rank = F.coalesce(F.col(key).cast("double"), F.lit(float("-inf")))
+    rank = F.coalesce(integer_ids(docs, key).cast("double"), F.lit(float("-inf")))
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), rank.alias("_rank"))
     n = 8 * parts(spark)
     keys = rows.filter(F.col("_rank") > float("-inf"))

@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 
 from seqtables.llm import catalog
 from seqtables.llm.syncmers import (
@@ -114,3 +115,9 @@ def test_next_rows_with_null_keys(spark, docs):
     rows = docs([(None, "n"), *[(i, str(i)) for i in range(50, 0, -1)]])
     found = {r["text"]: r["next_text"] for r in with_next(rows, "doc_id", "text").collect()}
     assert found == {"n": "1", **{str(i): str(i + 1) for i in range(1, 50)}, "50": "n"}
+
+
+def test_other_keys_than_integers_are_refused(spark):
+    rows = spark.createDataFrame([("a", "x y z")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="integers"):
+        fingerprint_edits(rows, "doc_id", "text")
