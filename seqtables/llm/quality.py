@@ -11,7 +11,8 @@ feature width times ``PARTIALS`` and by ``BINS``.
 
 Defined results: a null text is the empty text, which has statistics and a score like any other;
 equal texts get equal scores; rows with a null label or id are not learned from; a repeated id
-in ``labels`` counts once with its mean label; without labels, or with only one class, every
+in ``labels`` counts once with its mean label; of different texts under one id that with the least
+statistics is learned from; without labels, or with only one class, every
 score is the rate of class 1 (0.5 without labels); other columns are ignored.
 """
 
@@ -244,13 +245,17 @@ def scored_rows(rows: DataFrame, model: KernelRidge, raw: bool = False) -> DataF
     return rows.mapInArrow(run, schema)
 
 
+def one_per_id(stats: DataFrame) -> DataFrame:
+    """One row for each id: of texts that share it, the one with the least statistics."""
+    return stats.groupBy("row_id").agg(F.min("stats").alias("stats"))
+
+
 def quality_scores(
     docs: DataFrame, labels: DataFrame, row_id: str, text: str, label: str, learn: Column
 ) -> DataFrame:
     """``(row_id, score)`` for every row of ``docs``; equal ids stay separate rows."""
     stats = stored(text_statistics(docs, row_id, text), "quality-stats")
-    one = stats.dropDuplicates(["row_id"])
-    model = fit(one, labels, row_id, label, learn)
+    model = fit(one_per_id(stats), labels, row_id, label, learn)
     return scored_rows(stats, model)
 
 
@@ -269,7 +274,7 @@ def keep_good(
     shuffled.
     """
     stats = stored(text_statistics(docs, row_id, text), "quality-stats")
-    model = fit(stats.dropDuplicates(["row_id"]), labels, row_id, label, learn)
+    model = fit(one_per_id(stats), labels, row_id, label, learn)
     place = docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

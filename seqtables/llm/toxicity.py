@@ -12,7 +12,8 @@ id; the corpus is scored whole), a feature must occur in ``MIN_DOCS`` texts of a
 
 Defined results: a null text is the empty text and gets the score of the bias alone; equal texts get
 equal scores; rows with a null label or id are not learned from; a repeated id in ``labels`` counts
-as toxic if any of its rows does; without labelled rows every score is 0.5; other columns are
+as toxic if any of its rows does, and a repeated id in the documents is learned from once, with the
+least of its texts; without labelled rows every score is 0.5; other columns are
 ignored.
 """
 
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqtables.llm.tables import stored
 from seqtables.llm.words import ALNUM, WordHasher, mix
 
 MAX_LABELLED = 24_000
@@ -117,6 +119,8 @@ def labelled_sample(
     """``(row_id, text, y, shard)`` of about ``most`` labelled rows, and the number of shards.
 
     The chosen ids are bounded by ``most``, so they are broadcast and no text of any other row moves.
+    The sample is stored, so the rounds read it and not the corpus; an id counts once, with the least
+    of its texts.
     """
     marks = (
         labels.select(F.col(row_id).alias("row_id"), F.col(label).cast("double").alias("y"))
@@ -130,13 +134,15 @@ def labelled_sample(
         marks = marks.filter(F.col("h") < int((1 << 30) * most / total))
     shards = -(-min(total, most) // SHARD_ROWS) or 1
     chosen = marks.select("row_id", "y", (F.col("h") % shards).cast("int").alias("shard"))
-    rows = docs.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"))
-    return rows.join(F.broadcast(chosen), "row_id"), shards
+    rows = docs.select(F.col(row_id).alias("row_id"), F.coalesce(text, F.lit("")).alias("text"))
+    known = rows.join(F.broadcast(chosen), "row_id")
+    one = known.groupBy("row_id", "y", "shard").agg(F.min("text").alias("text"))
+    return stored(one, "toxicity-sample"), shards
 
 
 def shard_trainer(start, seed: int):
     def train(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("row_id").sort_values("row_id")
+        rows = rows.sort_values("row_id")
         return shard_state(rows["text"].tolist(), rows["y"].to_numpy(), start.value, seed)
 
     return train

@@ -27,37 +27,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def as_bytes(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
+def mixed(x: np.ndarray) -> np.ndarray:
+    """``mix`` of small numbers spread by an odd factor first, in place to save memory."""
+    x *= BASE
+    high = np.empty_like(x)
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 1):
+        np.right_shift(x, np.uint64(33), out=high)
+        x ^= high
+        x *= np.uint64(factor)
+    return x
 
 
-def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+def as_bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
 
 
 class WordHasher:
-    """Polynomial hashes (mod 2^64, then mixed) of the blank-separated words of some bytes."""
+    """Hashes of the blank-separated words of some bytes.
+
+    A word's hash is the sum of one mixed number for each of its bytes and places, mixed with its
+    length. Unlike a polynomial mod 2^64 no family of words collides whatever the base.
+    """
 
     def __init__(self, table: bytes = SPACED, heads: Sequence[int] = ()):
         """With ``heads``, hashes have a row for the words and one for their first bytes."""
         self.table = table
         self.heads = tuple(heads)
-        self.up = powers(0)
-        inverse = pow(int(BASE), -1, 2**64)
-        self.inverse = np.uint64(inverse)
-        self.down = powers(0)
 
     def block(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Start offsets and hashes of the words of ``raw``, already translated."""
         data = np.frombuffer(raw, dtype=np.uint8)
         edge = np.flatnonzero(np.diff(np.concatenate(([0], (data != 32).view(np.int8), [0]))))
         starts, ends = edge[::2], edge[1::2]
-        if len(self.up) < len(data):
-            self.up, self.down = powers(len(data)), powers(len(data), self.inverse)
+        # The place of every byte in its word; blanks go on counting and belong to no span.
+        place = np.arange(len(data), dtype=np.uint64)
+        if len(starts):
+            size = np.diff(np.append(starts, len(data)))
+            place[starts[0] :] -= np.repeat(starts.astype(np.uint64), size)
+        place <<= np.uint64(8)
+        place |= data
         total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(data.astype(np.uint64) * self.up[: len(data)], out=total[1:])
+        np.cumsum(mixed(place), out=total[1:])
         whole = self.spans(total, starts, ends)
         if not self.heads:
             return starts, whole
@@ -68,8 +78,7 @@ class WordHasher:
         return starts, np.stack(rows)
 
     def spans(self, total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        sums = (total[ends] - total[starts]) * self.down[starts]
-        return mix(sums + mix((ends - starts).astype(np.uint64)))
+        return mix(total[ends] - total[starts] + mix((ends - starts).astype(np.uint64)))
 
     def words(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Like ``block`` for any length: blocks end at blanks, so no word is cut."""

@@ -123,3 +123,17 @@ def test_components_match_union_find(spark):
     frame = spark.createDataFrame(pairs, "a long, b long")
     found = {r["id"]: r["root"] for r in components(frame, "a", "b").collect()}
     assert found == {x: find(x) for x in root if find(x) != x}
+
+
+def test_other_ids_than_integers_are_refused(spark):
+    rows = spark.createDataFrame([("a", "x y z")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="integers"):
+        jaccard_components(rows, "doc_id", "text")
+
+
+def test_words_alike_but_for_swapped_letters_do_not_link(spark, docs):
+    word, swap = "a", str.maketrans("ab", "ba")
+    while len(word) < 1024:
+        word += word.translate(swap)
+    rows = [(1, word), (2, word.translate(swap)), (3, word)]
+    assert found(spark, docs, rows, 3, 90) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]

@@ -112,3 +112,19 @@ def test_word_heads_and_blocks():
     parts = list(hasher.texts([long, "", None, "word"]))
     assert [p.shape[1] for p in parts] == [500_002, 0, 0, 1]
     assert len(np.unique(parts[0][0])) == 3 and parts[3][0][0] == parts[0][0][0]
+
+
+def test_words_of_one_family_do_not_collide():
+    word, swap = "a", str.maketrans("ab", "ba")
+    while len(word) < 4096:
+        word += word.translate(swap)
+        hashes = list(WordHasher().texts([f"{word} {word.translate(swap)} {word}"]))[0]
+        assert hashes[0] == hashes[2] != hashes[1]
+
+
+@pytest.mark.parametrize("which", ["quality", "toxicity"])
+def test_texts_that_share_an_id_give_one_model_in_any_order(spark, docs, which):
+    texts = [(i % 40, f"{'bad' if i % 2 else 'good'} word{i % 7} text{i} " * (1 + i % 5)) for i in range(160)]
+    labels = [(i, float(i % 2), "") for i in range(40)]
+    runs = [sorted(scores(spark, which, docs(rows), labels)) for rows in (texts, texts[::-1])]
+    assert runs[0] == runs[1]
