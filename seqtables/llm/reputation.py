@@ -8,6 +8,10 @@ children. The prior's strength is fitted to the level by the moments of the beta
 the observed shares exceeds the binomial one by ``(n - 1) rho``. A page without a rule is blocked
 if the lower bound of its host's posterior (mean less ``Z`` standard deviations) exceeds ``LIMIT``.
 
+Suffixes of several labels, such as those of a public suffix list, come as a table with the column
+``suffix``; without it the suffix is the last label. The levels are stored, since each is read more
+than once.
+
 Everything is a grouping with partial sums and a join by host, domain or suffix.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule and gets
@@ -21,6 +25,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqtables.llm.jaccard import small_or_shuffled
+from seqtables.llm.tables import stored
+
 # Verdict, host, path.
 RULES = (
     ("allow", "org", "/"),
@@ -56,13 +63,34 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def domain_of(host: Column) -> Column:
-    """Registered domain: the last two labels."""
-    return F.substring_index(host, ".", -2)
-
-
-def suffix_of(domain: Column) -> Column:
-    return F.substring_index(domain, ".", -1)
+def tail_of(n: Column) -> Column:
+    """The last ``n`` labels of ``host``."""
+    return F.call_function("substring_index", F.col("host"), F.lit("."), -n)
+
+
+def registered(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """``hosts`` (one row each) with the ``domain`` and ``suffix`` of their ``host``.
+
+    The suffix is the longest tail of whole labels in the column ``suffix`` of ``suffixes``, else the
+    last label; the domain has one label more. A host that is a suffix is its own domain.
+    """
+    labels = F.split("host", "[.]")
+    plain = hosts.withColumn("_long", F.lit(1))
+    if suffixes is not None:
+        known = suffixes.select(F.translate("suffix", UPPER, LOWER).alias("_tail"))
+        known = stored(known.filter("_tail IS NOT NULL").distinct(), "host-suffixes")
+        sizes = F.sequence(F.lit(1), F.size(labels))
+        tails = hosts.select("host", F.explode(sizes).alias("_long")).withColumn(
+            "_tail", tail_of(F.col("_long"))
+        )
+        longest = tails.join(small_or_shuffled(known), "_tail", "left_semi")
+        longest = longest.groupBy("host").agg(F.max("_long").alias("_long"))
+        plain = hosts.join(longest, "host", "left").withColumn("_long", F.coalesce("_long", F.lit(1)))
+    return plain.select(
+        *hosts.columns,
+        tail_of(F.col("_long") + 1).alias("domain"),
+        tail_of(F.col("_long")).alias("suffix"),
+    )
 
 
 def shrink(children: DataFrame, parents: DataFrame, parent: str) -> DataFrame:
@@ -88,42 +116,38 @@ def shrink(children: DataFrame, parents: DataFrame, parent: str) -> DataFrame:
     ).withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
+def reputations(outcomes: DataFrame, suffix_table: DataFrame | None = None) -> DataFrame:
     """``(host, n, mean, low)`` from rows of ``(host, bad)`` where ``bad`` is 0, 1 or null."""
-    hosts = (
-        outcomes.groupBy("host")
-        .agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("bad").alias("n"))
-        .withColumn("domain", domain_of(F.col("host")))
-    )
-    domains = (
-        hosts.groupBy("domain")
-        .agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-        .withColumn("suffix", suffix_of(F.col("domain")))
-    )
-    suffixes = (
-        domains.groupBy("suffix")
-        .agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-        .withColumn("root", F.lit(0))
+    counted = outcomes.groupBy("host").agg(
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("bad").alias("n")
     )
+    # Each level is read for its parent's sums, its moments and its posteriors.
+    hosts = stored(registered(counted, suffix_table), "host-outcomes")
+    sums = F.sum("bad").alias("bad"), F.sum("n").alias("n")
+    domains = stored(hosts.groupBy("domain", "suffix").agg(*sums), "domain-outcomes")
+    suffixes = domains.groupBy("suffix").agg(*sums).withColumn("root", F.lit(0))
+    suffixes = stored(suffixes, "suffix-outcomes")
     root = suffixes.groupBy("root").agg(
         ((F.sum("bad") + START * WEIGHT) / (F.sum("n") + WEIGHT)).alias("mean")
     )
-    suffixes = shrink(suffixes, root, "root")
-    domains = shrink(domains, suffixes, "suffix")
+    suffixes = stored(shrink(suffixes, root, "root"), "suffix-rates")
+    domains = stored(shrink(domains, suffixes, "suffix"), "domain-rates")
     sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("a") + F.col("b") + 1))
     return shrink(hosts, domains, "domain").select(
         "host", "n", "mean", (F.col("mean") - Z * sd).alias("low")
     )
 
 
-def judge_urls(pages: DataFrame, page_id: str, url: str, rules=RULES) -> DataFrame:
+def judge_urls(
+    pages: DataFrame, page_id: str, url: str, rules=RULES, suffix_table: DataFrame | None = None
+) -> DataFrame:
     """One row for each page with its rule and verdict, the rule's or that of the posterior bound."""
     host, path = host_and_path(F.coalesce(F.col(url), F.lit("")))
     placed = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = placed.withColumns({"rule": rule, "ruled": verdict})
     bad = F.when(F.col("ruled").isNotNull(), (F.col("ruled") == "block").cast("long"))
-    known = reputations(ruled.select("host", bad.alias("bad")))
+    known = reputations(ruled.select("host", bad.alias("bad")), suffix_table)
     by_bound = F.when(F.round("low", 9) > LIMIT, "block").otherwise("allow")
     return ruled.join(known, "host").select(
         "page_id",

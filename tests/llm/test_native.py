@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqtables.llm import catalog, reputation
+from seqtables.llm.reputation import registered, reputations
 from seqtables.llm.perspectives import rotate_perspectives
 from seqtables.llm.sharding import even_shares, shard_documents
 
@@ -152,3 +153,29 @@ def test_sharding_uses_no_python_rows(spark, docs):
     turns = spark.createDataFrame([(1, 0, "a", "x")], "c long, t long, r string, x string")
     plan = rotate_perspectives(turns, "c", "t", "r", "x").select(F.col("text"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_suffixes_of_several_labels(spark):
+    hosts = ["a.shop.co.uk", "b.shop.co.uk", "other.co.uk", "co.uk", "x.uk", "y.example.com", "com", ""]
+    frame = spark.createDataFrame([(h,) for h in hosts], "host string")
+    table = spark.createDataFrame([("CO.uk",), ("uk",), (None,), ("co.uk",)], "suffix string")
+    found = {r["host"]: (r["domain"], r["suffix"]) for r in registered(frame, table).collect()}
+    assert found == {
+        "a.shop.co.uk": ("shop.co.uk", "co.uk"),
+        "b.shop.co.uk": ("shop.co.uk", "co.uk"),
+        "other.co.uk": ("other.co.uk", "co.uk"),
+        "co.uk": ("co.uk", "co.uk"),
+        "x.uk": ("x.uk", "uk"),
+        "y.example.com": ("example.com", "com"),
+        "com": ("com", "com"),
+        "": ("", ""),
+    }
+
+
+def test_sites_under_one_suffix_do_not_share_outcomes(spark):
+    bad = [(f"h{i}.bad.co.uk", 1) for i in range(6) for _ in range(20)]
+    good = [(f"s{k}.co.uk", 0) for k in range(30) for _ in range(20)]
+    rows = spark.createDataFrame([*bad, *good, ("new.bad.co.uk", None), ("new.co.uk", None)], "host string, bad int")
+    table = spark.createDataFrame([("co.uk",)], "suffix string")
+    rate = {r["host"]: r["mean"] for r in reputations(rows, table).collect()}
+    assert rate["new.bad.co.uk"] > 0.7 and rate["new.co.uk"] < 0.3
