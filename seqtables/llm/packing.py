@@ -4,7 +4,8 @@ Documents become token pieces of at most ``capacity``; whoever is longer is cut,
 taking the remainder. Pieces of one length are interchangeable, so the search sees only the number
 of pieces of each length, at most ``capacity`` numbers however many documents there are. Bin
 completion (Korf 2002) takes the largest length left, enumerates undominated fillings of the rest
-of its sequence, least waste first, and applies each to as many sequences as the counts allow.
+of its sequence, least waste first, and applies each to as many sequences as the counts and the
+waste still allowed permit, or to one.
 The best-fit decreasing packing is the first incumbent; a branch whose sequences so far and lower
 bound (Martello and Toth's L2, which bounds the waste) reach the incumbent is pruned. The search
 ends at the lower bound or after ``MAX_STEPS`` fillings, with the best packing found.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +35,9 @@ from seqtables.operators.ranking import grouped_row_number
 CAPACITY = 1024
 END_ID = 2
 MAX_STEPS = 6_000
-# Fillings kept at a branch, and items a filling may have beside the largest.
+# Fillings kept at a branch, and items placed in search of them.
 MAX_FILLINGS = 12
-MAX_ITEMS = 4
+MAX_NODES = 600
 # Chunks of text whose ids a task remembers, in each of two generations.
 MEMORY = 350_000
 # Texts whose new chunks are encoded together.
@@ -211,80 +213,130 @@ def best_fit(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return [(p, n) for bins in free for p, n in bins.items()]
 
 
-def fillings(counts: np.ndarray, gap: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``gap``, least waste first.
+def reachable(sizes: list[int], gap: int) -> list[int]:
+    """For each place, the sums up to ``gap`` of any number of the sizes up to there, as bits."""
+    sums, bits, mask = [], 1, (1 << (gap + 1)) - 1
+    for size in sizes:
+        shift = size
+        while shift <= gap:
+            bits |= (bits << shift) & mask
+            shift *= 2
+        sums.append(bits)
+    return sums
+
+
+def fillings(counts: np.ndarray, gap: int, waste: int) -> list[tuple[int, ...]]:
+    """Undominated fillings of ``gap`` that waste at most ``waste``, least waste first.
 
     A single item that fills the gap dominates all. Otherwise a set whose sum is at most the
-    largest single item that fits is dominated by that item, so only larger sums are kept.
+    largest single item that fits is dominated by that item, so only larger sums are kept, and a
+    filling that leaves room for another item is dominated by that with the item. A branch is left
+    when no sum of the sizes it may still use, even without regard to their numbers, wastes so little.
+    The limit rises from the least waste any sum allows, so tight fillings are found first.
     """
     sizes = np.flatnonzero(counts[: gap + 1])
-    sizes = sizes[sizes > 0]
-    if len(sizes) == 0:
-        return [()]
-    single = int(sizes[-1])
-    found = [(gap - single, (single,))]
+    fit = sizes[sizes > 0].tolist()
+    if not fit:
+        return [()] if gap <= waste else []
+    single = fit[-1]
     if single == gap:
         return [(single,)]
     have = counts.tolist()
-    fit = sizes[::-1].tolist()
+    sums = reachable(fit, gap)
+    found: dict[tuple[int, ...], int] = {}
+    nodes = MAX_NODES
+
+    def least(room: int, k: int) -> int:
+        return room - (sums[k] & ((2 << room) - 1)).bit_length() + 1
 
-    def extend(chosen: tuple[int, ...], room: int, at: int) -> None:
-        # Depth first, larger items first; a branch keeps its first few fillings.
-        for i in range(at, len(fit)):
+    def extend(chosen: tuple[int, ...], room: int, k: int, limit: int) -> None:
+        """Depth first, larger items first."""
+        nonlocal nodes
+        for i in range(k, -1, -1):
             size = fit[i]
-            if size > room or have[size] - chosen.count(size) <= 0:
+            if size > room or have[size] <= chosen.count(size):
                 continue
-            grown = (*chosen, size)
-            left = room - size
-            if len(grown) > 1 and gap - left > single:
-                found.append((left, grown))
-            if left and len(grown) < MAX_ITEMS and left >= fit[-1]:
-                extend(grown, left, i)
-            if len(found) > 4 * MAX_FILLINGS or found[-1][0] == 0:
+            if nodes <= 0 or len(found) >= MAX_FILLINGS:
                 return
-
-    for lead in range(min(len(fit), 2 * MAX_FILLINGS)):
-        size = fit[lead]
-        partner = gap - size
-        if 0 < partner <= size and have[partner] - (partner == size) > 0:
-            found.append((0, (size, partner)))
-    if min(found)[0] > 0:
-        extend((), gap, 0)
-    best = sorted(set(found), key=lambda f: (f[0], len(f[1]), [-x for x in f[1]]))
-    return [f for _, f in best[:MAX_FILLINGS]]
+            left = room - size
+            if least(left, i) > limit:
+                continue
+            nodes -= 1
+            grown = (*chosen, size)
+            if left <= limit and (len(grown) == 1 or gap - left > single):
+                others = fit[: bisect_right(fit, left)]
+                if all(have[s] <= grown.count(s) for s in others):
+                    found[grown] = left
+            if left:
+                extend(grown, left, i, limit)
+
+    most = min(waste, gap - single)
+    limit = least(gap, len(fit) - 1)
+    while limit <= most:
+        extend((), gap, len(fit) - 1, limit)
+        if nodes <= 0 or len(found) >= MAX_FILLINGS or limit == most:
+            break
+        limit = min(most, 2 * limit + 1)
+    if gap - single <= waste:
+        found[(single,)] = gap - single
+    return sorted(found, key=lambda f: (found[f], len(f), [-x for x in f]))
+
+
+def branches(state: np.ndarray, slack: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns around the largest piece with the times to use them: as often as the pieces and the
+    slack allow, then once, so that a branch may also mix patterns."""
+    capacity = len(state) - 1
+    largest = int(np.flatnonzero(state)[-1])
+    rest = state.copy()
+    rest[largest] -= 1
+    often, once = [], []
+    for filling in fillings(rest, capacity - largest, slack):
+        pattern = (largest, *filling)
+        need = np.bincount(pattern, minlength=len(state))
+        held = np.flatnonzero(need)
+        times = int((state[held] // need[held]).min())
+        lost = capacity - sum(pattern)
+        if lost:
+            times = min(times, slack // lost)
+        often.append((pattern, times))
+        if times > 1:
+            once.append((pattern, 1))
+    return often + once
 
 
 def plan_packing(counts: np.ndarray, steps: int = MAX_STEPS):
-    """``(patterns with their numbers, lower bound)`` for pieces counted by length."""
+    """``(patterns with their numbers, lower bound)`` for pieces counted by length.
+
+    Depth-first branch and bound from the best-fit packing. The slack is the room that a packing
+    with one sequence less than the best one may waste from here on; it bounds every filling.
+    """
     incumbent = best_fit(counts)
     best = sum(n for _, n in incumbent)
     bound = lower_bound(counts)
+    capacity = len(counts) - 1
+    weights = np.arange(capacity + 1)
     stack = []
     state, used, path = counts.astype(np.int64).copy(), 0, []
     options = None
     while steps > 0 and best > bound:
-        left = np.flatnonzero(state)
-        if len(left) == 0 or used + lower_bound(state) >= best:
-            if len(left) == 0 and used < best:
-                best, incumbent = used, list(path)
-            options = []
         if options is None:
-            largest = int(left[-1])
-            rest = state.copy()
-            rest[largest] -= 1
-            options = [(largest, *f) for f in fillings(rest, len(counts) - 1 - largest)]
+            if not state.any():
+                if used < best:
+                    best, incumbent = used, list(path)
+                options = []
+            elif used + lower_bound(state) >= best:
+                options = []
+            else:
+                options = branches(state, (best - 1 - used) * capacity - int(state @ weights))
         if not options:
             if not stack:
                 break
             state, used, path, options = stack.pop()
             continue
-        pattern, *others = options
+        (pattern, times), *others = options
         if others:
             stack.append((state.copy(), used, list(path), others))
-        need = np.bincount(pattern, minlength=len(counts))
-        held = np.flatnonzero(need)
-        times = int((state[held] // need[held]).min())
-        state[held] -= times * need[held]
+        np.subtract.at(state, list(pattern), times)
         used += times
         path.append((pattern, times))
         options = None

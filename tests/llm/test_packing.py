@@ -14,6 +14,7 @@ from seqtables.llm.packing import (
     best_fit,
     lower_bound,
     pack_documents,
+    fillings,
     plan_packing,
     plan_rows,
 )
@@ -122,3 +123,35 @@ def test_plan_rows_cover_every_rank_once():
     rows = plan_rows([((60, 40), 2), ((60, 20, 20), 3)])
     spots = {(size, r) for size, lo, hi, *_ in rows for r in range(lo, hi)}
     assert spots == {(60, i) for i in range(5)} | {(40, i) for i in range(2)} | {(20, i) for i in range(6)}
+
+
+@pytest.mark.parametrize("low,high,over", [(50, 160, 0), (20, 61, 0), (30, 401, 0), (120, 260, 8)])
+def test_search_fills_sequences_of_many_short_pieces(low, high, over):
+    sizes = np.random.default_rng(0).integers(low, high, 6000)
+    counts = np.bincount(sizes, minlength=1025)
+    patterns, bound = plan_packing(counts)
+    used = np.zeros(1025, dtype=np.int64)
+    for pattern, times in patterns:
+        assert sum(pattern) <= 1024 and times > 0
+        np.add.at(used, list(pattern), times)
+    assert (used == counts).all()
+    assert sum(n for _, n in patterns) <= bound + over
+
+
+def test_fillings_against_all_subsets():
+    draw = np.random.default_rng(9)
+    for _ in range(80):
+        sizes = draw.integers(2, 30, 7).tolist()
+        gap, waste = int(draw.integers(10, 60)), int(draw.integers(0, 12))
+        found = fillings(np.bincount(sizes, minlength=61), gap, waste)
+        sums = {sum(s) for k in range(8) for s in itertools.combinations(sizes, k) if sum(s) <= gap}
+        # The tightest filling is always there, and nothing beyond the waste allowed is.
+        assert all(gap - sum(f) <= waste for f in found)
+        assert (gap - max(sums) <= waste) == bool(found)
+        if found:
+            assert sum(found[0]) == max(sums)
+        for f in found:
+            rest = list(sizes)
+            for x in f:
+                rest.remove(x)
+            assert not rest or min(rest) > gap - sum(f) or len(f) <= 1
