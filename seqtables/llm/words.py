@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 
 # Bytes hashed at a time: bounds the working arrays, not the text.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 # Lower-cased bytes with every separator as a blank: white space only, or all but a-z, 0-9 and
