@@ -508,7 +508,9 @@ def score_stream(spark, sf):
     root = scratch_path(spark, "stream")
     M.save_scorer(spark, fixed_scorer(spark), f"{root}/bundles", "fixed")
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-    requests = S.read_requests(spark, sf, schema, "documents.parquet").select(
+    # A table is a file or a folder of files.
+    source = S.read_requests(spark, f"{sf.rstrip('/')}/documents.parquet", schema, "*")
+    requests = source.select(
         "doc_id", sequence_from_text(F.col("text")).alias("sequence")
     )
     stream = S.serve_stream(
