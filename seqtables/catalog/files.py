@@ -29,6 +29,7 @@ from seqtables.catalog.scoring import (
 )
 from seqtables.catalog.splitting import STRATIFIED, WORD_MAP
 from seqtables.functions.annotations import map_external_labels
+from seqtables.functions.common import bind
 from seqtables.operators import metrics as M
 from seqtables.operators import similarity as C
 from seqtables.operators.calibrate import apply_class_params
@@ -365,8 +366,11 @@ def embedding_store(spark, sf):
     E.embedding_store(rows.filter(F.col("lang") == "en"), encode, path, "letters")
     out, _ = E.embedding_store(rows, encode, path, "letters")
     size = F.least(F.length("sequence"), F.lit(1024))
-    whole = F.transform(
-        "embedding", lambda v, i: F.struct(i.alias("d"), F.round(v * size).cast("bigint").alias("n"))
+    whole = bind(
+        size,
+        lambda n: F.transform(
+            "embedding", lambda v, i: F.struct(i.alias("d"), F.round(v * n).cast("bigint").alias("n"))
+        ),
     )
     shown = F.transform(F.filter(whole, lambda c: c["n"] > 0), lambda c: F.concat_ws(":", c["d"], c["n"]))
     return out.groupBy("emb_key").agg(

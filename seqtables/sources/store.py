@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seqtables.operators.clean import dedup_keep_first
 from seqtables.operators.joins import keyed_lookup
+from seqtables.session import stored_table
 
 
 def embedding_key(sequence: Column, backbone: str, pooling: str, max_length: int) -> Column:
@@ -53,19 +54,21 @@ def embedding_store(
     Only sequences whose key is not stored yet are encoded, once each, and appended. ``encode``
     takes ``(emb_key, sequence)`` rows, the sequences cut to ``max_length``, and returns
     ``(emb_key, embedding)``. The store is a folder for each range of keys; a call reads the ranges its
-    keys fall into (at most 256 names reach the driver), of the known ones the key column only.
+    keys fall into (at most 256 names reach the driver), of the known ones the key column only. The rows
+    are read once and kept with their keys in the shared folder.
     """
     spark = df.sparkSession
     keyed = df.withColumn("emb_key", embedding_key(F.col(sequence), backbone, pooling, max_length))
+    keyed = stored_table(keyed, "keyed-rows")
     wanted = keyed.select(
         "emb_key", F.substring(F.col(sequence), 1, max_length).alias("sequence")
     )
     key_range = F.left("emb_key", F.lit(RANGE_DIGITS))
     touched = [r["r"] for r in wanted.select(key_range.alias("r")).distinct().collect() if r["r"]]
     have = stored(spark, path, touched)
-    new = dedup_keep_first(wanted, "emb_key", ["emb_key"])
-    if have is not None:
-        new = new.join(have.select("emb_key"), "emb_key", "left_anti")
+    # Known keys go before the others are shuffled.
+    unknown = wanted if have is None else wanted.join(have.select("emb_key"), "emb_key", "left_anti")
+    new = dedup_keep_first(unknown, "emb_key", ["emb_key"])
     # Rows of this call are told by its mark, which a count reads alone.
     call = uuid.uuid4().hex
     encoded = encode(new).select("emb_key", F.col("embedding").cast("array<float>"), F.lit(call).alias("call"))
