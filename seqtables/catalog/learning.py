@@ -508,8 +508,8 @@ def score_stream(spark, sf):
     root = scratch_path(spark, "stream")
     M.save_scorer(spark, fixed_scorer(spark), f"{root}/bundles", "fixed")
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-    # A table is a file or a folder of files.
-    source = S.read_requests(spark, f"{sf.rstrip('/')}/documents.parquet", schema, "*")
+    # A table is a file or a folder of files; only as a pattern a stream takes both.
+    source = S.read_requests(spark, f"{sf.rstrip('/')}/documents.parque[t]", schema, "*")
     requests = source.select(
         "doc_id", sequence_from_text(F.col("text")).alias("sequence")
     )
