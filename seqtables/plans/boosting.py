@@ -8,7 +8,9 @@ nor retries show in a model.
 A pass over the rows is a Spark job that sums all classes together and splits the nodes where their
 sums meet; only one row a node reaches the driver. Rows that fit one task by their counted cells are
 dealt once for each class instead, and each class grows all its trees in its task: the same sums and
-splits without a job for each level. Both ways give the same trees.
+splits without a job for each level. There only the smaller child of a cut is summed, the other is what
+its parent has beyond it, and two features are summed by one joint key where rows outnumber such keys.
+Both ways give the same trees, since the sums are exact.
 
 Defined results: missing and NaN values are larger than every cut; a feature of one value is never cut;
 equal gains take the lowest feature, then the lowest cut; a row without a label counts as negative.
@@ -145,6 +147,40 @@ def histograms(x: np.ndarray, node: np.ndarray, sums: np.ndarray, nodes: int, s:
     return out.reshape(2, nodes, s.width, s.bins)
 
 
+class Sums:
+    """Histograms of rows kept in one task, feature by feature; the same sums as ``histograms``."""
+
+    def __init__(self, x: np.ndarray, s: Settings):
+        self.s = s
+        self.columns = np.ascontiguousarray(x.T)
+        wide = self.columns.astype(np.uint16)
+        # Bins of two neighbouring features as one key.
+        self.joint = wide[0 : s.width - 1 : 2] * np.uint16(s.bins) + wide[1::2]
+
+    def add(self, rows: np.ndarray | None, rank: np.ndarray, sums: np.ndarray, nodes: int) -> np.ndarray:
+        """Sums by ``(gradient or Hessian, node, feature, bin)`` of some rows, ``None`` for all."""
+        s = self.s
+        out = np.empty((2, nodes, s.width, s.bins))
+        paired = len(self.joint) if len(rank) > nodes * s.bins**2 else 0
+        key = np.empty(len(rank), np.int64)
+
+        def summed(column: np.ndarray, cells: int) -> Iterator[np.ndarray]:
+            np.add(base, column if rows is None else column.take(rows, mode="clip"), out=key)
+            for weight in sums:
+                yield np.bincount(key, weight, minlength=nodes * cells).reshape(nodes, -1, s.bins)
+
+        base = rank * s.bins**2
+        for p in range(paired):
+            for i, found in enumerate(summed(self.joint[p], s.bins**2)):
+                out[i, :, 2 * p] = found.sum(axis=2)
+                out[i, :, 2 * p + 1] = found.sum(axis=1)
+        base = rank * s.bins
+        for f in range(2 * paired, s.width):
+            for i, found in enumerate(summed(self.columns[f], s.bins)):
+                out[i, :, f] = found[:, 0]
+        return out
+
+
 def best_cuts(hist: np.ndarray, s: Settings) -> list[tuple]:
     """For each node ``(feature, bin, g and h left, g and h right)``; feature -1 if no cut gains."""
     total = hist[:, :, :1, :].sum(axis=3)[..., None]
@@ -223,18 +259,44 @@ class Growing:
 
 def grow_class(x: np.ndarray, y: np.ndarray, heavier: float, s: Settings) -> Iterator[Growing]:
     """All trees of one class from rows of one task."""
-    margin = np.zeros(len(x))
+    margin, store, cells = np.zeros(len(x)), Sums(x, s), np.ascontiguousarray(x).reshape(-1)
+    first = np.arange(len(x)) * s.width
+    inner = (1 << s.depth) - 1
     for _ in range(s.trees):
         tree, sums = Growing(s), gradients(margin, y, heavier)
+        node = np.zeros(len(x), np.int64)
+        hist = store.add(None, node, sums, 1)
         for level in range(s.depth):
-            if not tree.open:
-                break
-            node = tree.ranks(tree.places(x, level))
-            tree.add(level, best_cuts(histograms(x, node, sums, len(tree.open), s), s))
-        margin += tree.values(x)
+            if tree.open:
+                before = dict(zip(tree.open, range(len(tree.open))))
+                tree.add(level, best_cuts(hist, s))
+            node = 2 * node + 1 + (cells[first + tree.feature[node]] > tree.bin[node])
+            if tree.open and level + 1 < s.depth:
+                hist = child_sums(store, hist, before, tree.open, node, sums)
+        margin += tree.leaf[node - inner]
         yield tree
 
 
+def child_sums(
+    store: Sums, hist: np.ndarray, before: dict[int, int], nodes: list[int], node: np.ndarray, sums: np.ndarray
+) -> np.ndarray:
+    """Sums of the open ``nodes`` from those of their parents, ``before`` their places in ``hist``."""
+    sizes = np.bincount(node, minlength=max(nodes) + 2)
+    parents = sorted({(n - 1) // 2 for n in nodes})
+    least = [min(2 * p + 1, 2 * p + 2, key=lambda n: sizes[n]) for p in parents]
+    rank = np.full(len(sizes), -1)
+    rank[least] = np.arange(len(least))
+    place = rank[node]
+    rows = np.flatnonzero(place >= 0)
+    small = store.add(rows, place[rows], np.ascontiguousarray(sums[:, rows]), len(least))
+    out = np.empty((2, len(nodes), *hist.shape[2:]))
+    for i, n in enumerate(nodes):
+        p = (n - 1) // 2
+        part = small[:, parents.index(p)]
+        out[:, i] = part if rank[n] >= 0 else hist[:, before[p]] - part
+    return out
+
+
 TREE = "c int, tree int, feature array<int>, bin array<int>, leaf array<double>"
 
 

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqtables.plans import models as M
-from seqtables.plans.boosting import SCALE, Settings, best_cuts, gradients, histograms
+from seqtables.plans import boosting as B
+from seqtables.plans.boosting import SCALE, Settings, Sums, best_cuts, gradients, grow_class, histograms
 
 
 def rows(spark, n=400, seed=1):
@@ -97,3 +98,44 @@ def test_no_rows_to_score(spark):
     frame = rows(spark, 30)[0]
     scorer = M.boosted_trees(frame, ["a", "b", "c"], n_trees=1, depth=1)
     assert M.add_logits(frame.limit(0), scorer).count() == 0
+
+
+@pytest.mark.parametrize("n, width, bins", [(900, 5, 16), (900, 4, 8), (60, 1, 8), (40, 3, 256)])
+def test_sums_of_one_task_are_the_histograms(n, width, bins):
+    draw = np.random.default_rng(5)
+    s = Settings(1, 2, 0.1, bins, 1.0, 1.0, width)
+    x = draw.integers(0, bins, (n, width)).astype(np.uint8)
+    sums = np.rint(draw.normal(size=(2, n)) * SCALE)
+    place = draw.integers(-1, 2, n)
+    rows = np.flatnonzero(place >= 0)
+    found = Sums(x, s).add(rows, place[rows], sums[:, rows], 2)
+    assert (found == histograms(x, place, sums, 2, s)).all()
+    whole = Sums(x, s).add(None, np.zeros(n, np.int64), sums, 1)
+    assert (whole == histograms(x, np.zeros(n, np.int64), sums, 1, s)).all()
+
+
+def test_a_level_sums_the_smaller_children_only(monkeypatch):
+    summed, add = [], Sums.add
+
+    def noted(self, rows, rank, sums, nodes):
+        summed.append(len(rank))
+        return add(self, rows, rank, sums, nodes)
+
+    monkeypatch.setattr(Sums, "add", noted)
+    draw = np.random.default_rng(7)
+    x = draw.integers(0, 16, (2000, 4)).astype(np.uint8)
+    y = (x[:, 0] > 9) != (x[:, 1] > 5)
+    s = Settings(3, 4, 0.1, 16, 1.0, 1.0, 4)
+    trees = list(grow_class(x, y.astype(int), 1.0, s))
+    assert len(summed) > 3 and summed.count(2000) == 3
+    assert all(n <= 1000 for n in summed if n < 2000)
+    margin = np.zeros(2000)
+    for tree in trees:
+        # The same tree by whole sums of every level.
+        again, sums = B.Growing(s), gradients(margin, y, 1.0)
+        for level in range(4):
+            node = again.ranks(again.places(x, level))
+            again.add(level, best_cuts(histograms(x, node, sums, len(again.open), s), s))
+        assert (again.feature == tree.feature).all() and (again.bin == tree.bin).all()
+        assert (again.leaf == tree.leaf).all()
+        margin += tree.values(x)
