@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,8 @@ MAX_STEPS = 6_000
 # Fillings kept at a branch, and items placed in search of them.
 MAX_FILLINGS = 12
 MAX_NODES = 600
-# Chunks of text whose ids a task remembers, in each of two generations.
-MEMORY = 350_000
+# Chunks of text whose ids a worker remembers, in each of two generations.
+MEMORY = 220_000
 # Texts whose new chunks are encoded together.
 TOGETHER = 64
 WIDE_BLANK = re.compile(r"(?<=\s) ")
@@ -117,6 +118,16 @@ class ChunkEncoder:
             )
 
 
+def shared_encoder(sent: Broadcast) -> ChunkEncoder:
+    """One encoder for the tasks of a worker, which run one after the other.
+
+    A worker keeps the broadcast object as long as tasks use it, so what was learnt stays there and goes with it.
+    """
+    if "encoder" not in vars(sent):
+        sent.encoder = ChunkEncoder(sent.value)
+    return sent.encoder
+
+
 def cut_pieces(
     docs: DataFrame,
     row_id: str,
@@ -137,7 +148,7 @@ def cut_pieces(
         sent = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(sent.value)
+        encoder = shared_encoder(sent)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []

@@ -3,12 +3,13 @@
 import itertools
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from seqtables.llm import catalog
+from seqtables.llm import catalog, packing
 from seqtables.llm.packing import (
     ChunkEncoder,
     best_fit,
@@ -81,6 +82,22 @@ def test_chunked_ids_are_the_tokenizers(tokenizer):
         assert next(encoder.batch([text])) == want.tobytes()
 
 
+def test_tasks_of_a_worker_share_what_was_learnt(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "MEMORY", 3)
+    with open(catalog.tokenizer_path(), "rb") as file:
+        sent = SimpleNamespace(value=file.read())
+    encoder, learnt = packing.shared_encoder(sent), []
+    learn = encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda chunks: (learnt.extend(chunks), learn(chunks)))
+    texts = ["a first task", "a first task again", "b other words here now", "c first other task"]
+    for text in texts:
+        want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        assert list(packing.shared_encoder(sent).batch([text])) == [want.tobytes()]
+    assert packing.shared_encoder(sent) is encoder
+    assert learnt.count("first") == 1 and learnt.count("task") == 1
+    assert len(encoder.memory) + len(encoder.older) <= 3 + 4 + 4
+
+
 def optimum(sizes, capacity):
     """Fewest bins, by trying all assignments up to symmetry."""
     best = len(sizes)
