@@ -15,7 +15,10 @@ first, and a pair is skipped once both sides are known to be connected.
    hashes and leave a third of them alone, so that all equal ones are empty has a chance below
    ``1e-12`` (as rare as a collision of hashes). Parity bitmaps bound the overlap from above, because
    every differing bit is an element of the symmetric difference; sets that share a signature and
-   pass the bound are candidates.
+   pass the bound are candidates. Long sets would fill their bitmap and pass whatever they hold: from
+   ``WHOLE`` elements on it maps those that their hashes draw, half as many for each doubling of the
+   size. How many of a linked pair's differing elements are drawn is bounded but for a chance of
+   ``1e-15``.
 3. Tiles. Candidate groups (components over candidates) are dealt into blocks of a bounded number
    of rows. In a tile, sets are sorted by size and bounded again; what passes is intersected
    exactly as sorted arrays.
@@ -52,6 +55,10 @@ from seqtables.operators.joins import fits_broadcast
 SPARE = 2
 SURE_SEGMENTS = 64
 BITS = 1024
+# Size from which bitmaps hold a part of a set, and minus the logarithm of the chance that more
+# elements are drawn than their bound admits.
+WHOLE = 1024
+DOUBT = 34.5
 # Rows and shingles of a block: bound the memory of a tile, not what is compared.
 BLOCK_ROWS = 512
 BLOCK_SHINGLES = 400_000
@@ -125,20 +132,78 @@ def set_key(members: np.ndarray) -> tuple[int, int]:
     return int(first.view(np.int64)[0]), int(second.view(np.int64)[0])
 
 
-def parity_bitmap(members: np.ndarray) -> np.ndarray:
+def parity_bitmap(members: np.ndarray, level: int = 0) -> np.ndarray:
+    """Parity of the members of each bit; of those drawn with a chance of ``2 ** -level``."""
+    if level:
+        # These bits of a hash name neither its place in the map nor its segment.
+        draw = (members >> np.uint64(BITS.bit_length() - 1)) & np.uint64((1 << level) - 1)
+        members = members[draw == 0]
     odd = np.bincount((members & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-def may_link(n: np.ndarray, maps: np.ndarray, i, others: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sizes and the bound on the overlap of set ``i`` with ``others`` admit a link."""
-    both = n[others] + n[i]
-    differ = np.bitwise_count(maps[others] ^ maps[i]).sum(axis=-1, dtype=np.int64)
-    near = 100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])
-    return near & ((both - differ) // 2 >= -(-both * percent // (100 + percent)))
-
-
-def run_forest(keys: np.ndarray, n: np.ndarray, maps: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def levels(n: np.ndarray) -> np.ndarray:
+    """The level of sets of ``n`` elements: 0 below ``WHOLE``, then one more for each doubling."""
+    most = 32 - (BITS.bit_length() - 1)
+    return np.clip(np.frexp(np.asarray(n) / WHOLE)[1], 0, most).astype(np.int64)
+
+
+def depths(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many levels the sets have that may link with a set of ``n`` elements or fewer."""
+    return levels(n) - levels(-(-np.asarray(n) * percent // 100)) + 1
+
+
+def level_bitmaps(members: np.ndarray, percent: int) -> bytes:
+    """Bitmaps of a set at its own level and at the lower ones of smaller sets it may link with."""
+    own, depth = int(levels(len(members))), int(depths(len(members), percent))
+    return b"".join(parity_bitmap(members, own - k).tobytes() for k in range(depth))
+
+
+class Mapped:
+    """Sizes, levels and bitmaps of sets; ``maps[i, k]`` is that of set ``i``, ``k`` levels down."""
+
+    def __init__(self, n: np.ndarray, level: np.ndarray, maps: np.ndarray):
+        self.n, self.level, self.maps = n, level, maps
+
+    @classmethod
+    def read(cls, n: np.ndarray, raw: bytes, percent: int) -> Mapped:
+        """From the joined ``level_bitmaps`` of sets of ``n`` elements."""
+        words = BITS // 64
+        held = depths(n, percent) * words
+        maps = np.zeros((len(n), int(held.max(initial=words))), dtype=np.uint64)
+        maps[np.arange(maps.shape[1]) < held[:, None]] = np.frombuffer(raw, dtype=np.uint64)
+        return cls(n, levels(n), maps.reshape(len(n), maps.shape[1] // words, words))
+
+    def part(self, rows: slice) -> Mapped:
+        return Mapped(self.n[rows], self.level[rows], self.maps[rows])
+
+    def apart(self, i, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Differing bits of set ``i`` and ``others`` at the lower level of both, and that level;
+        of no meaning where sizes exclude a link."""
+        low = np.minimum(self.level[i], self.level[others])
+        last = self.maps.shape[1] - 1
+        mine = self.maps[i, np.minimum(self.level[i] - low, last)]
+        theirs = self.maps[others, np.minimum(self.level[others] - low, last)]
+        return np.bitwise_count(mine ^ theirs).sum(axis=-1, dtype=np.int64), low
+
+    def may_link(self, i, others: np.ndarray, percent: int) -> np.ndarray:
+        """Whether sizes and the bound on the overlap of set ``i`` with ``others`` admit a link."""
+        n = self.n
+        both = n[others] + n[i]
+        near = 100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])
+        # Elements that are in one of two linked sets only.
+        most = both - 2 * -(-both * percent // (100 + percent))
+        if not self.level.any():
+            differ = np.bitwise_count(self.maps[others, 0] ^ self.maps[i, 0]).sum(axis=-1, dtype=np.int64)
+            return near & (differ <= most)
+        differ, level = self.apart(i, others)
+        # Bernstein's inequality for the number of them that are drawn.
+        share = np.ldexp(1.0, -level)
+        room = DOUBT / 3 + np.sqrt(DOUBT * DOUBT / 9 + 2 * DOUBT * share * (1 - share) * most)
+        return near & (differ <= np.where(level > 0, share * most + room, most))
+
+
+def run_forest(keys: np.ndarray, sets: Mapped, percent: int) -> list[tuple[int, int]]:
     """Edges that connect what may link among the sets of one signature: a breadth-first search
     in which each set is compared once with those not reached yet."""
     found = []
@@ -147,7 +212,7 @@ def run_forest(keys: np.ndarray, n: np.ndarray, maps: np.ndarray, percent: int)
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             i = queue.pop()
-            near = may_link(n, maps, i, left, percent)
+            near = sets.may_link(i, left, percent)
             if near.any():
                 reached = left[near].tolist()
                 found += [(int(keys[i]), int(keys[j])) for j in reached]
@@ -170,7 +235,7 @@ def first_of_runs(marks: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]
 def sets_and_stars(
     docs: DataFrame, row_id: str, text: str, width: int, percent: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows ``(row_id, n, k1, k2, bits)`` with the size, key and bitmap of every set, and
+    """Rows ``(row_id, n, k1, k2, bits)`` with the size, key and bitmaps of every set, and
     ``(sig, a, b)``: keys of sets with the same signature, each with the first one of its run.
 
     One pass over the texts and one shuffle. A task sends each signature once for some thousand
@@ -186,7 +251,7 @@ def sets_and_stars(
         sigs: list[np.ndarray] = []
         keys: list[int] = []
         found: list[tuple] = []
-        maps: list[np.ndarray] = []
+        maps: list[bytes] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
@@ -196,18 +261,16 @@ def sets_and_stars(
             home = ((marks >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             cuts = np.searchsorted(home, np.arange(buckets + 1, dtype=np.uint64))
             table = np.array(found, dtype=np.int64).reshape(-1, 5)
-            bits = np.array(maps, dtype=np.uint64).reshape(-1, BITS // 64).view(np.int64)
-            table = np.hstack((table, bits))
             out = []
             for k, part in enumerate(zip(cuts[:-1], cuts[1:])):
                 pairs = np.stack((marks[slice(*part)].view(np.int64), least[slice(*part)]))
                 mine = (table[k::buckets], edges[:, k::buckets], pairs)
                 if any(x.size for x in mine):
-                    out.append((k, *[x.tobytes() for x in mine]))
-            columns = list(zip(*out)) or [[], [], [], []]
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                    out.append((k, *[x.tobytes() for x in mine], b"".join(maps[k::buckets])))
+            columns = list(zip(*out)) or [[], [], [], [], []]
+            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-            return pa.RecordBatch.from_arrays(arrays, ["bucket", "sets", "edges", "pairs"])
+            return pa.RecordBatch.from_arrays(arrays, ["bucket", "sets", "edges", "pairs", "maps"])
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -215,7 +278,7 @@ def sets_and_stars(
                 members = shingle_set(words, width)
                 first, second = set_key(members)
                 found.append((row is None, row or 0, len(members), first, second))
-                maps.append(parity_bitmap(members))
+                maps.append(level_bitmaps(members, percent))
                 sigs.append(signatures(members, bands))
                 keys.append(first)
                 size += len(sigs[-1])
@@ -230,12 +293,13 @@ def sets_and_stars(
         for batch in batches:
             for part in batch.column(3):
                 pairs.append(np.frombuffer(part.as_py(), dtype=np.int64).reshape(2, -1))
-            for part in batch.column(1):
-                table = np.frombuffer(part.as_py(), dtype=np.int64).reshape(-1, 5 + BITS // 64)
+            for part, maps in zip(batch.column(1), batch.column(4)):
+                table = np.frombuffer(part.as_py(), dtype=np.int64).reshape(-1, 5)
                 ids = pa.array(table[:, 1], mask=table[:, 0] == 1)
                 none = pa.nulls(len(table), pa.int64())
                 sets = [pa.array(table[:, i]) for i in (2, 3, 4)]
-                bits = pa.array([r.tobytes() for r in table[:, 5:]], pa.binary())
+                raw, ends = maps.as_py(), np.cumsum(depths(table[:, 2], percent) * (BITS // 8)).tolist()
+                bits = pa.array([raw[lo:hi] for lo, hi in zip([0, *ends], ends)], pa.binary())
                 yield pa.RecordBatch.from_arrays([ids, *sets, bits, none, none, none], names)
             yield edge_batch([np.frombuffer(x.as_py(), dtype=np.int64).reshape(3, -1) for x in batch.column(2)])
         if pairs:
@@ -250,7 +314,7 @@ def sets_and_stars(
         return pa.RecordBatch.from_arrays(columns, names)
 
     names = ["row_id", "n", "k1", "k2", "bits", "sig", "a", "b"]
-    packed = rows.mapInArrow(deal, "bucket int, sets binary, edges binary, pairs binary")
+    packed = rows.mapInArrow(deal, "bucket int, sets binary, edges binary, pairs binary, maps binary")
     schema = "row_id long, n long, k1 long, k2 long, bits binary, sig long, a long, b long"
     met = stored(packed.repartition(buckets, "bucket").mapInArrow(meet, schema), "sets-and-stars")
     sets = met.filter(F.col("n").isNotNull()).select("row_id", "n", "k1", "k2", "bits")
@@ -271,17 +335,16 @@ def bounded_edges(sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
 
         def edges(rows: pa.Table) -> pa.RecordBatch:
             sig, n, keys = (np.asarray(rows.column(i).combine_chunks()) for i in (0, 1, 2))
-            raw = b"".join(rows.column(3).to_pylist())
-            maps = np.frombuffer(raw, dtype=np.uint64).reshape(len(sig), -1)
+            mapped = Mapped.read(n, b"".join(rows.column(3).to_pylist()), percent)
             starts = np.concatenate(([0], np.flatnonzero(sig[1:] != sig[:-1]) + 1))
             sizes = np.diff(np.concatenate((starts, [len(sig)])))
             # Most runs are pairs; they are bounded all at once.
             one = starts[sizes == 2]
-            one = one[may_link(n, maps, one, one + 1, percent)]
+            one = one[mapped.may_link(one, one + 1, percent)]
             found = np.stack((keys[one], keys[one + 1]), axis=1).tolist()
             for lo, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
                 run = slice(lo, lo + m)
-                found += run_forest(keys[run], n[run], maps[run], percent)
+                found += run_forest(keys[run], mapped.part(run), percent)
             both = np.unique(np.array(found, dtype=np.int64).reshape(-1, 2), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
@@ -312,7 +375,7 @@ def tile_links(
     sets = [sets[i] for i in order]
     ids = [ids[i] for i in order]
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    maps = np.stack([parity_bitmap(s) for s in sets])
+    mapped = Mapped.read(sizes, b"".join(level_bitmaps(s, percent) for s in sets), percent)
     comp = np.unique(np.array([labels[i] for i in order]), return_inverse=True)[1]
     found = []
     for i in range(1, len(ids)):
@@ -320,9 +383,8 @@ def tile_links(
         other = lo + np.flatnonzero(comp[lo:i] != comp[i])
         if len(other) == 0:
             continue
-        other = other[may_link(sizes, maps, i, other, percent)]
-        differ = np.bitwise_count(maps[other] ^ maps[i]).sum(axis=1)
-        near = other[np.argsort(differ, kind="stable")]
+        other = other[mapped.may_link(i, other, percent)]
+        near = other[np.argsort(mapped.apart(i, other)[0], kind="stable")]
         for j in near.tolist():
             if comp[j] == comp[i]:
                 continue

@@ -7,7 +7,15 @@ import numpy as np
 import pytest
 
 from seqtables.llm import jaccard
-from seqtables.llm.jaccard import Bands, jaccard_components, parity_bitmap, signatures
+from seqtables.llm.jaccard import (
+    Bands,
+    Mapped,
+    jaccard_components,
+    level_bitmaps,
+    parity_bitmap,
+    run_forest,
+    signatures,
+)
 
 
 def shingles(text, width):
@@ -101,6 +109,40 @@ def test_bands_and_segments_lose_no_pair():
             assert both <= (len(a) + len(b) - differ) // 2
 
 
+def mapped(sets, percent):
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    return Mapped.read(sizes, b"".join(level_bitmaps(s, percent) for s in sets), percent)
+
+
+def drawn(draw, n):
+    return np.unique(draw.integers(0, 2**64, n, dtype=np.uint64))
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_bitmaps_of_long_sets_pass_linked_pairs_only(percent):
+    draw = np.random.default_rng(percent)
+    for n in (900, 1023, 1024, 1100, 1279, 2047, 2048, 2500, 5000, 9000):
+        a = drawn(draw, n)
+        swapped = n * (100 - percent) // (100 + percent)
+        linked = [
+            a[: -(-n * percent // 100)],
+            np.unique(np.concatenate((a, drawn(draw, n * 100 // percent - n)))),
+            np.unique(np.concatenate((a[swapped:], drawn(draw, swapped)))),
+        ]
+        apart = [drawn(draw, n), np.unique(np.concatenate((a[: n // 10], drawn(draw, n - n // 10))))]
+        seen = mapped([a, *linked, *apart], percent).may_link(0, np.arange(1, 6), percent)
+        assert seen[:3].all()
+        assert percent < 80 or not seen[3:].any()
+
+
+def test_long_sets_of_a_common_passage_form_no_group():
+    draw = np.random.default_rng(2)
+    passage = drawn(draw, 100)
+    sets = [np.unique(np.concatenate((passage, drawn(draw, 4000 + 40 * i)))) for i in range(30)]
+    sets.append(sets[3][:-200])
+    assert run_forest(np.arange(31), mapped(sets, 80), 80) == [(3, 30)]
+
+
 def test_components_match_union_find(spark):
     from seqtables.llm.components import components
 
