@@ -19,10 +19,10 @@ separate pieces; an empty table gives no pieces; a null id is kept; other column
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +43,14 @@ MAX_NODES = 600
 MEMORY = 220_000
 # Texts whose new chunks are encoded together.
 TOGETHER = 64
-WIDE_BLANK = re.compile(r"(?<=\s) ")
+# New chunks encoded as one text. The tokenizer takes longer for a chunk in long texts.
+SIDE_BY_SIDE = 32
 
 
-def unsafe(text: str) -> bool:
-    """Whether chunks between blanks may not be encoded apart: blanks after white space or at an end,
-    or what may begin a special token."""
-    return not text or text[0] == " " or text[-1].isspace() or "<|" in text or bool(WIDE_BLANK.search(text))
+def unsafe(chunk: str) -> bool:
+    """Whether a text with this chunk between blanks may not be encoded by chunks: a blank after white
+    space or at an end, or what may begin a special token."""
+    return not chunk or chunk[-1].isspace() or "<|" in chunk
 
 
 class ChunkEncoder:
@@ -70,32 +71,36 @@ class ChunkEncoder:
         self.size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, number in vocabulary.items():
             self.size[number] = len(token)
-        # Ids by chunk without its blank.
-        self.memory: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # Ids by chunk without its blank, None for unsafe ones.
+        self.memory: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+
+    def encoded(self, texts: list[str]) -> list[list[int]]:
+        return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def whole(self, text: str) -> bytes:
-        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
-        return np.array(found.ids, dtype="<u4").tobytes()
+        return np.array(self.encoded([text])[0], dtype="<u4").tobytes()
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; new chunks of some texts are learnt at once."""
         for lo in range(0, len(texts), TOGETHER):
             part = [text or "" for text in texts[lo : lo + TOGETHER]]
-            cut = [None if unsafe(t) else t.split(" ") for t in part]
+            cut = [text.split(" ") for text in part]
             new: set[str] = set()
             for chunks in cut:
-                if chunks:
-                    new.update(chunks[1:])
+                new.update(chunks[1:])
             new = new.difference(self.memory)
             if new:
                 self.recall(new)
+            # The first chunks have no blank before them.
+            heads = self.encoded([chunks[0] for chunks in cut])
             known = self.memory.__getitem__
-            for text, chunks in zip(part, cut):
-                if chunks is None:
+            for text, chunks, head in zip(part, cut, heads):
+                ids = [np.array(head, dtype="<u4").tobytes(), *map(known, chunks[1:])]
+                if unsafe(chunks[0]) or None in ids:
                     yield self.whole(text)
                 else:
-                    yield b"".join([self.whole(chunks[0]), *map(known, chunks[1:])])
+                    yield b"".join(ids)
             if len(self.memory) > MEMORY:
                 self.older, self.memory = self.memory, {}
 
@@ -106,16 +111,19 @@ class ChunkEncoder:
         self.learn(list(chunks - known))
 
     def learn(self, chunks: list[str]) -> None:
-        """Encodes new chunks side by side as one text and cuts the ids where a chunk begins."""
-        if chunks:
-            text = " " + " ".join(chunks)
-            raw = self.whole(text)
-            ends = np.cumsum(self.size[np.frombuffer(raw, dtype="<u4")])
-            blanks = np.flatnonzero(np.frombuffer(text.encode(), dtype=np.uint8) == 32)
+        """Encodes new chunks side by side and cuts the ids where a chunk begins."""
+        safe = [c for c in chunks if not unsafe(c)]
+        self.memory.update(dict.fromkeys(chunks))
+        if safe:
+            texts = [
+                " " + " ".join(safe[lo : lo + SIDE_BY_SIDE]) for lo in range(0, len(safe), SIDE_BY_SIDE)
+            ]
+            ids = np.fromiter(chain.from_iterable(self.encoded(texts)), dtype="<u4")
+            raw = ids.tobytes()
+            ends = np.cumsum(self.size[ids])
+            blanks = np.flatnonzero(np.frombuffer("".join(texts).encode(), dtype=np.uint8) == 32)
             cuts = [*(4 * np.searchsorted(ends, blanks, side="right")).tolist(), len(raw)]
-            self.memory.update(
-                {c: raw[lo:hi] for c, lo, hi in zip(chunks, cuts, cuts[1:])}
-            )
+            self.memory.update({c: raw[lo:hi] for c, lo, hi in zip(safe, cuts, cuts[1:])})
 
 
 def shared_encoder(sent: Broadcast) -> ChunkEncoder:

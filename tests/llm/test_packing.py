@@ -82,6 +82,28 @@ def test_chunked_ids_are_the_tokenizers(tokenizer):
         assert next(encoder.batch([text])) == want.tobytes()
 
 
+class Recorder:
+    """A tokenizer that keeps what it was asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.asked = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.asked += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_new_chunks_are_encoded_in_short_texts(tokenizer):
+    with open(catalog.tokenizer_path(), "rb") as file:
+        encoder = ChunkEncoder(file.read())
+    encoder.tokenizer = recorder = Recorder(encoder.tokenizer)
+    text = " ".join(f"chunk{i},{i}" for i in range(5_000))
+    texts = [text, text + " ", "x" + text, "a\n b", "b c\n d", "c\n", "", " ", "d <|endoftext|> c"]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert list(encoder.batch(texts)) == want == list(encoder.batch(texts))
+    assert max(t.count(" ") for t in recorder.asked if not t.startswith(text)) <= 64
+
+
 def test_tasks_of_a_worker_share_what_was_learnt(tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "MEMORY", 3)
     with open(catalog.tokenizer_path(), "rb") as file:
